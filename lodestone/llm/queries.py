@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import mixing, quality, sentences, sharding, toxicity, warc
+from lodestone.llm import mixing, quality, sentences, sharding, suffixes, toxicity, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_sampled_splitter_shards": sharding.op1_query,
         "op2_sentence_spans": sentences.op2_query,
         "op3_warc_salvage": warc.op3_query,
+        "op5_suffix_sort": suffixes.op5_query,
         "op7_mix_sources": mixing.op7_query,
         "op8_ftrl_toxicity": toxicity.op8_query,
         "op10_line_frequency": quality.op10_query,
