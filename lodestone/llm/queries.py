@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import mixing, quality, sentences, sharding, suffixes, toxicity, warc
+from lodestone.llm import mixing, neardup, quality, sentences, sharding, suffixes, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_sentence_spans": sentences.op2_query,
         "op3_warc_salvage": warc.op3_query,
         "op5_suffix_sort": suffixes.op5_query,
+        "op6_tensored_minhash": neardup.op6_query,
         "op7_mix_sources": mixing.op7_query,
         "op8_ftrl_toxicity": toxicity.op8_query,
         "op10_line_frequency": quality.op10_query,
