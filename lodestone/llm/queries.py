@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import mixing, neardup, quality, sentences, sharding, suffixes, toxicity, warc
+from lodestone.llm import katz, mixing, neardup, quality, sentences, sharding, suffixes, toxicity, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_tensored_minhash": neardup.op6_query,
         "op7_mix_sources": mixing.op7_query,
         "op8_ftrl_toxicity": toxicity.op8_query,
+        "op9_katz_backoff": katz.op9_query,
         "op10_line_frequency": quality.op10_query,
     }
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textnp
-from lodestone.llm.common import small_batches
+from lodestone.llm.common import is_held_out, small_batches
 
 #: Hash buckets; the weights that reach the workers are at most so many pairs.
 BITS = 20
@@ -18,11 +18,6 @@ ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 4.0, 1.0, 3
 THRESHOLD = 0.3
 
 
-def is_held_out(doc_id: Column, of: int, rest: int) -> Column:
-    """crc32(doc_id as text) mod ``of`` is ``rest``; a null id is the empty text."""
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % of == rest
-
-
 def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Document number and bucket of every unigram, bigram and skip-gram (one word between) of the texts."""
     buf, bounds = textnp.joined(texts)
