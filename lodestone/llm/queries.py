@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import katz, mixing, neardup, quality, sentences, sharding, suffixes, toxicity, warc
+from lodestone.llm import decontam, katz, mixing, neardup, quality, sentences, sharding, suffixes, toxicity, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_sampled_splitter_shards": sharding.op1_query,
         "op2_sentence_spans": sentences.op2_query,
         "op3_warc_salvage": warc.op3_query,
+        "op4_template_decontamination": decontam.op4_query,
         "op5_suffix_sort": suffixes.op5_query,
         "op6_tensored_minhash": neardup.op6_query,
         "op7_mix_sources": mixing.op7_query,
