@@ -118,9 +118,12 @@ def is_held_out(doc_id: Column, of: int, rest: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % of == rest
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """``name``, or with underscores before it if the frame has such a column (names compare without case)."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
+def boxed(df: DataFrame, fields: list[str] | None = None, **keys: Column) -> DataFrame:
+    """``_row`` holds the fields (all columns by default), beside it the given keys: names of ``df`` can't clash with an operator's own."""
+    row = F.struct(*[F.col(f"`{c}`") for c in (df.columns if fields is None else fields)])
+    return df.select(row.alias("_row"), *[v.alias(k) for k, v in keys.items()])
+
+
+def fields_of(names: list[str], **changed: Column) -> list[Column]:
+    """The named fields of ``_row``; those in ``changed`` are replaced."""
+    return [changed.get(c, F.col("_row")[c]).alias(c) for c in names]

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import let, stage
+from lodestone.llm.common import boxed, fields_of, let, stage
 from lodestone.llm.exchange import NO_ID
 
 WINDOW = 8
@@ -147,7 +147,9 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
     bad = leaks(docs, items).select(F.col("_doc").alias("_b"), F.col("_th").alias("_t")).distinct()
-    return docs.join(bad, (F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long") == F.col("_b")) & (F.xxhash64("text") == F.col("_t")), "left_anti")
+    keyed = boxed(docs, _doc=F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long"), _th=F.xxhash64("text"))
+    kept = keyed.join(bad, (F.col("_doc") == F.col("_b")) & (F.col("_th") == F.col("_t")), "left_anti")
+    return kept.select(*fields_of(docs.columns))
 
 
 def op4_query(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, free_name, n_words
+from lodestone.llm.common import WORD, boxed, fields_of, n_words
 
 #: Slices of the hash-key space in each source (three hex digits); a hot source is spread over all of them.
 SLICE_DIGITS = 3
@@ -57,24 +57,24 @@ def mix(docs: DataFrame, size: Column, id_column: str = "doc_id", seed: str = "m
     rows count each; existing columns named like new ones are replaced; no rows
     give no rows.
     """
-    key, part, tie, before, s = (free_name(docs, c) for c in ("_key", "_slice", "_tie", "_before", "_s"))
+    key, part, before, s = "_key", "_slice", "_before", "_s"
     fields = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "taken")]
-    keyed = docs.withColumn(key, F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_column).cast("string"), F.lit("null"))).cast("binary")))
-    keyed = keyed.withColumns({"size": size, part: F.substring(key, 1, SLICE_DIGITS), tie: F.xxhash64(*fields)}).select(*fields, "size", key, part, tie)
+    own = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_column).cast("string"), F.lit("null"))).cast("binary"))
+    keyed = boxed(docs, fields, source=F.col("source"), size=size, _id=F.col(id_column), _key=own, _slice=F.substring(own, 1, SLICE_DIGITS), _tie=F.xxhash64(*[F.col(f"`{c}`") for c in fields]))
     slices = keyed.groupBy("source", part).agg(F.sum("size").alias("_slice_size"))
     wanted = source_targets(keyed.select("source", "size"), **targets)
     by_slice = Window.partitionBy("source").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     base = slices.withColumn(before, F.coalesce(F.sum("_slice_size").over(by_slice), F.lit(0)))
     w = wanted.select(F.col("source").alias(s), "source_size", "target")
     base = base.join(w, base["source"].eqNullSafe(w[s])).select(F.col("source").alias(s), F.col(part).alias("_p"), F.col(before).alias("_base"), "source_size", "target")
-    inside = Window.partitionBy("source", part).orderBy(key, id_column, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("source", part).orderBy(key, "_id", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = keyed.withColumn(before, F.sum("size").over(inside) - F.col("size"))
     out = run.join(base, run["source"].eqNullSafe(base[s]) & (run[part] == base["_p"]))
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.expr("cast(round(target) as bigint) div nullif(source_size, 0)"))
     rest = budget - epochs * F.col("source_size")
     last = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_base") - F.col(before)))
-    return out.select(*fields, "size", "source_size", "target", (epochs * F.col("size") + last).cast("long").alias("taken"))
+    return out.select(*fields_of(fields), "size", "source_size", "target", (epochs * F.col("size") + last).cast("long").alias("taken"))
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
@@ -83,17 +83,17 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     The document that crosses its source's budget is cut after the words that
     are left. Documents with no words are taken zero times, so they go.
     """
-    fields = docs.columns
-    mixed = mix(docs, n_words(F.col("text")), **options)
+    packed = boxed(docs, source=F.col("source"), doc_id=F.col("doc_id"), text=F.col("text"))
+    mixed = mix(packed, n_words(F.col("text")), **options)
     full = F.col("taken") / F.col("size")
     rows = mixed.where(F.col("taken") > 0).withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.ceil(full).cast("int"))))
     left = F.col("taken") - (F.col("_epoch") - 1) * F.col("size")
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(f"({WORD})"), 1), 1, left.cast("int")), " ")
-    text = F.when(left >= F.col("size"), F.col("text")).otherwise(cut)
-    out = rows.withColumn("text", text)
-    if "n_chars" in fields:
-        out = out.withColumn("n_chars", F.when(left < F.col("size"), F.char_length(text)).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*fields)
+    rows = rows.withColumn("_new", F.when(left < F.col("size"), cut))  # null where the whole text is taken
+    changed = {"text": F.coalesce("_new", "text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.coalesce(F.char_length("_new"), F.col("_row")["n_chars"]).cast(dict(docs.dtypes)["n_chars"])
+    return rows.select(*fields_of(docs.columns, **changed))
 
 
 def op7_query(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SPACES, let, n_words, stage
+from lodestone.llm.common import SPACES, boxed, fields_of, let, n_words, stage
 
 #: A line is removed when it is in more than LINE_DOCS documents of its host and in more than this share of them.
 LINE_DOCS, LINE_SHARE = 10, 0.01
@@ -97,16 +97,11 @@ def frequent_lines(figures: DataFrame, host: str, least_docs: int, share: float)
     return both.where(F.col("_df") > F.col("_docs") * share).select("_host", "_h", "_df")
 
 
-def line_rules(docs: DataFrame, host: str = "source", least_docs: int = LINE_DOCS, share: float = LINE_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
-    """Verdicts of the rules: columns doc_id and ``host``, the figures, n_removed_words, base_failed and kept.
+def _figures(docs: DataFrame, host: str) -> DataFrame:
+    return stage(text_figures(docs.select("doc_id", host, "text")).withColumn("_id", F.xxhash64("text")).drop("text"), "quality-figures")
 
-    Each row of ``docs`` is a document, repeated rows too. Defined cases: a null
-    text has no words and fails the base; null hosts form one host; the host's
-    size is its number of rows; very long texts are handled whole; no rows give
-    no rows. A document whose lines all stay keeps its words.
-    """
-    figures = stage(text_figures(docs.select("doc_id", host, "text")).withColumn("_id", F.xxhash64("text")).drop("text"), "quality-figures")
-    often = frequent_lines(figures, host, least_docs, share)
+
+def _verdicts(figures: DataFrame, often: DataFrame, host: str, least_left: float) -> DataFrame:
     lines = figures.select("doc_id", "_id", F.col(host).alias("_own"), F.explode("_lines").alias("_l"))
     hit = lines.join(often, lines["_own"].eqNullSafe(often["_host"]) & (lines["_l"]["h"] == often["_h"]))
     # Rows that repeat have equal lines: the mean over them is each row's own figure.
@@ -120,19 +115,36 @@ def line_rules(docs: DataFrame, host: str = "source", least_docs: int = LINE_DOC
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     depleted = (gone > 0) & ((left < least_left * F.col("n_words")) | (left < LEAST_WORDS))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return out.select("doc_id", host, *names, gone.cast("long").alias("n_removed_words"), failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
+    return out.select("doc_id", host, *names, gone.cast("long").alias("n_removed_words"), failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "_id")
+
+
+def line_rules(docs: DataFrame, host: str = "source", least_docs: int = LINE_DOCS, share: float = LINE_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
+    """Verdicts of the rules: columns doc_id and ``host``, the figures, n_removed_words, base_failed and kept.
+
+    Each row of ``docs`` is a document, repeated rows too. Defined cases: a null
+    text has no words and fails the base; null hosts form one host; the host's
+    size is its number of rows; very long texts are handled whole; no rows give
+    no rows. A document whose lines all stay keeps its words.
+    """
+    figures = _figures(docs, host)
+    return _verdicts(figures, frequent_lines(figures, host, least_docs, share), host, least_left).drop("_id")
 
 
 def clean_documents(docs: DataFrame, host: str = "source", least_docs: int = LINE_DOCS, share: float = LINE_SHARE) -> DataFrame:
-    """``docs`` without their frequent lines, and without the documents that ``line_rules`` rejects."""
-    figures = stage(text_figures(docs.select("doc_id", host, "text")).drop("text"), "quality-lines")
-    often = frequent_lines(figures, host, least_docs, share)
-    verdict = line_rules(docs, host, least_docs, share).where("kept").select(F.col("doc_id").alias("_k")).distinct()
-    kept = docs.join(verdict, docs["doc_id"].eqNullSafe(verdict["_k"]), "left_semi")
+    """``docs`` without their frequent lines, and without the documents that ``line_rules`` rejects.
+
+    A host's frequent lines are one array: each stands in over ``share`` of the
+    host's documents, so there are at most (mean lines of a document) / share.
+    """
+    figures = _figures(docs, host)
+    often = stage(frequent_lines(figures, host, least_docs, share), "quality-often")
+    verdict = _verdicts(figures, often, host, LEAST_LEFT).where("kept").select(F.col("doc_id").alias("_kd"), F.col("_id").alias("_kt"), F.col(host).alias("_kh"))
+    keyed = boxed(docs, _doc=F.col("doc_id"), _th=F.xxhash64("text"), _own=F.col(host), text=F.col("text"))
+    kept = keyed.join(verdict, F.col("_doc").eqNullSafe(F.col("_kd")) & (F.col("_th") == F.col("_kt")) & F.col("_own").eqNullSafe(F.col("_kh")), "left_semi")
     by_host = often.groupBy("_host").agg(F.collect_set("_h").alias("_often"))
-    joined = kept.join(by_host, kept[host].eqNullSafe(by_host["_host"]), "left")
+    joined = kept.join(by_host, F.col("_own").eqNullSafe(F.col("_host")), "left")
     lines = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains(F.coalesce("_often", F.array().cast("array<bigint>")), F.xxhash64(normal_line(x))))
-    return joined.withColumn("text", F.array_join(lines, "\n")).select(*docs.columns)
+    return joined.select(*fields_of(docs.columns, text=F.array_join(lines, "\n")))
 
 
 def op10_query(spark, sf_dir: str) -> DataFrame:

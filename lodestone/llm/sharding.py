@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import drop_staged, free_name, range_index, stage
+from lodestone.llm.common import boxed, drop_staged, fields_of, range_index, stage
 
 #: Rows that a fine range should hold, and bounds on the number of ranges.
 ROWS_PER_RANGE, LEAST_RANGES, MOST_RANGES = 200_000, 96, 4096
@@ -60,17 +60,13 @@ def shard_by_bytes(df: DataFrame, key: str, size: Column, n_shards: int = 24) ->
     kept; sizes below 1 count as 1 on the axis; an empty table gives no rows.
     """
     spark = df.sparkSession
-    k, h, s, z = (free_name(df, x) for x in ("_key", "_hash", "_salt", "_size"))
+    order, z = ["_key", "_hash", "_salt"], "_size"
     fields = [c for c in df.columns if c.lower() not in ("size", "shard", "slot")]
-    keyed = df.withColumns({
-        k: F.col(key),
-        h: F.xxhash64(*[F.col(c) for c in df.columns]),
-        s: F.xxhash64(F.monotonically_increasing_id()),
-        z: F.greatest(size.cast("long"), F.lit(1)),
-        "size": size.cast("long"),
-    }).select(*fields, "size", k, h, s, z)
+    keyed = boxed(
+        df, fields, size=size.cast("long"), _key=F.col(key), _hash=F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]),
+        _salt=F.xxhash64(F.monotonically_increasing_id()), _size=F.greatest(size.cast("long"), F.lit(1)),
+    )
     rows = stage(keyed, "shard-rows")
-    order = [k, h, s]
     at, types = [F.col(c) for c in order], [dict(rows.dtypes)[c] for c in order]
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum(z), F.lit(0))).first()
     if not n:
@@ -111,11 +107,11 @@ def shard_by_bytes(df: DataFrame, key: str, size: Column, n_shards: int = 24) ->
         .withColumn("_n", F.element_at(row_base, F.col("_r") + 1) + F.col("_n"))
         .withColumn("shard", F.least(F.lit(n_shards - 1), F.floor((F.col("_b") - F.col(z) / 2.0) * n_shards / F.lit(float(total)))).cast("int"))
     )
-    placed = stage(placed.select(*fields, "size", "shard", "_n"), "shard-placed")
+    placed = stage(placed.select("_row", "size", "shard", "_n"), "shard-placed")
     drop_staged(rows)
     starts = {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.min("_n").alias("n")).collect()}
     start = longs([starts.get(i, 0) for i in range(n_shards)])
-    return placed.withColumn("slot", F.col("_n") - F.element_at(start, F.col("shard") + 1)).drop("_n")
+    return placed.select(*fields_of(fields), "size", "shard", (F.col("_n") - F.element_at(start, F.col("shard") + 1)).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 24) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textnp
-from lodestone.llm.common import small_batches, stage
+from lodestone.llm.common import boxed, fields_of, small_batches, stage
 from lodestone.llm.exchange import NO_ID, blocks, first_of, gathered, keyed_texts, split, text_parts
 
 LENGTH, GRAM = 100, 32
@@ -394,11 +394,10 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """
     spans = repeated_windows(docs).groupBy(F.col("_doc").alias("_d"), F.col("_th").alias("_t")).agg(F.collect_list("start").alias("_a"), F.collect_list("stop").alias("_b"))
     taken = {"n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"}
-    fields = [c for c in docs.columns if c.lower() not in taken]
-    keyed = docs.select(*fields, F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long").alias("_k"), F.xxhash64("text").alias("_h"))
-    rows = keyed.join(spans, (F.col("_k") == F.col("_d")) & (F.col("_h") == F.col("_t")), "left").drop("_k", "_h", "_d", "_t")
-    out_fields = [c for c in fields if c != "text"]
-    schema = docs.select(*out_fields).schema
+    fields = [c for c in docs.columns if c.lower() not in taken and c != "text"]
+    keyed = boxed(docs, fields, text=F.col("text"), _k=F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long"), _h=F.xxhash64("text"))
+    rows = keyed.join(spans, (F.col("_k") == F.col("_d")) & (F.col("_h") == F.col("_t")), "left").select("_row", "text", "_a", "_b")
+    schema = rows.select("_row").schema
     kinds = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"} | ({"kept": "binary"} if with_text else {})
     for k, t in kinds.items():
         schema = schema.add(k, t)
@@ -415,9 +414,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
                 rows.append((len(t), len(t) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept)[: len(kinds)])
             cols = list(zip(*rows)) if rows else [[] for _ in kinds]
             types = [pa.int64()] * 3 + [pa.string(), pa.binary()]
-            yield pa.record_batch([*[b.column(names.index(c)) for c in out_fields], *[pa.array(c, t) for c, t in zip(cols, types)]], [*out_fields, *kinds])
+            yield pa.record_batch([b.column(0), *[pa.array(c, t) for c, t in zip(cols, types)]], ["_row", *kinds])
 
-    return rows.mapInArrow(cut, schema)
+    return rows.mapInArrow(cut, schema).select(*fields_of(fields), *kinds)
 
 
 def op5_query(spark, sf_dir: str) -> DataFrame:
