@@ -35,7 +35,7 @@ START = 1 << HISTORY_BITS
 HISTORIES = START + 1
 #: Counts up to CUT are discounted.
 CUT = 5
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 #: Histories in a row of sums.
 CHUNK = 4096
 U = textnp.U
@@ -86,13 +86,24 @@ def tokenised(docs: DataFrame, held_out, parts: int) -> DataFrame:
             cut = np.searchsorted(part, np.arange(parts + 1))
             ids = np.array([r[0] for r in rows], np.int64)
             yield _batch([(BODY, name, -1, pack(index), pack(sizes), pack(ids), pack(train.astype(np.uint8)), None)])
-            asks = [(ASK, name, p, pack(w[a:b]), pack(h[a:b]), pack(counts[a:b]), None, None) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+            asks = []
+            for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
+                if b > a:
+                    asks.append((ASK, name, p, *map(pack, _runs(w[a:b])), pack(h[a:b]), pack(counts[a:b]), None))
             yield _batch(asks)
 
     rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long"), F.xxhash64("text"), F.col("text"), held_out)
     return rows.mapInArrow(send, COLUMNS)
 
 
+def _runs(sorted_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word once, and how many places it takes."""
+    head = np.ones(len(sorted_words), bool)
+    head[1:] = sorted_words[1:] != sorted_words[:-1]
+    at = np.flatnonzero(head)
+    return sorted_words[at], np.diff(np.append(at, len(sorted_words))).astype(np.uint32)
+
+
 def _classes(counts: np.ndarray) -> np.ndarray:
     """0 for unseen, 1 to CUT, CUT + 1 for more."""
     return np.minimum(counts, CUT + 1).astype(np.int64)
@@ -104,9 +115,11 @@ def count(asks: DataFrame) -> DataFrame:
     def meet(table):
         part = table.column("part")[0].as_py()
         names = table.column("block").to_pylist()
-        w, h, c = ([unpack(x.as_buffer()) for x in table.column(f"c{i}")] for i in range(3))
-        ends = np.cumsum([len(x) for x in w])[:-1]
-        w, h, c = np.concatenate(w), np.concatenate(h), np.concatenate(c).astype(np.int64)
+        u, runs, h, c = ([unpack(x.as_buffer()) for x in table.column(f"c{i}")] for i in range(4))
+        ends, word_ends = (np.cumsum([len(x) for x in some])[:-1] for some in (h, u))
+        u, runs, h, c = (np.concatenate(x) for x in (u, runs, h, c))
+        w = np.repeat(u, runs)
+        first_pair = np.cumsum(runs) - runs
         order = np.lexsort((h, w))
         ws, hs = w[order], h[order]
         new_word = np.ones(len(ws), bool)
@@ -118,7 +131,8 @@ def count(asks: DataFrame) -> DataFrame:
         word_total = np.bincount(word, c[order]).astype(np.int64)
         answers = np.empty((2, len(w)), np.uint32)
         answers[0, order], answers[1, order] = pair_total[pair], word_total[word]
-        rows = [(ANSWER, name, part, pack(a), pack(b), None, None, None) for name, a, b in zip(names, np.split(answers[0], ends), np.split(answers[1], ends))]
+        of_words = answers[1][first_pair]
+        rows = [(ANSWER, name, part, pack(a), pack(b), None, None, None) for name, a, b in zip(names, np.split(answers[0], ends), np.split(of_words, word_ends))]
         one = np.bincount(word_total[word_total <= CUT + 1], minlength=CUT + 2)[1:]
         two = np.bincount(pair_total[pair_total <= CUT + 1], minlength=CUT + 2)[1:]
         rows.append((HISTOGRAM, None, part, None, None, None, None, [int(word_total.sum()), int((word_total > 0).sum()), *map(int, one), *map(int, two)]))
@@ -132,8 +146,8 @@ def count(asks: DataFrame) -> DataFrame:
             some = sums[lo : lo + CHUNK]
             if some.any():
                 rows.append((SUMS, None, lo // CHUNK, pack(some.reshape(-1)), None, None, None, [part]))
-        first = np.flatnonzero(new)[seen]
-        rows.append((TABLE, None, part, pack(ws[first]), pack(hs[first]), pack(pc), pack(pw), None))
+        first = np.flatnonzero(new)[seen]  # a word's count is the sum of those of its pairs
+        rows.append((TABLE, None, part, *map(pack, _runs(ws[first])), pack(hs[first]), pack(pc), None))
         return pa.Table.from_batches([_batch(rows)])
 
     return asks.groupBy("part").applyInArrow(meet, COLUMNS)
@@ -224,7 +238,8 @@ def score_texts(docs: DataFrame, held_out=None) -> DataFrame:
     Defined cases: null and empty texts consist of the end token; repeated rows
     count each; without training rows every token is unseen, base_score and
     score are 0; null ids are kept as NO_ID. The count tables stay in the staged
-    table as TABLE rows, one for each partition.
+    table as TABLE rows, one for each partition: words, pairs of each word,
+    histories, counts.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -243,9 +258,9 @@ def score_texts(docs: DataFrame, held_out=None) -> DataFrame:
         col = lambda c, i: unpack(table.column(c)[int(i)].as_buffer())
         body = int(np.flatnonzero(kinds == BODY)[0])
         by_part = lambda k: sorted(np.flatnonzero(kinds == k), key=lambda i: part[i])
-        history = np.concatenate([col("c1", i) for i in by_part(ASK)])
+        history = np.concatenate([col("c2", i) for i in by_part(ASK)])
         pair = np.concatenate([col("c0", i) for i in by_part(ANSWER)])
-        word = np.concatenate([col("c1", i) for i in by_part(ANSWER)])
+        word = np.repeat(np.concatenate([col("c1", i) for i in by_part(ANSWER)]), np.concatenate([col("c1", i) for i in by_part(ASK)]))
         index, sizes, ids, train = (col(f"c{i}", body) for i in range(4))
         starts = np.cumsum(sizes) - sizes
         score = np.add.reduceat(m.log_prob(history, pair, word)[index], starts)
@@ -255,7 +270,7 @@ def score_texts(docs: DataFrame, held_out=None) -> DataFrame:
         return pa.table([pa.array(x) for x in out], ["_doc", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     none = F.lit(None).cast("binary")
-    asked = sent.where(f"kind <= {ASK}").select("kind", "block", "part", F.when(F.col("kind") == BODY, F.col("c0")).otherwise(none).alias("c0"), "c1", F.when(F.col("kind") == BODY, F.col("c2")).otherwise(none).alias("c2"), "c3")
+    asked = sent.where(f"kind <= {ASK}").select("kind", "block", "part", F.when(F.col("kind") == BODY, F.col("c0")).otherwise(none).alias("c0"), "c1", "c2", F.when(F.col("kind") == BODY, F.col("c3")).otherwise(none).alias("c3"))
     answers = found.where(f"kind = {ANSWER}").select("kind", "block", "part", "c0", "c1", "c2", "c3")
     return asked.unionByName(answers).groupBy("block").applyInArrow(finish, RESULT)
 
