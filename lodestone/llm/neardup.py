@@ -8,10 +8,13 @@ with a chance under 2 * (1 - s^ROWS)^SIDE, 7e-5 at s = 0.8.
 
 Documents that meet are compared on their full shingle sets. Every bucket links
 its members to a centre that differs by table; components of the confirmed links
-follow by alternating large-star and small-star steps. Members of one bundle
-that are then in different components are compared with each other, so no link
-depends on a lucky centre. No group is gathered in one place: identical sets are
-folded inside blocks, and crowded buckets overflow into plain rows.
+follow by alternating large-star and small-star steps. Then the members of every
+bundle that holds several components are sorted by their other bundles, so that
+the most similar stand side by side, and each is compared with the next few of
+another component; that is repeated until nothing new is linked, so no link
+depends on a lucky centre and no group is compared pair by pair. No group is
+gathered in one place: identical sets are folded inside blocks, crowded buckets
+overflow into plain rows, and the sort splits a bundle over range partitions.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textnp
-from lodestone.llm.common import drop_staged, small_batches, stage
+from lodestone.llm.common import boxed, drop_staged, fields_of, small_batches, stage
 from lodestone.llm.exchange import NO_ID, blocks, first_of, gathered, keyed_texts, split, text_parts
 
 SHINGLE, PERCENT = 5, 80
@@ -32,6 +35,8 @@ SIDE, ROWS = 10, 2
 MANY = 16
 #: Orders by which tables choose their centres.
 ORDERS = 4
+#: Neighbours with which a member of a bundle of several components is compared, and rounds of that at most.
+NEAR, ROUNDS = 3, 4
 U = textnp.U
 SEEDS = textnp.mix(np.arange(1, 2 * SIDE * ROWS + 1, dtype=U) * textnp.MUL) | U(1)
 INFO, LINK, BUCKET = 1, 2, 3
@@ -159,7 +164,11 @@ def table_entries(docs: DataFrame, k: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """``id, n, words_set, a_keys``: full shingle sets and A bundles of the documents in ``ids``."""
+    """``id, words_set, keys, looks``: full shingle sets of the documents in ``ids``, their bundles, and for each a sort key of the others.
+
+    A sort key joins 8 bits of each of the 8 bundles after its own, so rows of a
+    bundle stand beside those that agree with them in most of these.
+    """
     rows = keyed_texts(docs).join(ids.select(F.col("id").alias("_id")), F.col("_doc") == F.col("_id"), "left_semi").select("_doc", "text")
 
     def run(batches):
@@ -170,11 +179,15 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 has, low = bundles(d, x, hi - lo)
                 cut = np.searchsorted(d, np.append(has, hi - lo))
                 sets = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x.view(np.int64)))
-                tagged = textnp.mix(low[:, :SIDE] + np.arange(SIDE, dtype=U))
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1) * SIDE, pa.int32()), pa.array(tagged.reshape(-1).view(np.int64)))
-                yield pa.record_batch([pa.array([ids[lo + i] for i in has], pa.int64()), sets, keys], ["id", "words_set", "a_keys"])
+                tagged = textnp.mix(low + np.arange(2 * SIDE, dtype=U))
+                look = np.zeros_like(low)
+                for step in range(1, 9):
+                    look = look << U(8) | np.roll(low, -step * 3, axis=1) >> U(56)
+                ends = pa.array(np.arange(len(has) + 1) * 2 * SIDE, pa.int32())
+                keys, looks = (pa.ListArray.from_arrays(ends, pa.array(x.reshape(-1).view(np.int64))) for x in (tagged, look))
+                yield pa.record_batch([pa.array([ids[lo + i] for i in has], pa.int64()), sets, keys, looks], ["id", "words_set", "keys", "looks"])
 
-    return rows.mapInArrow(run, "id long, words_set array<long>, a_keys array<long>")
+    return rows.mapInArrow(run, "id long, words_set array<long>, keys array<long>, looks array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -187,6 +200,61 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.where(100 * inter >= percent * (n + m - inter)).select("a", "b")
 
 
+def _beside(rows: list[np.ndarray], percent: int) -> pa.RecordBatch:
+    """Pairs of sorted rows (key, look, id, n, root) up to NEAR places apart in one bundle, of other components and near sizes."""
+    key, _, who, n, root = rows
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for step in range(1, NEAR + 1):
+        i = np.flatnonzero((key[step:] == key[:-step]) & (root[step:] != root[:-step]) & (100 * n[step:] >= percent * n[:-step]) & (100 * n[:-step] >= percent * n[step:]))
+        a.append(np.maximum(who[i], who[i + step]))
+        b.append(np.minimum(who[i], who[i + step]))
+    pair = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
+    return pa.record_batch([*(pa.array(c) for c in pair.T), *[pa.nulls(len(pair), pa.int64())] * 5], BESIDE_NAMES)
+
+
+BESIDE_NAMES = ["a", "b", "key", "look", "id", "n", "root"]
+BESIDE = ", ".join(f"{c} long" for c in BESIDE_NAMES)
+
+
+def neighbours(own: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) from rows key, look, id, n, root: those beside each other in the order of (key, look, id).
+
+    Range partitions are paired inside; the NEAR rows at both ends of each are
+    put together in one small sort that pairs over the bounds.
+    """
+
+    def run(batches):
+        held, ends, count = None, [], 0
+        for x in batches:
+            cols = [c.to_numpy() for c in x.columns]
+            if not len(cols[0]):
+                continue
+            if count < NEAR:
+                ends.append([c[: NEAR - count] for c in cols])
+            count += len(cols[0])
+            cols = cols if held is None else [np.concatenate(p) for p in zip(held, cols)]
+            yield _beside(cols, percent)
+            held = [c[-NEAR:] for c in cols]
+        if held is not None:
+            ends.append(held)
+            edge = [np.concatenate(c) for c in zip(*ends)]
+            m = len(edge[0])
+            yield pa.record_batch([*[pa.nulls(m, pa.int64())] * 2, *(pa.array(c) for c in edge)], BESIDE_NAMES)
+
+    def bounds(table):
+        cols = [table.column(c).to_numpy() for c in BESIDE_NAMES[2:]]
+        order = np.lexsort((cols[2], cols[1], cols[0]))
+        cols = [c[order] for c in cols]
+        new = np.ones(len(order), bool)
+        new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[2][1:] != cols[2][:-1])
+        return pa.Table.from_batches([_beside([c[new] for c in cols], percent)])
+
+    ordered = own.select(*BESIDE_NAMES[2:]).repartitionByRange("key", "look", "id").sortWithinPartitions("key", "look", "id")
+    found = stage(ordered.mapInArrow(run, BESIDE), "near-beside")
+    over = found.where("a is null").groupBy().applyInArrow(bounds, BESIDE)
+    return found.where("a is not null").unionByName(over).select("a", "b").distinct()
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first())
 
@@ -237,29 +305,36 @@ def label_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     links = stage(links.distinct(), "near-all-links")
     roots = components(links)
 
-    # Members of one A bundle that are in different components and were not compared: no bucket's centre decides alone.
-    own = sets.select("id", F.size("words_set").alias("n"), F.explode("a_keys").alias("key")).join(roots.withColumnRenamed("id", "_r"), F.col("id") == F.col("_r"), "left")
-    own = own.select("key", "id", "n", F.coalesce("root", "id").alias("root")).distinct()
-    split_keys = own.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select(F.col("key").alias("_k"))
-    own = stage(own.join(split_keys, F.col("key") == F.col("_k"), "left_semi"), "near-open")
-    counts = own.groupBy("key", "root").agg(F.count("*").alias("_n"))
-    main = counts.groupBy("key").agg(F.max(F.struct("_n", "root")).alias("_m")).select(F.col("key").alias("_k"), F.col("_m.root").alias("_main"))
-    rest = own.join(main, F.col("key") == F.col("_k")).where("root <> _main").select("key", F.col("id").alias("x"), F.col("root").alias("xr"), F.col("n").alias("xn"))
-    more = rest.join(own, "key").where((F.col("root") != F.col("xr")) & (100 * F.col("n") >= percent * F.col("xn")) & (100 * F.col("xn") >= percent * F.col("n")))
-    more = more.select(F.greatest("id", "x").alias("a"), F.least("id", "x").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = stage(confirmed(more, sets, percent), "near-more")
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
+    own = sets.select("id", F.size("words_set").cast("long").alias("n"), F.explode(F.arrays_zip("keys", "looks")).alias("_z")).select("id", "n", "_z.keys", "_z.looks").toDF("id", "n", "key", "look")
+    own = stage(own, "near-bundles")
+    for _ in range(ROUNDS):
+        rooted = own.join(roots.withColumnRenamed("id", "_r"), F.col("id") == F.col("_r"), "left").select("key", "look", "id", "n", F.coalesce("root", "id").alias("root"))
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select(F.col("key").alias("_k"))
+        rooted = rooted.join(mixed, F.col("key") == F.col("_k"), "left_semi")
+        more = stage(neighbours(rooted, percent).join(pairs, ["a", "b"], "left_anti"), "near-more")
+        pairs = pairs.unionByName(more)
+        new = stage(confirmed(more, sets, percent), "near-new")
+        if new.isEmpty():
+            break
+        links = links.unionByName(new)
+        roots = components(links)
     info = found.where(f"kind = {INFO}").select(F.col("a").alias("_id"), F.col("b").alias("n_shingles"))
     out = info.join(roots.withColumnRenamed("id", "_r"), F.col("_id") == F.col("_r"), "left")
     return out.select("_id", "n_shingles", F.coalesce("root", "_id").alias("root"))
 
 
 def near_dedup(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each near-duplicate component: that of the smallest id."""
-    labels = label_documents(docs, k, percent).where("_id = root").select("_id").distinct()
-    kept = docs.join(labels, F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long") == F.col("_id"), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """``docs`` with one document of each near-duplicate component: that of the smallest id.
+
+    Rows of one id are one document; of several the one with the smallest text
+    hash stays. Only ids that repeat are sorted for that.
+    """
+    labels = label_documents(docs, k, percent).where("_id = root").groupBy("_id").agg(F.count("*").alias("_copies"))
+    keyed = boxed(docs, _doc=F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long"), _th=F.xxhash64("text"))
+    once = keyed.join(labels.where("_copies = 1"), F.col("_doc") == F.col("_id"), "left_semi")
+    again = keyed.join(labels.where("_copies > 1"), F.col("_doc") == F.col("_id"), "left_semi")
+    again = again.groupBy("_doc").agg(F.min_by("_row", "_th").alias("_row"))
+    return once.select("_row").unionByName(again.select("_row")).select(*fields_of(docs.columns))
 
 
 def op6_query(spark, sf_dir: str) -> DataFrame:
