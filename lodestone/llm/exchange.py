@@ -76,9 +76,18 @@ def blocks(batches, most: int = BLOCK):
         yield sorted(rows, key=lambda r: r[:2])
 
 
-def keyed_texts(docs: DataFrame) -> DataFrame:
-    """``_doc`` (id, a null below all others), ``_th`` (hash of the text) and ``text``: the order of documents."""
-    return docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long").alias("_doc"), F.xxhash64("text").alias("_th"), F.col("text"))
+def keyed_texts(docs: DataFrame, hashed: bool = True) -> DataFrame:
+    """``_doc`` (id, a null below all others), ``_th`` (hash of the text) and ``text``: the order of documents.
+
+    ``hashed`` false: no id repeats, so ``_th`` is 0 and takes no room in what is exchanged.
+    """
+    th = F.xxhash64("text") if hashed else F.lit(0).cast("long")
+    return docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long").alias("_doc"), th.alias("_th"), F.col("text"))
+
+
+def ids_repeat(docs: DataFrame) -> bool:
+    """Whether an id stands in several rows."""
+    return not docs.groupBy(F.coalesce(F.col("doc_id"), F.lit(NO_ID))).count().where("count > 1").isEmpty()
 
 
 def text_parts(docs: DataFrame, per: int = 16 << 20, least: int = 48) -> int:

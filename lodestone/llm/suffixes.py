@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import textnp
 from lodestone.llm.common import boxed, fields_of, small_batches, stage
-from lodestone.llm.exchange import NO_ID, blocks, first_of, gathered, keyed_texts, split, text_parts
+from lodestone.llm.exchange import NO_ID, blocks, first_of, gathered, ids_repeat, keyed_texts, split, text_parts
 
 LENGTH, GRAM = 100, 32
 #: Bytes that are hashed at once; anchors are told apart by 24 bits of offset.
@@ -76,7 +76,7 @@ def stretches(buf: np.ndarray, sums: np.ndarray, valid: np.ndarray) -> tuple[np.
     end[:-1] &= (owner[1:] != owner[:-1]) | ~v[1:]
     hi = np.flatnonzero(end)
     a = owner[lo]
-    return lo, hi, a, gram[a]
+    return lo, hi, a, textnp.mix(gram[a])  # the smallest hashes are crowded: mixed again, they spread over all parts
 
 
 class Suffixes:
@@ -141,12 +141,12 @@ class Suffixes:
     def same_bytes(self, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Byte by byte comparison, which settles hash collisions."""
         out = np.zeros(len(x), bool)
-        for lo in range(0, len(x), 20_000):
-            a, b, n = x[lo : lo + 20_000], y[lo : lo + 20_000], size[lo : lo + 20_000]
+        for lo in range(0, len(x), 2000):
+            a, b, n = x[lo : lo + 2000], y[lo : lo + 2000], size[lo : lo + 2000]
             k = np.arange(n.max())
             inside = k < n[:, None]
             ends = len(self.buf) - 1
-            out[lo : lo + 20_000] = ((self.buf[np.minimum(a[:, None] + k, ends)] == self.buf[np.minimum(b[:, None] + k, ends)]) | ~inside).all(1)
+            out[lo : lo + 2000] = ((self.buf[np.minimum(a[:, None] + k, ends)] == self.buf[np.minimum(b[:, None] + k, ends)]) | ~inside).all(1)
         return out
 
 
@@ -180,7 +180,14 @@ REPEAT, OPEN = 1, 2
 
 
 def _flat(kind: int, doc, th, start, stop) -> pa.RecordBatch:
-    """Rows of stretches: windows from ``start`` to ``stop`` that repeat (1) or have to be opened (2)."""
+    """Rows of stretches: windows from ``start`` to ``stop`` that repeat (1) or have to be opened (2). Those side by side are joined."""
+    order = np.lexsort((start, th, doc))
+    doc, th, start, stop = (x[order] for x in (doc, th, start, stop))
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (th[1:] != th[:-1]) | (start[1:] > stop[:-1] + 1)
+    head = np.flatnonzero(new)
+    doc, th, start = doc[head], th[head], start[head]
+    stop = stop[np.append(head[1:], len(stop)) - 1] if len(head) else stop
     return pa.record_batch([pa.array(np.full(len(doc), kind, np.int32)), *[pa.array(x, pa.int64()) for x in (doc, th, start, stop)]], ["kind", "_doc", "_th", "start", "stop"])
 
 
@@ -196,7 +203,7 @@ def _with_packed(batch: pa.RecordBatch, n: int, packed: bool) -> pa.RecordBatch:
     return pa.record_batch(cols, ["kind", "part", *[f"c{i}" for i in range(6)], "_doc", "_th", "start", "stop"])
 
 
-def find_stretches(docs: DataFrame, parts: int) -> DataFrame:
+def find_stretches(docs: DataFrame, parts: int, hashed: bool = True) -> DataFrame:
     """Steps 1 to 3: rows of kind REPEAT and OPEN."""
 
     def send(batches):
@@ -278,16 +285,16 @@ def find_stretches(docs: DataFrame, parts: int) -> DataFrame:
         out = [_flat(kind, doc[i], th[i], start[i], start[i] + wide[i]) for kind, i in ((REPEAT, again), (OPEN, opened))]
         return pa.Table.from_batches(out)
 
-    sent = keyed_texts(docs).mapInArrow(send, SENT)
+    sent = keyed_texts(docs, hashed).mapInArrow(send, SENT)
     deal = F.when(F.col("kind") > 0, F.pmod(F.xxhash64("_doc"), F.lit(parts)).cast("int")).otherwise(F.col("part"))
     return sent.withColumn("_deal", deal).withColumn("_flat", F.col("kind") > 0).groupBy("_deal", "_flat").applyInArrow(meet, ROWS)
 
 
-def find_windows(docs: DataFrame, opened: DataFrame, parts: int) -> DataFrame:
+def find_windows(docs: DataFrame, opened: DataFrame, parts: int, hashed: bool = True) -> DataFrame:
     """Step 4: windows of opened stretches that repeat, as REPEAT rows."""
     spark = docs.sparkSession
     by_doc = opened.groupBy(F.col("_doc").alias("_d"), F.col("_th").alias("_t")).agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("_s"))
-    keyed = keyed_texts(docs)
+    keyed = keyed_texts(docs, hashed)
     rows = keyed.join(by_doc, (F.col("_doc") == F.col("_d")) & (F.col("_th") == F.col("_t"))).select("_doc", "_th", "text", F.col("_s.start").alias("a"), F.col("_s.stop").alias("b"))
 
     def send(batches):
@@ -325,11 +332,7 @@ def find_windows(docs: DataFrame, opened: DataFrame, parts: int) -> DataFrame:
             same &= (ids[row[order]] != ids[row[lead]]) | (ths[row[order]] != ths[row[lead]]) | (at[order] != at[lead])
             again[order[same]] = True
             r, a = row[again], at[again]
-            new = np.ones(len(r), bool)
-            new[1:] = (r[1:] != r[:-1]) | (a[1:] != a[:-1] + 1)
-            h = np.flatnonzero(new)
-            end = np.append(h[1:], len(r))[: len(h)] - 1
-            yield _with_packed(_flat(REPEAT, ids[r[h]], ths[r[h]], a[h], a[end]), 0, False)
+            yield _with_packed(_flat(REPEAT, ids[r], ths[r], a, a), 0, False)
             first = np.sort(order[~same & ~again[order]])
             yield _with_packed(split(key[first], parts, [key[first], check[first], ids[row[first]], ths[row[first]], at[first]]), 5, True)
 
@@ -342,12 +345,7 @@ def find_windows(docs: DataFrame, opened: DataFrame, parts: int) -> DataFrame:
         head[1:] = (key[order][1:] != key[order][:-1]) | (check[order][1:] != check[order][:-1])
         lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
         i = order[~head & ((doc[order] != doc[lead]) | (th[order] != th[lead]) | (at[order] != at[lead]))]
-        i = i[np.lexsort((at[i], th[i], doc[i]))]
-        new = np.ones(len(i), bool)
-        new[1:] = (doc[i][1:] != doc[i][:-1]) | (th[i][1:] != th[i][:-1]) | (at[i][1:] != at[i][:-1] + 1)
-        h = np.flatnonzero(new)
-        end = np.append(h[1:], len(i))[: len(h)] - 1
-        return pa.Table.from_batches([_flat(REPEAT, doc[i[h]], th[i[h]], at[i[h]], at[i[end]])])
+        return pa.Table.from_batches([_flat(REPEAT, doc[i], th[i], at[i], at[i])])
 
     small_batches(spark)
     deal = F.when(F.col("kind") > 0, F.pmod(F.xxhash64("_doc"), F.lit(parts)).cast("int")).otherwise(F.col("part"))
@@ -373,12 +371,12 @@ def _cut(text: bytes, starts, stops) -> tuple[list[tuple[int, int]], bytes]:
     return runs, b"".join(kept)
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
+def repeated_windows(docs: DataFrame, hashed: bool = True) -> DataFrame:
     """``_doc, _th, start, stop``: stretches of window starts whose 100 bytes also start earlier."""
     small_batches(docs.sparkSession)
     parts = text_parts(docs)
-    found = stage(find_stretches(docs, parts), "suffix-stretches")
-    more = find_windows(docs, found.where(f"kind = {OPEN}"), parts)
+    found = stage(find_stretches(docs, parts, hashed), "suffix-stretches")
+    more = find_windows(docs, found.where(f"kind = {OPEN}"), parts, hashed)
     more = stage(more, "suffix-windows")
     return found.where(f"kind = {REPEAT}").unionByName(more).drop("kind")
 
@@ -392,10 +390,11 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     other; null ids come before all others; existing columns named like new
     ones are replaced.
     """
-    spans = repeated_windows(docs).groupBy(F.col("_doc").alias("_d"), F.col("_th").alias("_t")).agg(F.collect_list("start").alias("_a"), F.collect_list("stop").alias("_b"))
+    hashed = ids_repeat(docs)
+    spans = repeated_windows(docs, hashed).groupBy(F.col("_doc").alias("_d"), F.col("_th").alias("_t")).agg(F.collect_list("start").alias("_a"), F.collect_list("stop").alias("_b"))
     taken = {"n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"}
     fields = [c for c in docs.columns if c.lower() not in taken and c != "text"]
-    keyed = boxed(docs, fields, text=F.col("text"), _k=F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long"), _h=F.xxhash64("text"))
+    keyed = boxed(docs, fields, text=F.col("text"), _k=F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long"), _h=F.xxhash64("text") if hashed else F.lit(0).cast("long"))
     rows = keyed.join(spans, (F.col("_k") == F.col("_d")) & (F.col("_h") == F.col("_t")), "left").select("_row", "text", "_a", "_b")
     schema = rows.select("_row").schema
     kinds = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"} | ({"kept": "binary"} if with_text else {})
