@@ -33,11 +33,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage in a way that survives lost executors (the files are in
     the shared store) and lets the shuffles behind ``df`` be freed.
     """
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    del df  # else its shuffles are still held below
     free_shuffles(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -60,14 +61,16 @@ def drop_staged(df: DataFrame) -> None:
             drop_path(df.sparkSession, f)
 
 
-def small_batches(spark: SparkSession, records: int = 2000) -> None:
-    """Bound the rows of an Arrow batch sent to Python workers.
+def small_batches(spark: SparkSession, records: int = 2000, size: int = 4 << 20) -> None:
+    """Bound the rows and bytes of an Arrow batch sent to Python workers.
 
-    A user's smaller setting stays.
+    A user's smaller settings stay.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > records:
-        spark.conf.set(key, str(records))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", records), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark._jsparkSession.sessionState().conf().getConfString(key)
+        number = int(now) if now.lstrip("-").isdigit() else most + 1
+        if not 0 < number <= most:
+            spark.conf.set(key, str(most))
 
 
 def n_words(text: Column) -> Column:
