@@ -376,8 +376,7 @@ def repeated_windows(docs: DataFrame, hashed: bool = True) -> DataFrame:
     small_batches(docs.sparkSession)
     parts = text_parts(docs)
     found = stage(find_stretches(docs, parts, hashed), "suffix-stretches")
-    more = find_windows(docs, found.where(f"kind = {OPEN}"), parts, hashed)
-    more = stage(more, "suffix-windows")
+    more = stage(find_windows(docs, found.where(f"kind = {OPEN}"), parts, hashed), "suffix-windows")
     return found.where(f"kind = {REPEAT}").unionByName(more).drop("kind")
 
 
