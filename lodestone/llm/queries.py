@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import decontam, katz, mixing, neardup, quality, sentences, sharding, suffixes, toxicity, warc
+from lodestone.llm import decontam, katz, mixing, neardup, oracles, quality, sentences, sharding, suffixes, toxicity, warc
 
 
 def queries() -> dict:
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mix_sources": mixing.OP7_SQL}
+    return dict(oracles.ORACLES)
