@@ -14,7 +14,7 @@ from lodestone.llm.common import is_held_out, small_batches
 BITS = 20
 #: The model is fitted on at most so many labelled documents (those of the smallest id hashes).
 TRAIN_DOCS = 20_000
-ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 4.0, 1.0, 3
+ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 3.0, 1.0, 3
 THRESHOLD = 0.3
 
 
