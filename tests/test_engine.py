@@ -246,3 +246,16 @@ def test_settings(tmp_path, monkeypatch):
     assert load_config(str(tmp_path)).min_chunk_lines == 9 and load_config(str(tmp_path)).file_extensions == [".md", ".py"]
     (tmp_path / ".env").write_text("# c\nLODESTONE_NAME='from file'\n")
     assert load_config(str(tmp_path)).name == "from file"
+
+
+def test_commands(spark, tmp_path, capsys):
+    from lodestone.cli import main
+
+    assert main(["init", "--project-dir", str(tmp_path)]) == 0 and main(["init", "--project-dir", str(tmp_path)]) == 0
+    capsys.readouterr()
+    (tmp_path / "data" / "x.md").write_text("# Sets\nA gap here.\n")
+    run = lambda *a: (main([*a, "--project-dir", str(tmp_path), "--dimension", "8"]), capsys.readouterr().out)[1]
+    assert json.loads(run("ingest"))["total_chunks"] == 1
+    assert "# Sets" in run("search", "sets") and run("lookup", "sets").startswith("Found 1 entries")
+    (tmp_path / "g.json").write_text(json.dumps({"queries": [{"id": "1", "query": "sets", "decisive_spans": [{"file": "x.md", "start_line": 1, "end_line": 2}]}]}))
+    assert "| coverage@3 (decisive) | 1.000 | 1.000 | 1.000 |" in run("eval", "--dataset", str(tmp_path / "g.json"), "--top-k", "3")
