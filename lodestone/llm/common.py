@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import math
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of characters other than space, TAB, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
+#: Bytes of a row group of staged tables: a task holds one in memory while it writes.
+ROW_GROUP = 16 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -27,24 +30,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, heavy: bool = False) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
     Cuts the lineage in a way that survives lost executors (the files are in
-    the shared store) and lets the shuffles behind ``df`` be freed.
+    the shared store) and lets the shuffles behind ``df`` be freed. ``heavy``:
+    wait until they are, so that their files don't stand beside the next ones.
     """
     spark, schema = df.sparkSession, df.schema
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     del df  # else its shuffles are still held below
-    free_shuffles(spark)
+    free_shuffles(spark, heavy)
     return spark.read.schema(schema).parquet(path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
+def free_shuffles(spark: SparkSession, wait: bool = False) -> None:
     """Let Spark's context cleaner drop the shuffle files of plans no longer held."""
     gc.collect()
+    if wait:
+        spark.range(0, 4, 1, 4).write.format("noop").mode("overwrite").save()  # the scheduler still holds the last job's plan
+        time.sleep(1.2)  # Python tells the JVM once a second which plans it has dropped
     spark.sparkContext._jvm.System.gc()
+    if wait:
+        time.sleep(0.3)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

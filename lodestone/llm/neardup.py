@@ -294,13 +294,13 @@ def label_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     below all others.
     """
     small_batches(docs.sparkSession)
-    found = stage(table_entries(docs, k), "near-tables")
+    found = stage(table_entries(docs, k), "near-tables", heavy=True)
     buckets = found.where(f"kind = {BUCKET}").select(F.col("a").alias("key"), F.col("b").alias("id"))
     turn: Column = F.xxhash64("id", F.pmod("key", F.lit(ORDERS)))
     centres = buckets.groupBy("key").agg(F.min(F.struct(turn.alias("h"), F.col("id").alias("c"))).alias("_c")).select(F.col("key").alias("_key"), F.col("_c.c").alias("c"))
     pairs = buckets.join(centres, F.col("key") == F.col("_key")).where("id <> c").select(F.greatest("id", "c").alias("a"), F.least("id", "c").alias("b")).distinct()
     pairs = stage(pairs, "near-pairs")
-    sets = stage(full_sets(docs, buckets.select("id").distinct(), k), "near-sets")
+    sets = stage(full_sets(docs, buckets.select("id").distinct(), k), "near-sets", heavy=True)
     links = found.where(f"kind = {LINK}").select("a", "b").unionByName(stage(confirmed(pairs, sets, percent), "near-links"))
     links = stage(links.distinct(), "near-all-links")
     roots = components(links)

@@ -375,8 +375,8 @@ def repeated_windows(docs: DataFrame, hashed: bool = True) -> DataFrame:
     """``_doc, _th, start, stop``: stretches of window starts whose 100 bytes also start earlier."""
     small_batches(docs.sparkSession)
     parts = text_parts(docs)
-    found = stage(find_stretches(docs, parts, hashed), "suffix-stretches")
-    more = stage(find_windows(docs, found.where(f"kind = {OPEN}"), parts, hashed), "suffix-windows")
+    found = stage(find_stretches(docs, parts, hashed), "suffix-stretches", heavy=True)
+    more = stage(find_windows(docs, found.where(f"kind = {OPEN}"), parts, hashed), "suffix-windows", heavy=True)
     return found.where(f"kind = {REPEAT}").unionByName(more).drop("kind")
 
 

@@ -34,6 +34,8 @@ DATE = "2024-01-01T00:00:00Z"
 END = b"\r\n\r\n"
 #: Payloads of fewer bytes are always responses.
 LEAST_REVISIT = 0
+#: Payload that an archive holds by default, before compression.
+ARCHIVE_BYTES = 128 << 20
 #: A decompressed record may be so long at most; longer claims are taken for damage.
 MOST_RECORD = 1 << 31
 
@@ -90,9 +92,16 @@ def encode_record(page_id: int | None, url: str | None, payload: bytes, digest:
     return head + block + END
 
 
-def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT, records_per_file: int = 20_000) -> None:
-    """Write ``pages`` (page_id, url, html) as .warc.zst archives below ``path``."""
+def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT, records_per_file: int | None = None) -> None:
+    """Write ``pages`` (page_id, url, html) as .warc.zst archives below ``path``.
+
+    By default an archive holds as many records as make up about ARCHIVE_BYTES
+    of payload, since a reader takes an archive at once.
+    """
     small_batches(pages.sparkSession)
+    if records_per_file is None:
+        mean = pages.agg(F.avg(F.coalesce(F.octet_length("html"), F.lit(0)))).first()[0] or 0
+        records_per_file = max(1, min(20_000, int(ARCHIVE_BYTES / (mean + 500))))
 
     def members(batches):
         pack = zstandard.ZstdCompressor(level=3, write_checksum=True)
