@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import scratch_path, small_batches
+from lodestone.llm.common import free_shuffles, scratch_path, small_batches
 
 ZSTD, GZIP, VERSION = b"\x28\xb5\x2f\xfd", b"\x1f\x8b\x08", b"WARC/1."
 #: A skippable zstd frame of one byte; that byte is the sink's line separator.
@@ -242,8 +242,16 @@ def read_archives(spark, path: str, with_payload: bool = True) -> DataFrame:
 
 
 def op3_query(spark, sf_dir: str) -> DataFrame:
+    """Pages written to archives and read back.
+
+    Defined cases: a null html is an empty payload; a null url gets a urn; rows
+    that bear the smallest id of their payload are responses, all others revisit
+    it, those with a null id too; if all ids of a payload are null, its rows are
+    responses; other columns are ignored; no pages give no records.
+    """
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     path = scratch_path(spark, "warc")
     write_archives(pages, path)
+    free_shuffles(spark, wait=True)  # the archives are in the shared folder now
     records = read_archives(spark, path, with_payload=False).where("status = 'record'")
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
