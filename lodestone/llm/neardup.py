@@ -10,9 +10,11 @@ Documents that meet are compared on their full shingle sets. Every bucket links
 its members to a centre that differs by table; components of the confirmed links
 follow by alternating large-star and small-star steps. Then the members of every
 bundle that holds several components are sorted by their other bundles, so that
-the most similar stand side by side, and each is compared with the next few of
-another component; that is repeated until nothing new is linked, so no link
-depends on a lucky centre and no group is compared pair by pair. No group is
+the most similar stand side by side; each is compared with the next few of
+another component, with the bundle's most linked member and with one drawn at
+random. That is repeated
+until nothing new is linked, so no link depends on a lucky centre and no group
+is compared pair by pair. No group is
 gathered in one place: identical sets are folded inside blocks, crowded buckets
 overflow into plain rows, and the sort splits a bundle over range partitions.
 """
@@ -35,8 +37,8 @@ SIDE, ROWS = 10, 2
 MANY = 16
 #: Orders by which tables choose their centres.
 ORDERS = 4
-#: Neighbours with which a member of a bundle of several components is compared, and rounds of that at most.
-NEAR, ROUNDS = 3, 4
+#: Neighbours with which a member of a bundle of several components is compared; rounds of that at least and at most.
+NEAR, LEAST_ROUNDS, ROUNDS = 3, 2, 5
 U = textnp.U
 SEEDS = textnp.mix(np.arange(1, 2 * SIDE * ROWS + 1, dtype=U) * textnp.MUL) | U(1)
 INFO, LINK, BUCKET = 1, 2, 3
@@ -255,6 +257,20 @@ def neighbours(own: DataFrame, percent: int) -> DataFrame:
     return found.where("a is not null").unionByName(over).select("a", "b").distinct()
 
 
+def with_centres(own: DataFrame, links: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Candidate pairs (a, b) of each member of a bundle with two others, if they are of another component.
+
+    One is the bundle's most linked member (an original whose copies are alike
+    to it alone), the other is drawn anew in each ``turn``.
+    """
+    degree = links.select(F.col("a").alias("_i")).unionByName(links.select(F.col("b").alias("_i"))).groupBy("_i").agg(F.count("*").alias("degree"))
+    ranked = own.join(degree, F.col("id") == F.col("_i"), "left").withColumns({"degree": F.coalesce("degree", F.lit(0)), "draw": F.xxhash64(F.lit(turn), "key", "id")})
+    best = [F.max(F.struct(F.col(by).alias("by"), "id", "n", "root")).alias(by) for by in ("degree", "draw")]
+    centres = ranked.groupBy("key").agg(*best).select(F.col("key").alias("_k"), F.explode(F.array("degree", "draw")).alias("_h")).select("_k", "_h.id", "_h.n", "_h.root").toDF("_k", "_id", "_n", "_root")
+    met = own.join(centres, F.col("key") == F.col("_k")).where((F.col("root") != F.col("_root")) & (100 * F.col("n") >= percent * F.col("_n")) & (100 * F.col("_n") >= percent * F.col("n")))
+    return met.select(F.greatest("id", "_id").alias("a"), F.least("id", "_id").alias("b"))
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first())
 
@@ -307,15 +323,18 @@ def label_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
 
     own = sets.select("id", F.size("words_set").cast("long").alias("n"), F.explode(F.arrays_zip("keys", "looks")).alias("_z")).select("id", "n", "_z.keys", "_z.looks").toDF("id", "n", "key", "look")
     own = stage(own, "near-bundles")
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         rooted = own.join(roots.withColumnRenamed("id", "_r"), F.col("id") == F.col("_r"), "left").select("key", "look", "id", "n", F.coalesce("root", "id").alias("root"))
         mixed = rooted.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select(F.col("key").alias("_k"))
-        rooted = rooted.join(mixed, F.col("key") == F.col("_k"), "left_semi")
-        more = stage(neighbours(rooted, percent).join(pairs, ["a", "b"], "left_anti"), "near-more")
+        rooted = stage(rooted.join(mixed, F.col("key") == F.col("_k"), "left_semi"), "near-mixed")
+        asked = neighbours(rooted, percent).unionByName(with_centres(rooted, links, percent, turn)).distinct()
+        more = stage(asked.join(pairs, ["a", "b"], "left_anti"), "near-more")
         pairs = pairs.unionByName(more)
         new = stage(confirmed(more, sets, percent), "near-new")
         if new.isEmpty():
-            break
+            if turn + 1 >= LEAST_ROUNDS:
+                break
+            continue
         links = links.unionByName(new)
         roots = components(links)
     info = found.where(f"kind = {INFO}").select(F.col("a").alias("_id"), F.col("b").alias("n_shingles"))
