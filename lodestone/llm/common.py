@@ -136,6 +136,11 @@ def boxed(df: DataFrame, fields: list[str] | None = None, **keys: Column) -> Dat
     return df.select(row.alias("_row"), *[v.alias(k) for k, v in keys.items()])
 
 
+def beside_text(df: DataFrame, **keys: Column) -> DataFrame:
+    """``boxed`` with all columns but ``text``, which stands beside them: so a row carries it once."""
+    return boxed(df, [c for c in df.columns if c != "text"], text=F.col("text"), **keys)
+
+
 def fields_of(names: list[str], **changed: Column) -> list[Column]:
     """The named fields of ``_row``; those in ``changed`` are replaced."""
     return [changed.get(c, F.col("_row")[c]).alias(c) for c in names]

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, boxed, fields_of, n_words
+from lodestone.llm.common import WORD, beside_text, boxed, fields_of, n_words
 
 #: Slices of the hash-key space in each source (three hex digits); a hot source is spread over all of them.
 SLICE_DIGITS = 3
@@ -83,7 +83,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     The document that crosses its source's budget is cut after the words that
     are left. Documents with no words are taken zero times, so they go.
     """
-    packed = boxed(docs, source=F.col("source"), doc_id=F.col("doc_id"), text=F.col("text"))
+    packed = beside_text(docs, source=F.col("source"), doc_id=F.col("doc_id"))
     mixed = mix(packed, n_words(F.col("text")), **options)
     full = F.col("taken") / F.col("size")
     rows = mixed.where(F.col("taken") > 0).withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.ceil(full).cast("int"))))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SPACES, boxed, fields_of, let, n_words, stage
+from lodestone.llm.common import SPACES, beside_text, fields_of, let, n_words, stage
 
 #: A line is removed when it is in more than LINE_DOCS documents of its host and in more than this share of them.
 LINE_DOCS, LINE_SHARE = 10, 0.01
@@ -139,7 +139,7 @@ def clean_documents(docs: DataFrame, host: str = "source", least_docs: int = LIN
     figures = _figures(docs, host)
     often = stage(frequent_lines(figures, host, least_docs, share), "quality-often")
     verdict = _verdicts(figures, often, host, LEAST_LEFT).where("kept").select(F.col("doc_id").alias("_kd"), F.col("_id").alias("_kt"), F.col(host).alias("_kh"))
-    keyed = boxed(docs, _doc=F.col("doc_id"), _th=F.xxhash64("text"), _own=F.col(host), text=F.col("text"))
+    keyed = beside_text(docs, _doc=F.col("doc_id"), _th=F.xxhash64("text"), _own=F.col(host))
     kept = keyed.join(verdict, F.col("_doc").eqNullSafe(F.col("_kd")) & (F.col("_th") == F.col("_kt")) & F.col("_own").eqNullSafe(F.col("_kh")), "left_semi")
     by_host = often.groupBy("_host").agg(F.collect_set("_h").alias("_often"))
     joined = kept.join(by_host, F.col("_own").eqNullSafe(F.col("_host")), "left")

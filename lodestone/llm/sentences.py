@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import textnp
-from lodestone.llm.common import boxed, fields_of, small_batches, stage
+from lodestone.llm.common import beside_text, fields_of, small_batches, stage
 from lodestone.llm.exchange import NO_ID, blocks, first_of, gathered, keyed_texts, packed_schema, split, text_parts
 
 RUN, LEAST_WORDS, LONGEST = 3, 12, 40
@@ -133,7 +133,7 @@ def remove_repeated_sentences(docs: DataFrame) -> DataFrame:
     """
     t, h, r = "_t_doc", "_t_th", "_runs"
     spans = stage(removed_spans(docs), "sentence-spans").groupBy(F.col("_doc").alias(t), F.col("_th").alias(h)).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(r))
-    keyed = boxed(docs, text=F.col("text"), _k_doc=F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long"), _k_th=F.xxhash64("text"))
+    keyed = beside_text(docs, _k_doc=F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long"), _k_th=F.xxhash64("text"))
     out = keyed.join(spans, (F.col("_k_doc") == F.col(t)) & (F.col("_k_th") == F.col(h)), "left")
     raw = F.col("text").cast("binary")
     kept = F.aggregate(

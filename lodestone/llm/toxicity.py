@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textnp
-from lodestone.llm.common import is_held_out, small_batches
+from lodestone.llm.common import beside_text, fields_of, is_held_out, small_batches
 
 #: Hash buckets; the weights that reach the workers are at most so many pairs.
 BITS = 20
@@ -16,6 +16,8 @@ BITS = 20
 TRAIN_DOCS = 20_000
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 3.0, 1.0, 3
 THRESHOLD = 0.3
+#: Bias of a model that has seen no document.
+NOTHING = -20.0
 
 
 def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +93,8 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", train_docs: i
 
     One task sees them in the order of an id hash, so reruns agree. Where an id
     has several labels the largest counts, of several texts the last in order;
-    null labels are ignored. Without labels the model is empty and scores 0.5.
+    null labels are ignored. Without labelled documents nothing is known to be
+    toxic: the model is a bias that scores all texts next to 0.
     At most 2^BITS + 1 weights reach the driver.
     """
     small_batches(docs.sparkSession)
@@ -110,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", train_docs: i
         ids, w = train(texts, ys) if texts else (np.zeros(0, np.int64), np.zeros(0))
         yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(w, pa.float64())], ["id", "w"])
 
-    found = rows.mapInArrow(learn, "id long, w double").collect()
+    found = rows.mapInArrow(learn, "id long, w double").collect() or [(1 << BITS, NOTHING)]
     return np.array([r[0] for r in found], np.int64), np.array([r[1] for r in found])
 
 
@@ -140,8 +143,9 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], thres
 
 
 def toxic_filter(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents that the model does not reject."""
-    return score_documents(docs, fit(docs, labels)).where("predicted = 0").select(*docs.columns)
+    """Documents that the model does not reject; all columns as they are."""
+    scored = score_documents(beside_text(docs), fit(docs, labels)).where("predicted = 0")
+    return scored.select(*fields_of(docs.columns, text=F.col("text")))
 
 
 def op8_query(spark, sf_dir: str) -> DataFrame:

@@ -74,13 +74,16 @@ def test_edge_cases(spark):
     docs = clashing(frame(spark, corpus()))
     none = toxicity.fit(docs, spark.createDataFrame([], schema))
     out = toxicity.score_documents(docs, none)
-    assert out.count() == docs.count() and out.where("score <> 0.5").count() == 0
+    assert out.count() == docs.count() and out.where("score > 0.001").count() == 0
     some = toxicity.fit(docs, spark.createDataFrame([(None, 0, 1), (1, 0, None), (2, 0, 1), (2, 0, 0), (3, 0, 0)], schema))
     out = toxicity.score_documents(docs, some)
     assert out.where("score is null or score < 0 or score > 1").count() == 0
     assert toxicity.score_documents(frame(spark, []), some).count() == 0
     kept = toxicity.toxic_filter(docs, spark.createDataFrame([], schema))
-    assert kept.columns == docs.columns
+    assert kept.columns == docs.columns and kept.count() == docs.count()
+    lab = spark.createDataFrame([(i, 0, 0) for i in range(60)], schema)
+    kept = toxicity.toxic_filter(docs, lab)
+    assert kept.count() == docs.count() and kept.exceptAll(docs).isEmpty()
 
 
 def test_query_on_held_out_documents(spark):
