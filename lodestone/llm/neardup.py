@@ -327,7 +327,8 @@ def label_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
         rooted = own.join(roots.withColumnRenamed("id", "_r"), F.col("id") == F.col("_r"), "left").select("key", "look", "id", "n", F.coalesce("root", "id").alias("root"))
         mixed = rooted.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select(F.col("key").alias("_k"))
         rooted = stage(rooted.join(mixed, F.col("key") == F.col("_k"), "left_semi"), "near-mixed")
-        asked = neighbours(rooted, percent).unionByName(with_centres(rooted, links, percent, turn)).distinct()
+        asked = with_centres(rooted, links, percent, turn)
+        asked = (asked if turn else asked.unionByName(neighbours(rooted, percent))).distinct()  # neighbours stay the same
         more = stage(asked.join(pairs, ["a", "b"], "left_anti"), "near-more")
         pairs = pairs.unionByName(more)
         new = stage(confirmed(more, sets, percent), "near-new")
