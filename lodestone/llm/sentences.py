@@ -20,16 +20,31 @@ from lodestone.llm.common import beside_text, fields_of, small_batches, stage
 from lodestone.llm.exchange import NO_ID, blocks, first_of, gathered, keyed_texts, packed_schema, split, text_parts
 
 RUN, LEAST_WORDS, LONGEST = 3, 12, 40
+#: Words of a window, and words that hold an anchor at least: PASSAGE + GAP - 1 repeated words hold a whole window.
+PASSAGE, GAP = 40, 11
 U = textnp.U
 ENDS = np.zeros(256, bool)
 ENDS[[ord(c) for c in ".!?"]] = True
 LINES = np.zeros(256, bool)
 LINES[[10, 11, 12, 13]] = True
+#: The lowest bit of a key tells windows from runs.
+ONE = U(1)
 FOUND = "_doc long, _th long, start long, stop long, _first long"
 
 
+def anchors(h: np.ndarray) -> np.ndarray:
+    """Whether a word's pair hash is the smallest of some GAP neighbouring ones (the last of equal ones)."""
+    out = np.zeros(len(h), bool)
+    if len(h) < GAP:
+        return out
+    pair = textnp.combine(h, np.append(h[1:], U(0)))
+    rows = np.lib.stride_tricks.sliding_window_view(pair, GAP)
+    out[np.arange(len(rows)) + GAP - 1 - rows[:, ::-1].argmin(1)] = True
+    return out
+
+
 def sentence_runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Document number, start, stop (bytes in the text) and hash of every run, in text order.
+    """Document number, start, stop (bytes in the text) and hash of every run, then of every window.
 
     A text with words but too short for a full run is one run.
     """
@@ -59,15 +74,34 @@ def sentence_runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     full = end <= doc_end
     whole = ~full & (i == doc_start)
     end = np.minimum(end, doc_end)
+    # Ends of full runs don't decrease from sentence to sentence, so the first run after a word ends first.
+    run_head, run_stop = head[full], stop[end[full] - 1]
     use = full | whole
     i, end = i[use], end[use]
     sums = textnp.prefix(h)
     a, b = head[i], stop[end - 1]
-    key = textnp.mix(textnp.stretch(sums, a, b) ^ (b - a).astype(U))
+    key = textnp.mix(textnp.stretch(sums, a, b) ^ (b - a).astype(U)) & ~ONE
+    begin = anchors(h)
+    begin[head] = True
+    ends = stop - PASSAGE
+    begin[ends[ends >= 0]] = True
+    begin = np.flatnonzero(begin)
+    begin = begin[begin + PASSAGE <= len(at)]
+    begin = begin[doc[begin] == doc[begin + PASSAGE - 1]]
+    nearest = np.append(run_stop, len(at) + 1)[np.searchsorted(run_head, begin, "left")]
+    begin = begin[nearest > begin + PASSAGE]
+    i = np.concatenate([i, np.searchsorted(head, begin, "right") - 1])
+    a, b = np.concatenate([a, begin]), np.concatenate([b, begin + PASSAGE])
+    key = np.concatenate([key, textnp.mix(textnp.stretch(sums, begin, begin + PASSAGE) ^ U(PASSAGE)) | ONE])
     d = of[i]
     return d, at[a] - bounds[d], edge[b - 1] - bounds[d], key
 
 
+def apart(key: np.ndarray, start: np.ndarray, first: np.ndarray, first_stop: np.ndarray) -> np.ndarray:
+    """Whether a place in the text of the first is another one; windows must not overlap it."""
+    return np.where((key & ONE).astype(bool), start >= first_stop, start != first)
+
+
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """``_doc, _th, start, stop, _first``: each non-first run and the id of an earlier document (or the same) that has it."""
     spark = docs.sparkSession
@@ -86,12 +120,13 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
             order, head = first_of((key, np.arange(len(key))))
             d, start, stop, key = d[order], start[order], stop[order], key[order]
             lead = np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))
-            again = ~head & ((ids[d] != ids[d[lead]]) | (hashes[d] != hashes[d[lead]]) | (start != start[lead]))
+            again = ~head & ((ids[d] != ids[d[lead]]) | (hashes[d] != hashes[d[lead]]) | apart(key, start, start[lead], stop[lead]))
+            left = head | (~again & (start != start[lead]))  # windows that overlap the first here may repeat one elsewhere
             if again.any():
                 g = np.flatnonzero(again)
                 flat = [ids[d[g]], hashes[d[g]], start[g], stop[g], ids[d[lead[g]]]]
                 yield pa.record_batch([pa.array(np.full(1, -1, np.int32)), *[pa.array([x.tobytes()], pa.binary()) for x in flat]], ["part", "c0", "c1", "c2", "c3", "c4"])
-            d, start, stop, key = d[head], start[head], stop[head], key[head]
+            d, start, stop, key = d[left], start[left], stop[left], key[left]
             yield split(key, parts, [key, ids[d], hashes[d], start.astype(np.int64), (stop - start).astype(np.int64)])
 
     def rows_of(columns):
@@ -103,7 +138,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         key, doc, th, start, size = gathered(table, 5)
         order, head = first_of((key, doc, th, start))
         lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-        g = np.flatnonzero(~head & ((doc[order] != doc[lead]) | (th[order] != th[lead]) | (start[order] != start[lead])))
+        g = np.flatnonzero(~head & ((doc[order] != doc[lead]) | (th[order] != th[lead]) | apart(key[order], start[order], start[lead], (start + size)[lead])))
         i = order[g]
         return rows_of([doc[i], th[i], start[i], start[i] + size[i], doc[lead[g]]])
 

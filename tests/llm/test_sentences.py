@@ -111,3 +111,34 @@ def test_query(spark, sf_dir):
         got.setdefault(r["doc_id"], []).append((r["start_byte"], r["stop_byte"]))
         assert r["first_doc_id"] <= r["doc_id"]
     assert {k: sorted(v) for k, v in got.items()} == {k[0]: v for k, v in brute(rows).items()}
+
+
+def test_long_passages_of_few_sentence_ends_are_found(spark):
+    import random
+
+    rng = random.Random(8)
+    vocab = vocabulary(rng, 3000)
+    some = lambda n: [rng.choice(vocab) for _ in range(n)]
+    rows, sizes = [], {}
+    for ends in (0, 1, 2):
+        for case in range(12):
+            words = some(51 + case)
+            for i in range(ends):
+                words[(i + 1) * len(words) // (ends + 1)] += "."
+            passage = " ".join(words)
+            first, again = 1000 * ends + case, 1000 * ends + 500 + case
+            rows += [(first, " ".join([*some(7 + case), passage, *some(30)])), (again, " ".join([*some(3 * case + 20), passage, *some(9)]))]
+            sizes[again] = len(passage.encode())
+    text = dict(rows)
+    got = spans(spark, rows)
+    assert set(got) == set(sizes)
+    for i, v in got.items():  # at most GAP - 1 words stay at an end
+        held = text[i].encode()
+        assert sum(len(held[a:b].split()) for a, b in v) >= 51 - 2 * (sentences.GAP - 1)
+        assert all(any(held[a:b] in t.encode() for j, t in rows if j != i) for a, b in v)
+
+
+def test_windows_that_overlap_their_first_place_stay(spark):
+    text = "ha " * 60
+    assert spans(spark, [(1, text)]) == {k[0]: v for k, v in brute([(1, text)]).items()}
+    assert spans(spark, [(1, text), (2, "Other words. " + text)])[2]
