@@ -12,10 +12,10 @@ follow by alternating large-star and small-star steps. Then the members of every
 bundle that holds several components are sorted by their other bundles, so that
 the most similar stand side by side; each is compared with the next few of
 another component, with the bundle's most linked member and with one drawn at
-random. That is repeated
-until nothing new is linked, so no link depends on a lucky centre and no group
-is compared pair by pair. No group is
-gathered in one place: identical sets are folded inside blocks, crowded buckets
+random, until nothing new is linked. That leaves few components; last, all
+pairs of a shared bucket whose ends are still in different ones are compared, so
+no link depends on a lucky centre. No group is
+gathered in one place: crowded buckets are compared block by block, identical sets are folded inside blocks, crowded buckets
 overflow into plain rows, and the sort splits a bundle over range partitions.
 """
 
@@ -39,6 +39,8 @@ MANY = 16
 ORDERS = 4
 #: Neighbours with which a member of a bundle of several components is compared; rounds of that at least and at most.
 NEAR, LEAST_ROUNDS, ROUNDS = 3, 2, 5
+#: Members of a block of a crowded bucket, where blocks are compared with each other.
+CELL = 256
 U = textnp.U
 SEEDS = textnp.mix(np.arange(1, 2 * SIDE * ROWS + 1, dtype=U) * textnp.MUL) | U(1)
 INFO, LINK, BUCKET = 1, 2, 3
@@ -271,6 +273,25 @@ def with_centres(own: DataFrame, links: DataFrame, percent: int, turn: int) -> D
     return met.select(F.greatest("id", "_id").alias("a"), F.least("id", "_id").alias("b"))
 
 
+def unlinked_pairs(buckets: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of near sizes that share a bucket and are of different components.
+
+    A bucket is cut into blocks by a hash of the id, and each pair of blocks is
+    a cell of its own, so no task takes a whole crowded bucket.
+    """
+    sized = buckets.join(sets.select(F.col("id").alias("_s"), F.size("words_set").cast("long").alias("n")), F.col("id") == F.col("_s"))
+    rooted = sized.join(roots.withColumnRenamed("id", "_r"), F.col("id") == F.col("_r"), "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_m")).where("_lo < _hi")
+    mixed = mixed.select(F.col("key").alias("_k"), F.ceil(F.col("_m") / CELL).cast("int").alias("_cells"))
+    own = rooted.join(mixed, F.col("key") == F.col("_k")).withColumn("at", F.pmod(F.xxhash64("id"), F.col("_cells")).cast("int"))
+    own = own.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_cells") - 1)))
+    own = stage(own.select("key", F.least("at", "_x").alias("lo"), F.greatest("at", "_x").alias("hi"), "at", "id", "n", "root").distinct(), "near-cells")
+    other = own.select(*[F.col(c).alias(f"_{c}") for c in own.columns])
+    met = own.join(other, (F.col("key") == F.col("_key")) & (F.col("lo") == F.col("_lo")) & (F.col("hi") == F.col("_hi")))
+    met = met.where((F.col("id") > F.col("_id")) & (F.col("root") != F.col("_root")) & ((F.col("at") != F.col("_at")) | (F.col("lo") == F.col("hi"))))
+    return met.where((100 * F.col("n") >= percent * F.col("_n")) & (100 * F.col("_n") >= percent * F.col("n"))).select(F.col("id").alias("a"), F.col("_id").alias("b")).distinct()
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first())
 
@@ -338,6 +359,10 @@ def label_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
             continue
         links = links.unionByName(new)
         roots = components(links)
+    rest = stage(unlinked_pairs(buckets, sets, roots, percent).join(pairs, ["a", "b"], "left_anti"), "near-rest")
+    new = stage(confirmed(rest, sets, percent), "near-new")
+    if not new.isEmpty():
+        roots = components(links.unionByName(new))
     info = found.where(f"kind = {INFO}").select(F.col("a").alias("_id"), F.col("b").alias("n_shingles"))
     out = info.join(roots.withColumnRenamed("id", "_r"), F.col("_id") == F.col("_r"), "left")
     return out.select("_id", "n_shingles", F.coalesce("root", "_id").alias("root"))

@@ -108,3 +108,21 @@ def test_query(spark, sf_dir):
     want, sets = brute(rows, 4), sets_of(rows, 4)
     for r in neardup.op6_query(spark, sf_dir).collect():
         assert (r["component_id"], r["n_shingles"], r["kept"]) == (want[r["doc_id"]], len(sets[r["doc_id"]][0]), want[r["doc_id"]] == r["doc_id"])
+
+
+def test_pairs_of_crowded_buckets_are_all_compared(spark, monkeypatch):
+    # template texts just below 0.8 of each other, pairs of them above; no round of drawn members helps
+    monkeypatch.setattr(neardup, "ROUNDS", 0)
+    monkeypatch.setattr(neardup, "CELL", 16, raising=False)
+    rng = random.Random(11)
+    base, rows = [f"t{i}" for i in range(120)], []
+    for i in range(150):
+        v = list(base)
+        for p in rng.sample(range(5, 115, 10), 3):
+            v[p] = f"own{i}x{p}"
+        w = list(v)
+        w[rng.choice([2, 60, 117])] = f"pair{i}"
+        rows += [(i, " ".join(v)), (1000 + i, " ".join(w))]
+    want = brute(rows, 4)
+    assert len(set(want.values())) > 20
+    assert labels(spark, rows, 4) == want
