@@ -11,7 +11,9 @@ Reading: records are taken member by member (zstd frames, gzip members or plain
 version lines). When a member or record fails its checks (frame checksum,
 version line, header, Content-Length, payload digest, record end) the reader
 searches for the next valid member or version line, goes on there, and logs the
-bytes between as a quarantined gap.
+bytes between as a quarantined gap. A member of which a record or the end is
+damaged keeps its valid records: the search goes on at the next version line of
+its decompressed bytes, and the gap names the offset inside the member.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ END = b"\r\n\r\n"
 LEAST_REVISIT = 0
 #: Payload that an archive holds by default, before compression.
 ARCHIVE_BYTES = 128 << 20
+CUT = "ValueError: member is cut"
 #: A decompressed record may be so long at most; longer claims are taken for damage.
 MOST_RECORD = 1 << 31
 
@@ -139,21 +142,74 @@ class _Record:
             raise ValueError("payload digest differs")
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    """Plain bytes of the compressed member at ``at`` and where the next begins."""
+def _member(data: bytes, at: int) -> tuple[bytes, int | None, str]:
+    """Plain bytes of the compressed member at ``at``, where the next begins, and what is wrong with it.
+
+    Of a damaged or cut member the bytes before the damage are given, and None
+    for its end.
+    """
     if data.startswith(ZSTD, at):
         d = zstandard.ZstdDecompressor().decompressobj()
     elif data.startswith(GZIP, at):
         d = zlib.decompressobj(31)
     else:
         raise ValueError("no member")
-    raw, pos = [], at
+    raw, pos, why = [], at, CUT
+    step = 1 << 16
     while pos < len(data):
-        raw.append(d.decompress(data[pos : pos + (1 << 16)]))
-        pos = min(len(data), pos + (1 << 16))
+        before = d.copy() if hasattr(d, "copy") else None
+        try:
+            raw.append(d.decompress(data[pos : pos + step]))
+        except (zlib.error, zstandard.ZstdError) as e:
+            why = f"{type(e).__name__}: {e}"
+            raw += _before_damage(data, at, pos, step, before)
+            break
+        pos = min(len(data), pos + step)
         if getattr(d, "eof", False):
-            return b"".join(raw), pos - len(d.unused_data)
-    raise ValueError("member is cut")
+            return b"".join(raw), pos - len(d.unused_data), ""
+    return b"".join(raw), None, why
+
+
+def _before_damage(data: bytes, at: int, pos: int, step: int, d) -> list[bytes]:
+    """What the piece at ``pos`` still gives before its damage, taken in small pieces; zstd has no copies, so the member is begun anew."""
+    out, fresh = [], d is None
+    if fresh:
+        d = zstandard.ZstdDecompressor().decompressobj()
+        for i in range(at, pos, step):
+            d.decompress(data[i : min(pos, i + step)])
+    try:
+        for i in range(pos, min(len(data), pos + step), 1 if not fresh else 64):
+            out.append(d.decompress(data[i : i + (1 if not fresh else 64)]))
+    except (zlib.error, zstandard.ZstdError):
+        pass
+    return out
+
+
+def _records(raw: bytes, unsure: bool = False):
+    """Yield ("record", start, stop, _Record) and ("gap", start, stop, reason) that tile the plain bytes of a member.
+
+    ``unsure``: the member fails its own checks, so only records with a digest can be trusted.
+    """
+    at, bad, why = 0, None, ""
+    while at < len(raw):
+        try:
+            r = _Record(raw, at)
+            if unsure and not r.head.get("warc-block-digest") and not (r.kind == "response" and r.digest):
+                raise ValueError("no digest in a damaged member")
+        except (ValueError, KeyError, UnicodeDecodeError) as e:
+            if bad is None:
+                bad, why = at, f"{type(e).__name__}: {e}"
+            at = raw.find(VERSION, at + 1)
+            if at < 0:
+                break
+            continue
+        if bad is not None:
+            yield "gap", bad, at, why
+            bad = None
+        yield "record", at, r.stop, r
+        at = r.stop
+    if bad is not None:
+        yield "gap", bad, len(raw), why
 
 
 def _next_start(data: bytes, at: int) -> int:
@@ -165,9 +221,11 @@ def _next_start(data: bytes, at: int) -> int:
 def salvage(data: bytes):
     """Yield ("record", start, stop, _Record) and ("gap", start, stop, reason) that tile the archive.
 
+    Records and gaps inside one compressed member bear that member's place.
     Skippable zstd frames and white space between records belong to neither.
     """
     at, bad, why = 0, None, ""
+    kept = set()  # of the damaged member whose rest is searched: stored blocks would show its records again
     while at < len(data):
         if bad is None:
             if data[at + 1 : at + 4] == b"\x2a\x4d\x18" and 0x50 <= data[at] <= 0x5F and at + 8 <= len(data):
@@ -180,14 +238,17 @@ def salvage(data: bytes):
                 continue
         try:
             if data.startswith(VERSION, at):
-                found = [_Record(data, at)]
+                found, lost, hurt = [_Record(data, at)], [], ""
                 end = found[0].stop
+                if bad is not None and found[0].head.get("warc-record-id") in kept:
+                    raise ValueError("taken already")
             else:
-                raw, end = _member(data, at)
-                found, pos = [], 0
-                while pos < len(raw):
-                    found.append(_Record(raw, pos))
-                    pos = found[-1].stop
+                raw, end, hurt = _member(data, at)
+                inside = list(_records(raw, bool(hurt) and hurt != CUT))
+                found = [x[3] for x in inside if x[0] == "record"]
+                if not found and (hurt or inside):
+                    raise ValueError(hurt or inside[0][3])
+                lost = [(f"inner offset {x[1]} to {x[2]}: {x[3]}") for x in inside if x[0] == "gap"]
         except (ValueError, KeyError, zlib.error, zstandard.ZstdError, UnicodeDecodeError) as e:
             if bad is None:
                 bad, why = at, f"{type(e).__name__}: {e}"[:120]
@@ -196,9 +257,18 @@ def salvage(data: bytes):
         if bad is not None:
             yield "gap", bad, at, why
             bad = None
+        kept = set()
+        upto = end if end is not None else _next_start(data, at + 1)
         for r in found:
-            yield "record", at, end, r
-        at = end
+            yield "record", at, upto, r
+        if end is not None:
+            for reason in lost:
+                yield "gap", at, end, reason[:120]
+            at = end
+        else:  # the compressed rest is searched for the next member
+            bad, why = at, f"after inner offset {found[-1].stop}: {hurt}"[:120] if not lost else f"{lost[0]}; {hurt}"[:120]
+            at = upto
+            kept = {r.head.get("warc-record-id") for r in found} - {None}
     if bad is not None:
         yield "gap", bad, len(data), why
 

@@ -117,3 +117,34 @@ def test_query(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").collect()]
     got = sorted((tuple(r) for r in warc.op3_query(spark, sf_dir).collect()), key=str)
     assert got == brute(rows)
+
+
+def test_members_of_many_records_keep_what_is_whole():
+    pack = zstandard.ZstdCompressor(write_checksum=True).compress
+    rng = random.Random(4)
+    for wrap in (pack, gzip.compress):
+        records = [record(i, rng.randbytes(3000)) for i in range(60)]
+        hurt = [bytearray(r) for r in records]
+        hurt[20][-100] ^= 0xFF  # a digest
+        hurt[40][2] ^= 0xFF  # a version line
+        data = wrap(b"".join(map(bytes, hurt)))
+        ids, gaps = tiles(data)
+        assert ids == [str(i) for i in range(60) if i not in (20, 40)] and gaps == [(0, len(data))] * 2
+        reasons = [x[3] for x in warc.salvage(data) if x[0] == "gap"]
+        assert f"inner offset {20 * len(records[0]) + sum(len(r) - len(records[0]) for r in records[:20])} " in reasons[0]
+        whole = wrap(b"".join(records))
+        ids, gaps = tiles(whole[:-8000] + wrap(record(99)))
+        assert ids[:20] == [str(i) for i in range(20)] and ids[-1] == "99" and len(gaps) == 1
+        ids, gaps = tiles(whole[:-2])  # only the checksum is cut
+        assert ids == [str(i) for i in range(60)] and len(gaps) == 1
+
+
+def test_damaged_members_give_no_record_twice_or_unproved():
+    records = [record(i, b"body %d " % i * 200) for i in range(6)]
+    stored = bytearray(gzip.compress(b"".join(records), 0))
+    stored[-6] ^= 0xFF  # the member's checksum
+    assert tiles(bytes(stored) + gzip.compress(record(9)))[0] == [*map(str, range(6)), "9"]
+    bare = b"WARC/1.1\r\nWARC-Type: resource\r\nX-Page-Id: 7\r\nContent-Length: 4\r\n\r\nbody\r\n\r\n"
+    data = bytearray(gzip.compress(bare + records[0]))
+    data[-6] ^= 0xFF
+    assert tiles(bytes(data))[0] == ["0"]
