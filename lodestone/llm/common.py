@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import math
-import time
+import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,11 +18,16 @@ ROW_GROUP = 16 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a default only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset a local session (as in tests) gets a temporary folder; on
+    a cluster that is an error, since executors don't share one.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"{tempfile.gettempdir()}/checkpoints"
     return f"{base.rstrip('/')}/lodestone"
 
 
@@ -30,32 +35,41 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str, heavy: bool = False) -> DataFrame:
+@contextmanager
+def settings(spark: SparkSession, **values: str):
+    """The session with these settings (``__`` stands for a dot); what was set before is put back."""
+    before = {}
+    for key, value in values.items():
+        key = key.replace("__", ".")
+        before[key] = spark.conf.get(key, None)
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def worker_batches(spark: SparkSession, rows: int = 2000, size: int = 4 << 20):
+    """Bound the rows and bytes of an Arrow batch that Python workers get from the actions inside."""
+    return settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(rows), spark__sql__execution__arrow__maxBytesPerBatch=str(size))
+
+
+def stage(df: DataFrame, name: str, rows: int = 2000) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
-    Cuts the lineage in a way that survives lost executors (the files are in
-    the shared store) and lets the shuffles behind ``df`` be freed. ``heavy``:
-    wait until they are, so that their files don't stand beside the next ones.
+    Cuts the lineage in a way that survives lost executors: the files are in the
+    shared store. Spark deletes the shuffle files of the write when it ends.
+    ``rows``: most rows of an Arrow batch that a Python worker gets meanwhile; the
+    session's own settings are put back.
     """
     spark, schema = df.sparkSession, df.schema
     path = scratch_path(spark, name)
-    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
-    del df  # else its shuffles are still held below
-    free_shuffles(spark, heavy)
+    with worker_batches(spark, rows), settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
-def free_shuffles(spark: SparkSession, wait: bool = False) -> None:
-    """Let Spark's context cleaner drop the shuffle files of plans no longer held."""
-    gc.collect()
-    if wait:
-        spark.range(0, 4, 1, 4).write.format("noop").mode("overwrite").save()  # the scheduler still holds the last job's plan
-        time.sleep(1.2)  # Python tells the JVM once a second which plans it has dropped
-    spark.sparkContext._jvm.System.gc()
-    if wait:
-        time.sleep(0.3)
-
-
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that no later plan reads."""
     jvm = spark.sparkContext._jvm
@@ -63,23 +77,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def drop_staged(df: DataFrame) -> None:
-    """Delete the files of a table returned by ``stage``."""
-    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        if "/lodestone/" in f:
-            drop_path(df.sparkSession, f)
-
-
-def small_batches(spark: SparkSession, records: int = 2000, size: int = 4 << 20) -> None:
-    """Bound the rows and bytes of an Arrow batch sent to Python workers.
-
-    A user's smaller settings stay.
-    """
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", records), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
-        now = spark._jsparkSession.sessionState().conf().getConfString(key)
-        number = int(now) if now.lstrip("-").isdigit() else most + 1
-        if not 0 < number <= most:
-            spark.conf.set(key, str(most))
+def drop_staged(*tables: DataFrame) -> None:
+    """Delete the files of tables returned by ``stage`` that no later plan reads."""
+    for df in tables:
+        for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
+            if "/lodestone/" in f:
+                drop_path(df.sparkSession, f)
 
 
 def n_words(text: Column) -> Column:
@@ -87,10 +90,6 @@ def n_words(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(0)).otherwise(F.regexp_count(text, F.lit(WORD))).cast("long")
 
 
-def parts_for(total: int, per: int, least: int, most: int = 100_000) -> int:
-    return max(least, min(most, math.ceil(total / per)))
-
-
 def range_index(keys: list[Column], types: list[str], cuts: list[tuple]) -> Column:
     """Index of the range that holds a composite key: how many cuts are at or below it.
 

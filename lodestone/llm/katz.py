@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textnp
-from lodestone.llm.common import is_held_out, small_batches, stage
-from lodestone.llm.exchange import NO_ID, blocks, pack, text_parts, unpack
+from lodestone.llm.common import is_held_out, stage
+from lodestone.llm.exchange import NO_ID, blocks, pack, unpack
 
 HISTORY_BITS = 16
 START = 1 << HISTORY_BITS
@@ -242,11 +242,11 @@ def score_texts(docs: DataFrame, held_out=None) -> DataFrame:
     histories, counts.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+
     held_out = is_held_out(F.col("doc_id"), 7, 2) if held_out is None else held_out
     parts = text_parts(docs, per=16 << 20, least=36)
-    sent = stage(tokenised(docs, held_out, parts), "lm-blocks", heavy=True)
-    found = stage(count(sent.where(f"kind = {ASK}")), "lm-counts", heavy=True)
+    sent = stage(tokenised(docs, held_out, parts), "lm-blocks")
+    found = stage(count(sent.where(f"kind = {ASK}")), "lm-counts")
     hist = dict(found.where(f"kind = {HISTOGRAM}").select(F.posexplode("v")).groupBy("pos").agg(F.sum("col")).collect())
     n = np.array([hist.get(i, 0) for i in range(2 + 2 * (CUT + 1))], np.int64)
     model = Model.of(int(n[0]), int(n[1]), n[2 : 3 + CUT].astype(float), n[3 + CUT :].astype(float), history_sums(found))

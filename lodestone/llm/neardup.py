@@ -4,46 +4,56 @@ A document's minhashes form two small collections of bundles, A and B. The key
 of table (i, j) combines bundle A_i with bundle B_j, so SIDE * SIDE tables need
 2 * SIDE bundles instead of SIDE * SIDE: the minhash work falls to about its
 square root. Two documents of Jaccard similarity s miss each other in all tables
-with a chance under 2 * (1 - s^ROWS)^SIDE, 7e-5 at s = 0.8.
-
-Documents that meet are compared on their full shingle sets. Every bucket links
-its members to a centre that differs by table; components of the confirmed links
-follow by alternating large-star and small-star steps. Then the members of every
-bundle that holds several components are sorted by their other bundles, so that
-the most similar stand side by side; each is compared with the next few of
-another component, with the bundle's most linked member and with one drawn at
-random, until nothing new is linked. That leaves few components; last, all
-pairs of a shared bucket whose ends are still in different ones are compared, so
-no link depends on a lucky centre. No group is
-gathered in one place: crowded buckets are compared block by block, identical sets are folded inside blocks, crowded buckets
-overflow into plain rows, and the sort splits a bundle over range partitions.
+with a chance under 2 * (1 - s^ROWS)^SIDE, 4e-4 at s = 0.8 and 2e-5 at s = 0.85.
+
+1. Documents with equal shingle sets form a class and go on as one.
+2. Bundles that one class alone has lead nowhere: only combinations of shared
+   bundles become table rows.
+3. Members of a bucket (a table key that several classes have) are compared with
+   a leader: in some buckets with the member that meets or is linked with most
+   others (an original is, whose copies are alike to it alone), in others with
+   the first in one of ORDERS random orders. A class asks at most ASKED leaders
+   in a turn. That joins nearly all that belongs together; turns end when few
+   of the asked are linked.
+4. Then every pair that shares a bucket and whose ends are still in different
+   components is compared, so no link depends on a leader. One side of such a
+   pair is outside its bucket's largest component, and the pair is taken up in
+   the first bucket that it shares only.
+
+Inside that join pairs are dropped whose sizes are too far apart, whose odd
+sketches differ in more bits than their sets may differ in shingles (a bound
+without errors), or whose minhashes agree too seldom (of texts at 0.8 one in
+three million); all others are confirmed on full sets. Every step is a keyed aggregate or an inner join on the
+bucket, so crowded buckets are pre-aggregated and their joins split by Spark.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textnp
-from lodestone.llm.common import boxed, drop_staged, fields_of, small_batches, stage
-from lodestone.llm.exchange import NO_ID, blocks, first_of, gathered, keyed_texts, split, text_parts
+from lodestone.llm.common import boxed, drop_staged, fields_of, stage
+from lodestone.llm.exchange import NO_ID, ids_repeat, keyed_texts
 
 SHINGLE, PERCENT = 5, 80
 #: Bundles in each collection and minhashes in each bundle.
-SIDE, ROWS = 10, 2
-#: Members of a bucket that a block sends packed; others go as plain rows.
-MANY = 16
-#: Orders by which tables choose their centres.
-ORDERS = 4
-#: Neighbours with which a member of a bundle of several components is compared; rounds of that at least and at most.
-NEAR, LEAST_ROUNDS, ROUNDS = 3, 2, 5
-#: Members of a block of a crowded bucket, where blocks are compared with each other.
-CELL = 256
+SIDE, ROWS = 12, 3
+HASHES = 2 * SIDE * ROWS
+#: Longs that hold four bits of every minhash, and how many of these have to agree: 59 +- 3.3 are expected at 0.8.
+SIGNATURE, AGREE = -(-HASHES // 16), 42
+#: Orders by which buckets choose their leaders; leaders that a class asks in a turn; share of links among the asked below which turns end.
+ORDERS, ASKED, WORTH = 8, 8, 0.1
 U = textnp.U
-SEEDS = textnp.mix(np.arange(1, 2 * SIDE * ROWS + 1, dtype=U) * textnp.MUL) | U(1)
-INFO, LINK, BUCKET = 1, 2, 3
+SEEDS = (textnp.mix(np.arange(1, HASHES + 1, dtype=U) * textnp.MUL) >> U(32)).astype(np.uint32) | np.uint32(1)
+PACKED = [f"p{i}" for i in range(SIDE)]
+SIGNS = [f"g{i}" for i in range(SIGNATURE)]
+#: Longs of a set's odd sketch: each shingle flips one of their bits.
+SKETCH = [f"o{i}" for i in range(8)]
 
 
 def shingle_sets(texts: list[bytes | None], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,127 +81,77 @@ def shingle_sets(texts: list[bytes | None], k: int) -> tuple[np.ndarray, np.ndar
     return d[new], found[new]
 
 
-def bundles(d: np.ndarray, x: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Documents that have shingles, and their 2 * SIDE bundle hashes."""
+def minhashes(d: np.ndarray, x: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents that have shingles, and their minhashes."""
     has = np.flatnonzero(np.bincount(d, minlength=docs))
     starts = np.searchsorted(d, has)
-    out = np.empty((len(has), 2 * SIDE), U)
-    for b in range(2 * SIDE):
-        low = []
-        for r in range(ROWS):
-            y = x * SEEDS[b * ROWS + r]
-            y ^= y >> U(32)
-            low.append(np.minimum.reduceat(y, starts) if len(has) else y[:0])
-        out[:, b] = textnp.combine(*low)
+    out = np.empty((len(has), HASHES), np.uint32)
+    x = (x >> U(32)).astype(np.uint32)
+    for r in range(HASHES if len(has) else 0):
+        out[:, r] = np.minimum.reduceat(x * SEEDS[r], starts)
     return has, out
 
 
-SENT = "kind int, part int, c0 binary, c1 binary, c2 binary, a long, b long"
-FLAT = "kind int, a long, b long"
+def signatures(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bundles (A_i above B_i in a long, for each i) and the four-bit signature of minhashes."""
+    wide = low.astype(U)
+    bundle = textnp.combine(*[wide[:, r::ROWS] for r in range(ROWS)]) >> U(32)
+    packed = bundle[:, :SIDE] << U(32) | bundle[:, SIDE:]
+    bits = np.zeros((len(low), SIGNATURE * 16), U)
+    bits[:, :HASHES] = textnp.mix(wide + np.arange(HASHES, dtype=U)) >> U(60)
+    signs = np.zeros((len(low), SIGNATURE), U)
+    for k in range(16):
+        signs |= bits[:, k::16] << U(4 * k)
+    return packed, signs
 
 
-def _flat(kind: int, a, b) -> pa.RecordBatch:
-    m = len(a)
-    return pa.record_batch([pa.array(np.full(m, kind, np.int32)), pa.nulls(m, pa.int32()), *[pa.nulls(m, pa.binary())] * 3, pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["kind", "part", "c0", "c1", "c2", "a", "b"])
+def odd_sketches(d: np.ndarray, x: np.ndarray, docs: int) -> np.ndarray:
+    """For each document 64 * len(SKETCH) bits: the parity of its shingles of each hash class."""
+    width = 64 * len(SKETCH)
+    place = d * width + (textnp.mix(x ^ U(9)) >> U(32)).astype(np.int64) % width
+    bits = (np.bincount(place, minlength=docs * width) & 1).astype(np.uint8)
+    return np.packbits(bits).view(U).reshape(docs, len(SKETCH))
 
 
-def _packed(keys, parts, columns) -> pa.RecordBatch:
-    x = split(keys, parts, columns)
-    m = x.num_rows
-    return pa.record_batch([pa.array(np.zeros(m, np.int32)), *x.columns, *[pa.nulls(m, pa.int64())] * 2], ["kind", "part", "c0", "c1", "c2", "a", "b"])
+KEPT = [*PACKED, *SIGNS, *SKETCH]
+FIGURES = ", ".join(f"{c} long" for c in ["id", "n", "s1", "s2", *KEPT])
 
 
-def table_entries(docs: DataFrame, k: int) -> DataFrame:
-    """Rows INFO (id, shingles), LINK (id, smaller id with an equal set) and BUCKET (table key, id) of shared buckets."""
-    small_batches(docs.sparkSession)
-    parts = text_parts(docs)
+def set_figures(docs: DataFrame, k: int) -> DataFrame:
+    """For each row its id, number of shingles, set hash (s1, s2), bundles and signature."""
 
-    def send(batches):
-        for rows in blocks(batches):
-            ids = np.array([r[0] for r in rows], np.int64)
-            held = []
-            for lo, hi in textnp.groups([len(r[2] or b"") for r in rows], 1 << 20):
-                d, x = shingle_sets([r[2] for r in rows[lo:hi]], k)
-                yield _flat(INFO, ids[lo:hi], np.bincount(d, minlength=hi - lo))
-                if len(d):
-                    has, b = bundles(d, x, hi - lo)
+    def run(batches):
+        for b in batches:
+            ids, texts = b.column(0).to_numpy(), b.column(1).cast(pa.binary()).to_pylist()
+            for lo, hi in textnp.groups([len(t or b"") for t in texts], 1 << 20):
+                d, x = shingle_sets(texts[lo:hi], k)
+                has, low = minhashes(d, x, hi - lo)
+                out = np.zeros((hi - lo, 2 + len(KEPT)), U)
+                if len(has):
                     starts = np.searchsorted(d, has)
-                    s1, s2 = (np.add.reduceat(textnp.mix(x ^ U(c)), starts) for c in (3, 5))
-                    held.append((has + lo, b, textnp.mix(s1), s2))
-            if not held:
-                continue
-            row, b, s1, s2 = (np.concatenate(x) for x in zip(*held))
-            # equal sets of the block: rows are in id order, the first stands for all
-            order = np.lexsort((np.arange(len(s1)), s2, s1))
-            head = np.ones(len(order), bool)
-            head[1:] = (s1[order][1:] != s1[order][:-1]) | (s2[order][1:] != s2[order][:-1])
-            lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-            other = ~head & (ids[row[order]] != ids[row[lead]])
-            yield _flat(LINK, ids[row[order[other]]], ids[row[lead[other]]])
-            own = np.sort(order[head])
-            me, b, s1, s2 = ids[row[own]], b[own], s1[own], s2[own]
-            keys, who, check = [s1], [me], [s2]
-            for i in range(SIDE):
-                for j in range(SIDE):
-                    keys.append(textnp.mix(b[:, i] * U(2 * (i * SIDE + j) + 3) ^ b[:, SIDE + j]))
-                    who.append(me)
-                    check.append(np.zeros(len(me), U))
-            key, who, check = (np.concatenate(x) for x in (keys, who, check))
-            order, head = first_of((key, who))
-            rank = np.arange(len(order)) - np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
-            late = order[rank >= MANY]
-            yield _flat(BUCKET, key[late].view(np.int64), who[late])
-            rest = order[rank < MANY]
-            yield _packed(key[rest], parts, [key[rest], who[rest], check[rest]])
-
-    def meet(table):
-        if table.column("kind")[0].as_py():
-            return table.select(["kind", "a", "b"])
-        key, who, check = gathered(table, 3)
-        order = np.lexsort((who, check, key))
-        key, who, check = key[order], who[order], check[order]
-        head = np.ones(len(key), bool)
-        head[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
-        group = np.cumsum(head) - 1
-        lead = np.flatnonzero(head)[group] if len(key) else group
-        equal = np.flatnonzero((check != 0) & ~head & (who != who[lead]))
-        several = who != who[lead]
-        # MANY entries of one block: the block's others went as plain rows
-        shared = np.flatnonzero((check == 0) & ((np.bincount(group, several) > 0)[group]))
-        kind = np.concatenate([np.full(len(equal), LINK, np.int32), np.full(len(shared), BUCKET, np.int32)])
-        a = np.concatenate([who[equal], key[shared].view(np.int64)])
-        return pa.table([pa.array(kind), pa.array(a), pa.array(np.concatenate([who[lead[equal]], who[shared]]))], ["kind", "a", "b"])
-
-    sent = keyed_texts(docs).mapInArrow(send, SENT)
-    deal = F.when(F.col("kind") > 0, F.pmod(F.xxhash64("a", "b"), F.lit(parts)).cast("int")).otherwise(F.col("part"))
-    return sent.withColumn("_deal", deal).withColumn("_flat", F.col("kind") > 0).groupBy("_deal", "_flat").applyInArrow(meet, FLAT)
+                    s1, s2 = (textnp.mix(np.add.reduceat(textnp.mix(x ^ U(c)), starts)) for c in (3, 5))
+                    out[has] = np.concatenate([s1[:, None], s2[:, None], *signatures(low), odd_sketches(d, x, hi - lo)[has]], 1)
+                cols = [ids[lo:hi], np.bincount(d, minlength=hi - lo), *out.view(np.int64).T]
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["id", "n", "s1", "s2", *KEPT])
 
+    return keyed_texts(docs, False).select("_doc", "text").mapInArrow(run, FIGURES)
 
-def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """``id, words_set, keys, looks``: full shingle sets of the documents in ``ids``, their bundles, and for each a sort key of the others.
 
-    A sort key joins 8 bits of each of the 8 bundles after its own, so rows of a
-    bundle stand beside those that agree with them in most of these.
-    """
-    rows = keyed_texts(docs).join(ids.select(F.col("id").alias("_id")), F.col("_doc") == F.col("_id"), "left_semi").select("_doc", "text")
+def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """``id, words_set``: full shingle sets of the documents in ``ids``."""
+    rows = keyed_texts(docs, False).join(ids.select(F.col("id").alias("_id")), F.col("_doc") == F.col("_id"), "left_semi").select("_doc", "text")
 
     def run(batches):
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()
+            ids, texts = b.column(0).to_numpy(), b.column(1).cast(pa.binary()).to_pylist()
             for lo, hi in textnp.groups([len(t or b"") for t in texts], 1 << 20):
                 d, x = shingle_sets(texts[lo:hi], k)
-                has, low = bundles(d, x, hi - lo)
+                has = np.unique(d)
                 cut = np.searchsorted(d, np.append(has, hi - lo))
                 sets = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x.view(np.int64)))
-                tagged = textnp.mix(low + np.arange(2 * SIDE, dtype=U))
-                look = np.zeros_like(low)
-                for step in range(1, 9):
-                    look = look << U(8) | np.roll(low, -step * 3, axis=1) >> U(56)
-                ends = pa.array(np.arange(len(has) + 1) * 2 * SIDE, pa.int32())
-                keys, looks = (pa.ListArray.from_arrays(ends, pa.array(x.reshape(-1).view(np.int64))) for x in (tagged, look))
-                yield pa.record_batch([pa.array([ids[lo + i] for i in has], pa.int64()), sets, keys, looks], ["id", "words_set", "keys", "looks"])
+                yield pa.record_batch([pa.array(ids[lo:hi][has], pa.int64()), sets], ["id", "words_set"])
 
-    return rows.mapInArrow(run, "id long, words_set array<long>, keys array<long>, looks array<long>")
+    return rows.mapInArrow(run, "id long, words_set array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -204,92 +164,98 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.where(100 * inter >= percent * (n + m - inter)).select("a", "b")
 
 
-def _beside(rows: list[np.ndarray], percent: int) -> pa.RecordBatch:
-    """Pairs of sorted rows (key, look, id, n, root) up to NEAR places apart in one bundle, of other components and near sizes."""
-    key, _, who, n, root = rows
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for step in range(1, NEAR + 1):
-        i = np.flatnonzero((key[step:] == key[:-step]) & (root[step:] != root[:-step]) & (100 * n[step:] >= percent * n[:-step]) & (100 * n[:-step] >= percent * n[step:]))
-        a.append(np.maximum(who[i], who[i + step]))
-        b.append(np.minimum(who[i], who[i + step]))
-    pair = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-    return pa.record_batch([*(pa.array(c) for c in pair.T), *[pa.nulls(len(pair), pa.int64())] * 5], BESIDE_NAMES)
+def classes_of(figures: DataFrame) -> DataFrame:
+    """A row for each distinct set: s1, s2, the smallest id that has it, its size, bundles and signature."""
+    same = [F.first(c).alias(c) for c in ["n", *KEPT]]
+    return figures.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("id"), *same)
 
 
-BESIDE_NAMES = ["a", "b", "key", "look", "id", "n", "root"]
-BESIDE = ", ".join(f"{c} long" for c in BESIDE_NAMES)
+def table_rows(classes: DataFrame) -> DataFrame:
+    """``ka, kb, id, s1``: a row for each table in which a class shares both bundles with others.
 
+    A key is a bundle under its number (A before B), so (ka, kb) names the table and the bucket.
+    """
+    half = [[F.shiftrightunsigned(c, 32) for c in PACKED], [F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)) for c in PACKED]]
+    keys = [F.lit((side * SIDE + i) << 32).bitwiseOR(v) for side in (0, 1) for i, v in enumerate(half[side])]
+    rows = classes.select("id", "s1", F.explode(F.array(*keys)).alias("k"))
+    shared = rows.groupBy("k").agg(F.count("*").alias("_c")).where("_c > 1").select(F.col("k").alias("_k"))
+    held = rows.join(shared, F.col("k") == F.col("_k"), "left_semi").groupBy("id", "s1").agg(F.collect_list("k").alias("_all"))
+    middle = F.lit(SIDE << 32)
+    a = held.select("id", "s1", "_all", F.explode(F.filter("_all", lambda k: k < middle)).alias("ka"))
+    return a.select("ka", F.explode(F.filter("_all", lambda k: k >= middle)).alias("kb"), "id", "s1")
+
+
+def led_pairs(members: DataFrame, turn: int = 0) -> DataFrame:
+    """Pairs (a, b) of members of a bucket with its leader, if they are of another component (``root``).
+
+    A bucket's leader is its member of the largest ``rank``, or the first in a
+    random order that the bucket's key names. Of its leaders a member is compared
+    with the ASKED that it meets most often.
+    """
+    order = F.pmod(F.xxhash64(F.lit(turn), "ka", "kb"), F.lit(ORDERS))
+    turned = F.when(order == 0, F.col("rank")).otherwise(F.xxhash64(order, F.lit(turn), "id"))
+    leader = F.max(F.struct(turned.alias("by"), F.col("id").alias("lead"), F.col("root").alias("lead_root")))
+    led = members.groupBy("ka", "kb").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), leader.alias("_l")).where("_lo < _hi")
+    led = led.select(F.col("ka").alias("_ka"), F.col("kb").alias("_kb"), "_l.lead", "_l.lead_root")
+    met = members.join(led, (F.col("ka") == F.col("_ka")) & (F.col("kb") == F.col("_kb"))).where("root <> lead_root")
+    met = met.groupBy("id", "lead").agg(F.count("*").alias("times"))
+    best = met.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("times", "lead")), False), 1, ASKED).alias("_l"))
+    return best.select("id", F.explode("_l.lead").alias("_b")).select(F.greatest("id", "_b").alias("a"), F.least("id", "_b").alias("b")).distinct()
 
-def neighbours(own: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) from rows key, look, id, n, root: those beside each other in the order of (key, look, id).
 
-    Range partitions are paired inside; the NEAR rows at both ends of each are
-    put together in one small sort that pairs over the bounds.
-    """
+def mixed_members(tables: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of ``tables`` in buckets that hold several components, with their ``root``."""
+    rooted = tables.join(roots.select(F.col("id").alias("_r"), "root"), F.col("id") == F.col("_r"), "left").select(*tables.columns, F.coalesce("root", "id").alias("root"))
+    mixed = rooted.groupBy("ka", "kb").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select(F.col("ka").alias("_ka"), F.col("kb").alias("_kb"))
+    return rooted.join(mixed, (F.col("ka") == F.col("_ka")) & (F.col("kb") == F.col("_kb")), "left_semi")
+
+
+def agreement(left: list[str], right: list[str]) -> Column:
+    """How many four-bit fields of two signatures are equal."""
+
+    def unlike(x: Column) -> Column:
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return F.lit(HASHES) - reduce(lambda a, b: a + b, [unlike(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(left, right)])
 
-    def run(batches):
-        held, ends, count = None, [], 0
-        for x in batches:
-            cols = [c.to_numpy() for c in x.columns]
-            if not len(cols[0]):
-                continue
-            if count < NEAR:
-                ends.append([c[: NEAR - count] for c in cols])
-            count += len(cols[0])
-            cols = cols if held is None else [np.concatenate(p) for p in zip(held, cols)]
-            yield _beside(cols, percent)
-            held = [c[-NEAR:] for c in cols]
-        if held is not None:
-            ends.append(held)
-            edge = [np.concatenate(c) for c in zip(*ends)]
-            m = len(edge[0])
-            yield pa.record_batch([*[pa.nulls(m, pa.int64())] * 2, *(pa.array(c) for c in edge)], BESIDE_NAMES)
-
-    def bounds(table):
-        cols = [table.column(c).to_numpy() for c in BESIDE_NAMES[2:]]
-        order = np.lexsort((cols[2], cols[1], cols[0]))
-        cols = [c[order] for c in cols]
-        new = np.ones(len(order), bool)
-        new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[2][1:] != cols[2][:-1])
-        return pa.Table.from_batches([_beside([c[new] for c in cols], percent)])
-
-    ordered = own.select(*BESIDE_NAMES[2:]).repartitionByRange("key", "look", "id").sortWithinPartitions("key", "look", "id")
-    found = stage(ordered.mapInArrow(run, BESIDE), "near-beside")
-    over = found.where("a is null").groupBy().applyInArrow(bounds, BESIDE)
-    return found.where("a is not null").unionByName(over).select("a", "b").distinct()
-
-
-def with_centres(own: DataFrame, links: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Candidate pairs (a, b) of each member of a bundle with two others, if they are of another component.
-
-    One is the bundle's most linked member (an original whose copies are alike
-    to it alone), the other is drawn anew in each ``turn``.
-    """
-    degree = links.select(F.col("a").alias("_i")).unionByName(links.select(F.col("b").alias("_i"))).groupBy("_i").agg(F.count("*").alias("degree"))
-    ranked = own.join(degree, F.col("id") == F.col("_i"), "left").withColumns({"degree": F.coalesce("degree", F.lit(0)), "draw": F.xxhash64(F.lit(turn), "key", "id")})
-    best = [F.max(F.struct(F.col(by).alias("by"), "id", "n", "root")).alias(by) for by in ("degree", "draw")]
-    centres = ranked.groupBy("key").agg(*best).select(F.col("key").alias("_k"), F.explode(F.array("degree", "draw")).alias("_h")).select("_k", "_h.id", "_h.n", "_h.root").toDF("_k", "_id", "_n", "_root")
-    met = own.join(centres, F.col("key") == F.col("_k")).where((F.col("root") != F.col("_root")) & (100 * F.col("n") >= percent * F.col("_n")) & (100 * F.col("_n") >= percent * F.col("n")))
-    return met.select(F.greatest("id", "_id").alias("a"), F.least("id", "_id").alias("b"))
 
+def differing(left: list[str], right: list[str]) -> Column:
+    """Bits in which two odd sketches differ: no more than the shingles that one set alone has."""
+    return reduce(lambda a, b: a + b, [F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(left, right)])
 
-def unlinked_pairs(buckets: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) of near sizes that share a bucket and are of different components.
 
-    A bucket is cut into blocks by a hash of the id, and each pair of blocks is
-    a cell of its own, so no task takes a whole crowded bucket.
+def first_shared(side: int) -> Column:
+    """Number of the first bundle of a collection that both rows have."""
+    out = F.lit(None).cast("int")
+    for i in reversed(range(SIDE)):
+        x = F.col(PACKED[i]).bitwiseXOR(F.col(f"_{PACKED[i]}"))
+        out = F.when((F.shiftrightunsigned(x, 32) if side == 0 else x.bitwiseAND(F.lit(0xFFFFFFFF))) == 0, F.lit(i)).otherwise(out)
+    return out
+
+
+def unlinked_pairs(mixed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) that share a bucket, are of different components and may be alike.
+
+    ``mixed`` has ka, kb, id, s1 and root of the members of buckets with several components.
     """
-    sized = buckets.join(sets.select(F.col("id").alias("_s"), F.size("words_set").cast("long").alias("n")), F.col("id") == F.col("_s"))
-    rooted = sized.join(roots.withColumnRenamed("id", "_r"), F.col("id") == F.col("_r"), "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_m")).where("_lo < _hi")
-    mixed = mixed.select(F.col("key").alias("_k"), F.ceil(F.col("_m") / CELL).cast("int").alias("_cells"))
-    own = rooted.join(mixed, F.col("key") == F.col("_k")).withColumn("at", F.pmod(F.xxhash64("id"), F.col("_cells")).cast("int"))
-    own = own.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_cells") - 1)))
-    own = stage(own.select("key", F.least("at", "_x").alias("lo"), F.greatest("at", "_x").alias("hi"), "at", "id", "n", "root").distinct(), "near-cells")
-    other = own.select(*[F.col(c).alias(f"_{c}") for c in own.columns])
-    met = own.join(other, (F.col("key") == F.col("_key")) & (F.col("lo") == F.col("_lo")) & (F.col("hi") == F.col("_hi")))
-    met = met.where((F.col("id") > F.col("_id")) & (F.col("root") != F.col("_root")) & ((F.col("at") != F.col("_at")) | (F.col("lo") == F.col("hi"))))
-    return met.where((100 * F.col("n") >= percent * F.col("_n")) & (100 * F.col("_n") >= percent * F.col("n"))).select(F.col("id").alias("a"), F.col("_id").alias("b")).distinct()
+    by_root = mixed.groupBy("ka", "kb", "root").agg(F.count("*").alias("_c"))
+    big = by_root.groupBy(F.col("ka").alias("_ka"), F.col("kb").alias("_kb")).agg(F.max(F.struct("_c", "root"))["root"].alias("big"))
+    own = mixed.join(classes.select(F.col("id").alias("_i"), F.col("s1").alias("_s"), "n", *KEPT), (F.col("id") == F.col("_i")) & (F.col("s1") == F.col("_s")))
+    own = own.join(big, (F.col("ka") == F.col("_ka")) & (F.col("kb") == F.col("_kb"))).select("ka", "kb", "id", "root", "big", "n", *KEPT)
+    own = stage(own, "near-own")
+    other = own.drop("big").select(*[F.col(c).alias(f"_{c}") for c in own.columns if c != "big"])
+    near = (
+        (F.col("ka") == F.col("_ka")) & (F.col("kb") == F.col("_kb")) & (F.col("root") != F.col("_root"))
+        & ((F.col("_root") == F.col("big")) | (F.col("id") > F.col("_id")))
+        & (100 * F.col("n") >= percent * F.col("_n")) & (100 * F.col("_n") >= percent * F.col("n"))
+        & ((100 + percent) * differing(SKETCH, [f"_{c}" for c in SKETCH]) <= (100 - percent) * (F.col("n") + F.col("_n")))
+        & (agreement(SIGNS, [f"_{c}" for c in SIGNS]) >= AGREE)
+        & (first_shared(0) == F.shiftrightunsigned("ka", 32).cast("int")) & (first_shared(1) == F.shiftrightunsigned("kb", 32).cast("int") - SIDE)
+    )
+    met = own.where("root <> big").join(other, near)
+    return met.select(F.greatest("id", "_id").alias("a"), F.least("id", "_id").alias("b")).distinct()
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -297,7 +263,7 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``id, root`` for every linked document: the smallest id of its component.
+    """``id, root`` for every linked node: the smallest id of its component.
 
     Large-star: a node's larger neighbours go to its smallest neighbour;
     small-star: its smaller ones do. Both keep components; in a few rounds
@@ -328,44 +294,59 @@ def label_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
 
     Defined cases: a text without words (or null) has no shingles and no links;
     rows of one id are one node, whatever their texts; null ids are one node
-    below all others.
+    below all others; repeated rows are members of one class.
     """
-    small_batches(docs.sparkSession)
-    found = stage(table_entries(docs, k), "near-tables", heavy=True)
-    buckets = found.where(f"kind = {BUCKET}").select(F.col("a").alias("key"), F.col("b").alias("id"))
-    turn: Column = F.xxhash64("id", F.pmod("key", F.lit(ORDERS)))
-    centres = buckets.groupBy("key").agg(F.min(F.struct(turn.alias("h"), F.col("id").alias("c"))).alias("_c")).select(F.col("key").alias("_key"), F.col("_c.c").alias("c"))
-    pairs = buckets.join(centres, F.col("key") == F.col("_key")).where("id <> c").select(F.greatest("id", "c").alias("a"), F.least("id", "c").alias("b")).distinct()
-    pairs = stage(pairs, "near-pairs")
-    sets = stage(full_sets(docs, buckets.select("id").distinct(), k), "near-sets", heavy=True)
-    links = found.where(f"kind = {LINK}").select("a", "b").unionByName(stage(confirmed(pairs, sets, percent), "near-links"))
-    links = stage(links.distinct(), "near-all-links")
-    roots = components(links)
-
-    own = sets.select("id", F.size("words_set").cast("long").alias("n"), F.explode(F.arrays_zip("keys", "looks")).alias("_z")).select("id", "n", "_z.keys", "_z.looks").toDF("id", "n", "key", "look")
-    own = stage(own, "near-bundles")
-    for turn in range(ROUNDS):
-        rooted = own.join(roots.withColumnRenamed("id", "_r"), F.col("id") == F.col("_r"), "left").select("key", "look", "id", "n", F.coalesce("root", "id").alias("root"))
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select(F.col("key").alias("_k"))
-        rooted = stage(rooted.join(mixed, F.col("key") == F.col("_k"), "left_semi"), "near-mixed")
-        asked = with_centres(rooted, links, percent, turn)
-        asked = (asked if turn else asked.unionByName(neighbours(rooted, percent))).distinct()  # neighbours stay the same
-        more = stage(asked.join(pairs, ["a", "b"], "left_anti"), "near-more")
-        pairs = pairs.unionByName(more)
-        new = stage(confirmed(more, sets, percent), "near-new")
-        if new.isEmpty():
-            if turn + 1 >= LEAST_ROUNDS:
-                break
-            continue
-        links = links.unionByName(new)
-        roots = components(links)
-    rest = stage(unlinked_pairs(buckets, sets, roots, percent).join(pairs, ["a", "b"], "left_anti"), "near-rest")
-    new = stage(confirmed(rest, sets, percent), "near-new")
-    if not new.isEmpty():
-        roots = components(links.unionByName(new))
-    info = found.where(f"kind = {INFO}").select(F.col("a").alias("_id"), F.col("b").alias("n_shingles"))
-    out = info.join(roots.withColumnRenamed("id", "_r"), F.col("_id") == F.col("_r"), "left")
-    return out.select("_id", "n_shingles", F.coalesce("root", "_id").alias("root"))
+    figures = stage(set_figures(docs, k), "near-figures")
+    classes = stage(classes_of(figures), "near-classes")
+    every = stage(table_rows(classes), "near-tables")
+    sizes = every.groupBy(F.col("ka").alias("_ka"), F.col("kb").alias("_kb")).agg(F.count("*").alias("_c")).where("_c > 1")
+    tables = shared = stage(every.join(sizes, (F.col("ka") == F.col("_ka")) & (F.col("kb") == F.col("_kb"))).select("ka", "kb", "id", "s1", "_c"), "near-shared")
+    drop_staged(every)
+    met = tables.groupBy(F.col("id").alias("_n")).agg(F.sum("_c").alias("rank"))
+    tables = tables.drop("_c")
+    members = figures.where("n > 0").select("id", "n", "s1", "s2").join(classes.select(F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), F.col("id").alias("c")), (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2"))).select("id", "n", "c")
+    again = ids_repeat(docs)
+    links = []
+    if again:  # classes that share an id are linked by it
+        low = members.groupBy(F.col("id").alias("_i")).agg(F.min("c").alias("b"), F.max("c").alias("_hi")).where("b < _hi")
+        links.append(stage(members.join(low, F.col("id") == F.col("_i")).where("c <> b").select(F.col("c").alias("a"), "b").distinct(), "near-links"))
+    sets = stage(full_sets(docs, tables.select("id").distinct(), k), "near-sets")
+    roots, mixed, asked, turn = None, tables.withColumn("root", F.col("id")), None, 0
+    if links:
+        roots = components(links[0])
+        mixed = stage(mixed_members(tables, roots), "near-mixed")
+    while True:
+        ranked = mixed.join(met, F.col("id") == F.col("_n"), "left").withColumn("rank", F.coalesce("rank", F.lit(0)))
+        pairs = led_pairs(ranked, turn)
+        pairs = stage(pairs if asked is None else pairs.join(asked, ["a", "b"], "left_anti"), "near-pairs")
+        asked = pairs if asked is None else asked.unionByName(pairs)
+        links.append(stage(confirmed(pairs, sets, percent), "near-links"))
+        n, good = pairs.count(), links[-1].count()
+        if good or roots is None:
+            both = reduce(DataFrame.unionByName, links)
+            roots = components(both)
+            met = both.select(F.col("a").alias("_n")).unionByName(both.select(F.col("b").alias("_n"))).groupBy("_n").agg(F.count("*").alias("rank"))
+            mixed = stage(mixed_members(tables, roots), "near-mixed")
+            tables = mixed.drop("root")
+        if good <= WORTH * n:
+            break
+        turn += 1
+
+    rest = unlinked_pairs(mixed, classes, percent)
+    rest = stage(rest.join(asked, ["a", "b"], "left_anti"), "near-rest")
+    links.append(stage(confirmed(rest, sets, percent), "near-links"))
+    if not links[-1].isEmpty():
+        roots = components(reduce(DataFrame.unionByName, links))
+
+    rooted = members.join(roots.select(F.col("id").alias("_r"), F.col("root")), F.col("c") == F.col("_r"), "left").select("id", "n", F.coalesce("root", "c").alias("root"))
+    if again:
+        by_id = rooted.groupBy(F.col("id").alias("_i")).agg(F.min("root").alias("root"))
+        out = figures.join(by_id, F.col("id") == F.col("_i"), "left").select(F.col("id").alias("_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("root"))
+    else:
+        out = rooted.unionByName(figures.where("n = 0").select("id", "n", F.col("id").alias("root"))).toDF("_id", "n_shingles", "root")
+    out = stage(out, "near-labels")
+    drop_staged(figures, classes, shared, sets, asked, rest, mixed, roots, *links)
+    return out
 
 
 def near_dedup(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

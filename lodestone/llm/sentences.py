@@ -6,6 +6,12 @@ run starts at each sentence and takes RUN sentences, and as many more as it
 needs to hold LEAST_WORDS words. First is the smallest (doc_id, text hash,
 offset). Sentences end at ``.``, ``!`` or ``?`` before white space, at a line
 break, or after LONGEST words; case and outer punctuation of words don't count.
+
+Passages without such runs (one long sentence, or none that ends) are found by
+windows of PASSAGE words that start at sentences, end at them, or start at
+anchors: words whose pair hash is the smallest of GAP neighbouring ones. A window
+is used where no run lies in it. Runs and windows are told apart by key and
+check, 95 bits of two polynomial hashes, one of them modulo a prime.
 """
 
 from __future__ import annotations
@@ -16,8 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import textnp
-from lodestone.llm.common import beside_text, fields_of, small_batches, stage
-from lodestone.llm.exchange import NO_ID, blocks, first_of, gathered, keyed_texts, packed_schema, split, text_parts
+from lodestone.llm.common import beside_text, drop_staged, fields_of, stage
+from lodestone.llm.exchange import NO_ID, Sent, blocks, deal_for, exchanged, first_of, keyed_texts
 
 RUN, LEAST_WORDS, LONGEST = 3, 12, 40
 #: Words of a window, and words that hold an anchor at least: PASSAGE + GAP - 1 repeated words hold a whole window.
@@ -29,7 +35,6 @@ LINES = np.zeros(256, bool)
 LINES[[10, 11, 12, 13]] = True
 #: The lowest bit of a key tells windows from runs.
 ONE = U(1)
-FOUND = "_doc long, _th long, start long, stop long, _first long"
 
 
 def anchors(h: np.ndarray) -> np.ndarray:
@@ -44,7 +49,7 @@ def anchors(h: np.ndarray) -> np.ndarray:
 
 
 def sentence_runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Document number, start, stop (bytes in the text) and hash of every run, then of every window.
+    """Document number, start, stop (bytes in the text), key and check of every run, then of every window.
 
     A text with words but too short for a full run is one run.
     """
@@ -52,7 +57,7 @@ def sentence_runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     at, h = textnp.words(buf, bare=True)
     none = np.zeros(0, np.int64)
     if not len(at):
-        return none, none, none, none.astype(U)
+        return none, none, none, none.astype(U), none.astype(U)
     doc = np.searchsorted(bounds, at, "right") - 1
     gap = np.append(textnp.SPACE[buf], True)
     edge = np.flatnonzero(~gap[:-1] & gap[1:]) + 1  # a word ends where white space follows
@@ -78,9 +83,10 @@ def sentence_runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     run_head, run_stop = head[full], stop[end[full] - 1]
     use = full | whole
     i, end = i[use], end[use]
-    sums = textnp.prefix(h)
+    sums = textnp.Sums(h)
     a, b = head[i], stop[end - 1]
-    key = textnp.mix(textnp.stretch(sums, a, b) ^ (b - a).astype(U)) & ~ONE
+    key, check = sums.pair(a, b)
+    key &= ~ONE
     begin = anchors(h)
     begin[head] = True
     ends = stop - PASSAGE
@@ -92,9 +98,10 @@ def sentence_runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     begin = begin[nearest > begin + PASSAGE]
     i = np.concatenate([i, np.searchsorted(head, begin, "right") - 1])
     a, b = np.concatenate([a, begin]), np.concatenate([b, begin + PASSAGE])
-    key = np.concatenate([key, textnp.mix(textnp.stretch(sums, begin, begin + PASSAGE) ^ U(PASSAGE)) | ONE])
+    more, more_check = sums.pair(begin, begin + PASSAGE)
+    key, check = np.concatenate([key, more | ONE]), np.concatenate([check, more_check])
     d = of[i]
-    return d, at[a] - bounds[d], edge[b - 1] - bounds[d], key
+    return d, at[a] - bounds[d], edge[b - 1] - bounds[d], key, check
 
 
 def apart(key: np.ndarray, start: np.ndarray, first: np.ndarray, first_stop: np.ndarray) -> np.ndarray:
@@ -102,11 +109,28 @@ def apart(key: np.ndarray, start: np.ndarray, first: np.ndarray, first_stop: np.
     return np.where((key & ONE).astype(bool), start >= first_stop, start != first)
 
 
+LAYOUT = Sent(6, {"_doc": "long", "_th": "long", "start": "long", "stop": "long", "_first": "long"})
+
+
+def fold(columns: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of entries (key, check, document, text hash, start, size): the repeats of the first of each key, and what is left.
+
+    Windows that overlap the first in its own text are left: they may repeat one elsewhere.
+    """
+    key, check, doc, th, start, size = columns
+    order, head = first_of((key, check, doc, th, start), 2)
+    lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+    i = order
+    again = ~head & ((doc[i] != doc[lead]) | (th[i] != th[lead]) | apart(key[i], start[i], start[lead], start[lead] + size[lead]))
+    same = ~head & (doc[i] == doc[lead]) & (th[i] == th[lead]) & (start[i] == start[lead])
+    j, first = i[again], lead[again]
+    left = i[~again & ~same]
+    return [doc[j], th[j], start[j], start[j] + size[j], doc[first]], [c[left] for c in columns]
+
+
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """``_doc, _th, start, stop, _first``: each non-first run and the id of an earlier document (or the same) that has it."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    parts = text_parts(docs)
+    deal = deal_for(docs)
 
     def send(batches):
         for rows in blocks(batches):
@@ -114,38 +138,14 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
             hashes = np.array([r[1] for r in rows], np.int64)
             found = []
             for lo, hi in textnp.groups([len(r[2] or b"") for r in rows], 1 << 20):
-                d, start, stop, key = sentence_runs([r[2] for r in rows[lo:hi]])
-                found.append((d + lo, start, stop, key))
-            d, start, stop, key = (np.concatenate(x) for x in zip(*found))
-            order, head = first_of((key, np.arange(len(key))))
-            d, start, stop, key = d[order], start[order], stop[order], key[order]
-            lead = np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))
-            again = ~head & ((ids[d] != ids[d[lead]]) | (hashes[d] != hashes[d[lead]]) | apart(key, start, start[lead], stop[lead]))
-            left = head | (~again & (start != start[lead]))  # windows that overlap the first here may repeat one elsewhere
-            if again.any():
-                g = np.flatnonzero(again)
-                flat = [ids[d[g]], hashes[d[g]], start[g], stop[g], ids[d[lead[g]]]]
-                yield pa.record_batch([pa.array(np.full(1, -1, np.int32)), *[pa.array([x.tobytes()], pa.binary()) for x in flat]], ["part", "c0", "c1", "c2", "c3", "c4"])
-            d, start, stop, key = d[left], start[left], stop[left], key[left]
-            yield split(key, parts, [key, ids[d], hashes[d], start.astype(np.int64), (stop - start).astype(np.int64)])
-
-    def rows_of(columns):
-        return pa.table([pa.array(c, pa.int64()) for c in columns], ["_doc", "_th", "start", "stop", "_first"])
-
-    def meet(table):
-        if table.column("part")[0].as_py() < 0:  # repeats found inside blocks
-            return rows_of([np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column(f"c{i}")]) for i in range(5)])
-        key, doc, th, start, size = gathered(table, 5)
-        order, head = first_of((key, doc, th, start))
-        lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-        g = np.flatnonzero(~head & ((doc[order] != doc[lead]) | (th[order] != th[lead]) | apart(key[order], start[order], start[lead], (start + size)[lead])))
-        i = order[g]
-        return rows_of([doc[i], th[i], start[i], start[i] + size[i], doc[lead[g]]])
-
-    sent = keyed_texts(docs).mapInArrow(send, packed_schema(5))
-    # Repeats that a block found itself are dealt over many groups of their own.
-    sent = sent.withColumn("_deal", F.when(F.col("part") < 0, F.pmod(F.xxhash64("c0"), F.lit(parts))).otherwise(F.lit(0)))
-    return sent.groupBy("part", "_deal").applyInArrow(meet, FOUND)
+                d, start, stop, key, check = sentence_runs([r[2] for r in rows[lo:hi]])
+                found.append((key, check, d + lo, start.astype(np.int64), (stop - start).astype(np.int64)))
+            key, check, d, start, size = (np.concatenate(x) for x in zip(*found))
+            settled, left = fold([key, check, ids[d], hashes[d], start, size])
+            yield LAYOUT.rows(settled)
+            yield LAYOUT.split(left, deal.parts[0])
+
+    return exchanged(keyed_texts(docs).mapInArrow(send, LAYOUT.schema), LAYOUT, deal, fold)
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:

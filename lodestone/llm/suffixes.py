@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textnp
-from lodestone.llm.common import boxed, fields_of, small_batches, stage
-from lodestone.llm.exchange import NO_ID, blocks, first_of, gathered, ids_repeat, keyed_texts, split, text_parts
+from lodestone.llm.common import boxed, fields_of, stage
+from lodestone.llm.exchange import NO_ID, blocks, first_of, ids_repeat, keyed_texts
 
 LENGTH, GRAM = 100, 32
 #: Bytes that are hashed at once; anchors are told apart by 24 bits of offset.
@@ -347,7 +347,7 @@ def find_windows(docs: DataFrame, opened: DataFrame, parts: int, hashed: bool =
         i = order[~head & ((doc[order] != doc[lead]) | (th[order] != th[lead]) | (at[order] != at[lead]))]
         return pa.Table.from_batches([_flat(REPEAT, doc[i], th[i], at[i], at[i])])
 
-    small_batches(spark)
+
     deal = F.when(F.col("kind") > 0, F.pmod(F.xxhash64("_doc"), F.lit(parts)).cast("int")).otherwise(F.col("part"))
     return rows.mapInArrow(send, SENT).withColumn("_deal", deal).withColumn("_flat", F.col("kind") > 0).groupBy("_deal", "_flat").applyInArrow(meet, ROWS)
 
@@ -373,10 +373,10 @@ def _cut(text: bytes, starts, stops) -> tuple[list[tuple[int, int]], bytes]:
 
 def repeated_windows(docs: DataFrame, hashed: bool = True) -> DataFrame:
     """``_doc, _th, start, stop``: stretches of window starts whose 100 bytes also start earlier."""
-    small_batches(docs.sparkSession)
+
     parts = text_parts(docs)
-    found = stage(find_stretches(docs, parts, hashed), "suffix-stretches", heavy=True)
-    more = stage(find_windows(docs, found.where(f"kind = {OPEN}"), parts, hashed), "suffix-windows", heavy=True)
+    found = stage(find_stretches(docs, parts, hashed), "suffix-stretches")
+    more = stage(find_windows(docs, found.where(f"kind = {OPEN}"), parts, hashed), "suffix-windows")
     return found.where(f"kind = {REPEAT}").unionByName(more).drop("kind")
 
 

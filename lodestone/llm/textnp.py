@@ -1,7 +1,10 @@
 """Vectorised hashing of UTF-8 text for Python workers.
 
-Hashes are polynomials modulo 2^64 over random byte values, taken from prefix
-sums, so the hash of any stretch of a text costs two look-ups.
+Hashes are polynomials over random byte values, taken from prefix sums, so the
+hash of any stretch of a text costs two look-ups. A polynomial modulo 2^64 alone
+has known collisions (a Thue-Morse string of 1,024 letters and its complement,
+whatever the base); ``Sums`` therefore joins it with one modulo the prime
+2^31 - 1, which has none of that kind.
 """
 
 from __future__ import annotations
@@ -77,6 +80,63 @@ def stretch(sums: np.ndarray, start: np.ndarray, stop: np.ndarray, powers: Power
     return (sums[stop] - sums[start]) * powers.get(len(sums))[1][start]
 
 
+#: A prime modulus beside 2^64, and a base for it.
+P31 = U((1 << 31) - 1)
+BASE31 = 1_103_515_245
+
+
+class PrimePowers:
+    """Powers of BASE31 and of its inverse modulo P31, grown on demand."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, U)
+
+    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            self.up, self.down = (self._row(b, n) for b in (BASE31, pow(BASE31, -1, int(P31))))
+        return self.up[:n], self.down[:n]
+
+    @staticmethod
+    def _row(base: int, n: int) -> np.ndarray:
+        out = np.empty(n, U)
+        out[0] = 1
+        k, step = 1, base % int(P31)
+        while k < n:
+            m = min(k, n - k)
+            out[k : k + m] = out[:m] * U(step) % P31
+            step = step * step % int(P31)
+            k += m
+        return out
+
+
+PRIME_POWERS = PrimePowers()
+
+
+class Sums:
+    """Prefix sums of a sequence of random 64-bit values under both polynomials."""
+
+    def __init__(self, values: np.ndarray):
+        self.wide = prefix(values)
+        n = len(values) + 1
+        up, self.down = PRIME_POWERS.get(n)
+        x = (values >> U(33)) * up[:-1]
+        self.prime = np.zeros(n, U)
+        np.cumsum((x & P31) + (x >> U(31)), out=self.prime[1:])  # terms under 2^32: no overflow below 2^32 of them
+
+    def pair(self, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Key and check of [start, stop), both 64 bits wide and both made of the two hashes and the length: 95 bits in all."""
+        wide = stretch(self.wide, start, stop)
+        prime = (self.prime[stop] - self.prime[start]) % P31 * self.down[start] % P31
+        size = (stop - start).astype(U)
+        return mix(wide ^ mix(prime ^ size << U(32))), mix(prime << U(33) ^ mix(wide + size) ^ U(0x5851F42D4C957F2D))
+
+    def key(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """One 64-bit hash of [start, stop)."""
+        wide = stretch(self.wide, start, stop)
+        prime = (self.prime[stop] - self.prime[start]) % P31 * self.down[start] % P31
+        return mix(wide ^ mix(prime ^ (stop - start).astype(U) << U(32)))
+
+
 def words(data: np.ndarray, bare: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Start offsets and hashes of the words of ``data`` (uint8), A-Z taken as lower case.
 
@@ -103,8 +163,7 @@ def words(data: np.ndarray, bare: bool = False) -> tuple[np.ndarray, np.ndarray]
                     break
                 e -= cut
                 s += cut2 & (e - s > 1)
-        sums = prefix(LOWER[b])
-        hashes.append(mix(stretch(sums, s, e) ^ (e - s).astype(U)))
+        hashes.append(Sums(LOWER[b]).key(s, e))
         at = end
     if not starts:
         return np.zeros(0, np.int64), np.zeros(0, U)
@@ -113,7 +172,7 @@ def words(data: np.ndarray, bare: bool = False) -> tuple[np.ndarray, np.ndarray]
 
 def combine(*hashes: np.ndarray) -> np.ndarray:
     """Hash of a sequence of hashes; the order counts."""
-    out = np.full(len(hashes[0]), len(hashes), U)
+    out = np.full(hashes[0].shape, len(hashes), U)
     for h in hashes:
         out = mix(out * U(0xD6E8FEB86659FD93) + h)
     return out

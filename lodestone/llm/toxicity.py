@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textnp
-from lodestone.llm.common import beside_text, fields_of, is_held_out, small_batches
+from lodestone.llm.common import beside_text, fields_of, is_held_out, worker_batches
 
 #: Hash buckets; the weights that reach the workers are at most so many pairs.
 BITS = 20
@@ -97,7 +97,6 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", train_docs: i
     toxic: the model is a bias that scores all texts next to 0.
     At most 2^BITS + 1 weights reach the driver.
     """
-    small_batches(docs.sparkSession)
     picked = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"), 4, 2))
     picked = picked.groupBy("doc_id").agg(F.max(column).alias("_y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
     picked = picked.withColumnRenamed("doc_id", "_id")
@@ -113,7 +112,8 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", train_docs: i
         ids, w = train(texts, ys) if texts else (np.zeros(0, np.int64), np.zeros(0))
         yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(w, pa.float64())], ["id", "w"])
 
-    found = rows.mapInArrow(learn, "id long, w double").collect() or [(1 << BITS, NOTHING)]
+    with worker_batches(docs.sparkSession):
+        found = rows.mapInArrow(learn, "id long, w double").collect() or [(1 << BITS, NOTHING)]
     return np.array([r[0] for r in found], np.int64), np.array([r[1] for r in found])
 
 
@@ -124,7 +124,6 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], thres
     and empty texts get the score of the bias.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     sent = spark.sparkContext.broadcast((model[0].astype(np.int32), model[1].astype(np.float32)))
     fields = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
     where = fields.index("text")

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import free_shuffles, scratch_path, small_batches
+from lodestone.llm.common import scratch_path
 
 ZSTD, GZIP, VERSION = b"\x28\xb5\x2f\xfd", b"\x1f\x8b\x08", b"WARC/1."
 #: A skippable zstd frame of one byte; that byte is the sink's line separator.
@@ -101,7 +101,6 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT, reco
     By default an archive holds as many records as make up about ARCHIVE_BYTES
     of payload, since a reader takes an archive at once.
     """
-    small_batches(pages.sparkSession)
     if records_per_file is None:
         mean = pages.agg(F.avg(F.coalesce(F.octet_length("html"), F.lit(0)))).first()[0] or 0
         records_per_file = max(1, min(20_000, int(ARCHIVE_BYTES / (mean + 500))))
@@ -286,7 +285,6 @@ def read_archives(spark, path: str, with_payload: bool = True) -> DataFrame:
     from its HTTP header and its WARC header; its payload column is null. An
     empty archive gives no rows.
     """
-    small_batches(spark, 8)  # an archive is one row
 
     def parse(batches):
         schema = pa.schema([("archive", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("status", pa.string()), ("reason", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
@@ -322,6 +320,5 @@ def op3_query(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     path = scratch_path(spark, "warc")
     write_archives(pages, path)
-    free_shuffles(spark, wait=True)  # the archives are in the shared folder now
     records = read_archives(spark, path, with_payload=False).where("status = 'record'")
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

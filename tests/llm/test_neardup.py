@@ -77,9 +77,13 @@ def test_few_words_none_and_case(spark):
     assert {r["_id"]: r["n_shingles"] for r in got} == {1: 1, 2: 1, 3: 1, 4: 0, 5: 0, 6: 0, 7: 1}
 
 
-def test_links_do_not_depend_on_centres(spark, monkeypatch):
-    """Links that the centres miss are found beside each other in a bundle."""
-    monkeypatch.setattr(neardup, "ORDERS", 1)
+def no_leaders(monkeypatch):
+    monkeypatch.setattr(neardup, "led_pairs", lambda members, turn: members.select(members["id"].alias("a"), members["id"].alias("b")).limit(0))
+
+
+def test_links_do_not_depend_on_leaders(spark, monkeypatch):
+    """The last comparison alone finds every link."""
+    no_leaders(monkeypatch)
     rows = [r for r in corpus(seed=9, n=120) if r[0] is not None]
     assert labels(spark, rows, 4) == brute(rows, 4)
 
@@ -111,9 +115,8 @@ def test_query(spark, sf_dir):
 
 
 def test_pairs_of_crowded_buckets_are_all_compared(spark, monkeypatch):
-    # template texts just below 0.8 of each other, pairs of them above; no round of drawn members helps
-    monkeypatch.setattr(neardup, "ROUNDS", 0)
-    monkeypatch.setattr(neardup, "CELL", 16, raising=False)
+    # template texts just below 0.8 of each other, pairs of them above; no leader helps
+    no_leaders(monkeypatch)
     rng = random.Random(11)
     base, rows = [f"t{i}" for i in range(120)], []
     for i in range(150):
@@ -126,3 +129,32 @@ def test_pairs_of_crowded_buckets_are_all_compared(spark, monkeypatch):
     want = brute(rows, 4)
     assert len(set(want.values())) > 20
     assert labels(spark, rows, 4) == want
+
+
+def test_original_links_copies_that_are_not_alike(spark):
+    # every copy is near the original alone, which is neither the first nor the last
+    rng = random.Random(12)
+    base, rows = [f"t{i}" for i in range(150)], []
+    for i in range(200):
+        v = list(base)
+        for p in rng.sample(range(0, 150, 6), 4):
+            v[p] = f"own{i}x{p}"
+        rows.append((i + (i > 120), " ".join(v)))
+    rows.append((121, " ".join(base)))
+    want = brute(rows, 4)
+    assert len(set(want.values())) < 10
+    assert labels(spark, rows, 4) == want
+
+
+def test_ids_of_several_texts_are_one_node(spark):
+    text = [" ".join(f"{c}{i}" for i in range(30)) for c in "abc"]
+    rows = [(5, text[0]), (5, text[1]), (3, text[1]), (9, text[0]), (7, text[2]), (5, None), (8, ""), (7, text[2])]
+    got = neardup.label_documents(frame(spark, rows), 4).collect()
+    assert len(got) == len(rows) and {(r["_id"], r["root"]) for r in got} == {(5, 3), (3, 3), (9, 3), (7, 7), (8, 8)}
+
+
+def test_thue_morse_words_are_told_apart(spark):
+    bits = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    other = bits.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"w{i}" for i in range(2))
+    assert labels(spark, [(1, f"{bits} {tail}"), (2, f"{other} {tail}")], 4) == {1: 1, 2: 2}
