@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import textnp
 from lodestone.llm.common import is_held_out, stage
-from lodestone.llm.exchange import NO_ID, blocks, pack, unpack
+from lodestone.llm.exchange import NO_ID, blocks, deal_for, pack, unpack
 
 HISTORY_BITS = 16
 START = 1 << HISTORY_BITS
@@ -129,7 +129,7 @@ def count(asks: DataFrame) -> DataFrame:
         pair, word = np.cumsum(new) - 1, np.cumsum(new_word) - 1
         pair_total = np.bincount(pair, c[order]).astype(np.int64)
         word_total = np.bincount(word, c[order]).astype(np.int64)
-        answers = np.empty((2, len(w)), np.uint32)
+        answers = np.empty((2, len(w)), np.int64)
         answers[0, order], answers[1, order] = pair_total[pair], word_total[word]
         of_words = answers[1][first_pair]
         rows = [(ANSWER, name, part, pack(a), pack(b), None, None, None) for name, a, b in zip(names, np.split(answers[0], ends), np.split(of_words, word_ends))]
@@ -244,7 +244,7 @@ def score_texts(docs: DataFrame, held_out=None) -> DataFrame:
     spark = docs.sparkSession
 
     held_out = is_held_out(F.col("doc_id"), 7, 2) if held_out is None else held_out
-    parts = text_parts(docs, per=16 << 20, least=36)
+    parts = deal_for(docs, least=36).parts[-1]
     sent = stage(tokenised(docs, held_out, parts), "lm-blocks")
     found = stage(count(sent.where(f"kind = {ASK}")), "lm-counts")
     hist = dict(found.where(f"kind = {HISTOGRAM}").select(F.posexplode("v")).groupBy("pos").agg(F.sum("col")).collect())

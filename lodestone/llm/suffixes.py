@@ -7,20 +7,23 @@ would shuffle every one of them, so suffixes are sorted sparsely:
 1. Anchors. In each 100-byte window the GRAM-byte string with the smallest hash
    (leftmost on ties) is the anchor; equal windows have equal anchors at equal
    offsets. Windows with one anchor form a stretch, on average 35 windows long.
-2. Inside a block of texts, stretches with equal anchors are merge-sorted;
-   suffixes are compared by their longest common extension, found by binary
+2. Anchors that stand once in the corpus can't lie in a repeat. The hashes of
+   anchors are exchanged and the stretches of repeated anchors opened; nothing
+   is removed by that.
+3. The bytes of opened stretches are exchanged by anchor. There, and before in
+   each buffer and block, stretches of one anchor and shape are merge-sorted as
+   suffixes: two are compared by their longest common extension, found by binary
    search over prefix polynomial hashes, so a comparison takes logarithmic time.
-   Neighbours that agree over the whole stretch are verified byte by byte; all
-   but the first are repeats and go no further.
-3. What is left is exchanged by anchor hash. Equal stretches (anchor hash and an
-   independent stretch hash, 128 bits) are repeats of the first. First stretches
-   whose anchor also stands in different stretches agree in part at most.
-4. Only those are opened into single windows, which are reduced in their block
-   (verified byte by byte) and exchanged by window hash with a check hash.
-
-No pairs are formed; a block sends any string once, so a passage that many
-documents share arrives once for each block. Windows are never cut by block or
-segment bounds: longer texts are taken in segments that overlap by 99 bytes.
+   Neighbours whose extension covers the stretch are compared byte by byte; then
+   all but the first are repeats.
+4. What is left of an anchor agrees in part at most: the single windows of these
+   stretches are sorted and compared in the same way. Windows whose hash no other
+   has are left out of that sort.
+
+Every removal follows from a comparison of neighbours in sorted order that their
+bytes confirm; hashes alone decide nothing. No pairs are formed, and a stretch
+is sent once for each buffer and block. Windows are never cut by block or segment
+bounds: longer texts are taken in segments that overlap by 99 bytes.
 """
 
 from __future__ import annotations
@@ -33,16 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textnp
-from lodestone.llm.common import boxed, fields_of, stage
-from lodestone.llm.exchange import NO_ID, blocks, first_of, ids_repeat, keyed_texts
+from lodestone.llm.common import boxed, drop_staged, fields_of, stage
+from lodestone.llm.exchange import NO_ID, Deal, Sent, blocks, deal_for, exchanged, first_of, ids_repeat, keyed_texts, ragged
 
 LENGTH, GRAM = 100, 32
 #: Bytes that are hashed at once; anchors are told apart by 24 bits of offset.
 SEGMENT = 1 << 20
-#: Different stretches of one anchor in a block beyond which all are opened at once.
-MANY = 16
 U = textnp.U
-CHECK = textnp.table(7)
 
 
 def windows_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -174,185 +174,198 @@ def _buffer(texts: list[bytes], row: np.ndarray, offset: np.ndarray):
     yield buf, row, offset, bounds, valid
 
 
-SENT = "kind int, part int, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary, c5 binary, _doc long, _th long, start long, stop long"
-ROWS = "kind int, _doc long, _th long, start long, stop long"
-REPEAT, OPEN = 1, 2
+FLAT = {"_doc": "long", "_th": "long", "start": "long", "stop": "long"}
+#: Anchor hash, document, text hash, start, windows beyond the first, offset of the anchor.
+ANCHORS = Sent(6, FLAT)
+#: Anchor hash, document, text hash, start, size, offset of the anchor, bytes.
+STRETCHES = Sent(7, FLAT, sized_by=4)
 
 
-def _flat(kind: int, doc, th, start, stop) -> pa.RecordBatch:
-    """Rows of stretches: windows from ``start`` to ``stop`` that repeat (1) or have to be opened (2). Those side by side are joined."""
+def runs_of(doc, th, start, stop) -> list[np.ndarray]:
+    """Stretches of window starts that repeat, those side by side joined."""
     order = np.lexsort((start, th, doc))
     doc, th, start, stop = (x[order] for x in (doc, th, start, stop))
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (th[1:] != th[:-1]) | (start[1:] > stop[:-1] + 1)
     head = np.flatnonzero(new)
-    doc, th, start = doc[head], th[head], start[head]
-    stop = stop[np.append(head[1:], len(stop)) - 1] if len(head) else stop
-    return pa.record_batch([pa.array(np.full(len(doc), kind, np.int32)), *[pa.array(x, pa.int64()) for x in (doc, th, start, stop)]], ["kind", "_doc", "_th", "start", "stop"])
+    return [doc[head], th[head], start[head], stop[np.append(head[1:], len(stop)) - 1] if len(head) else stop]
 
 
-def _with_packed(batch: pa.RecordBatch, n: int, packed: bool) -> pa.RecordBatch:
-    """Rows in the layout that holds packed arrays or flat rows."""
-    m = batch.num_rows
-    null = lambda t: pa.nulls(m, t)
-    if packed:
-        kind = pa.array(np.zeros(m, np.int32))
-        cols = [kind, *batch.columns, *[null(pa.binary())] * (6 - n), *[null(pa.int64())] * 4]
-    else:
-        cols = [batch.column(0), null(pa.int32()), *[null(pa.binary())] * 6, *batch.columns[1:]]
-    return pa.record_batch(cols, ["kind", "part", *[f"c{i}" for i in range(6)], "_doc", "_th", "start", "stop"])
+def repeats(text: Suffixes, at, size, group, place: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Which suffixes repeat an earlier one of their group, and which stand for others or themselves.
 
-
-def find_stretches(docs: DataFrame, parts: int, hashed: bool = True) -> DataFrame:
-    """Steps 1 to 3: rows of kind REPEAT and OPEN."""
+    ``at``, ``size``: suffixes of ``text``, all of one size in a group. ``place``:
+    document, text hash and offset; the smallest of equal suffixes is the first.
+    Of several suffixes at one place (repeated rows) one stands for all.
+    """
+    order = np.lexsort((*place[::-1], group))
+    g = group[order]
+    tied = np.zeros(len(g), bool)
+    tied[1:] = g[1:] == g[:-1]
+    tied[:-1] |= tied[1:].copy()
+    again, stands = np.zeros(len(g), bool), np.ones(len(g), bool)
+    some = order[tied]
+    if len(some):
+        ranked = some[text.merge_sort(at[some], size[some], group[some])]
+        x, n, gg = at[ranked], size[ranked], group[ranked]
+        same = np.zeros(len(x), bool)
+        same[1:] = (gg[1:] == gg[:-1]) & (text.common(x[1:], x[:-1], n[1:]) >= n[1:])
+        p = np.flatnonzero(same)
+        same[p] = text.same_bytes(x[p], x[p - 1], n[p])
+        lead = ranked[np.maximum.accumulate(np.where(same, 0, np.arange(len(x))))]
+        apart = np.zeros(len(x), bool)
+        for c in place:
+            apart |= c[ranked] != c[lead]
+        stands[ranked] = ~same
+        again[ranked] = same & apart
+    return again, stands
+
+
+def packed_place(start, shift, wide) -> np.ndarray:
+    """Start of a stretch with its shape in the lowest 14 bits."""
+    return start.astype(np.int64) << 14 | shift.astype(np.int64) << 7 | wide.astype(np.int64)
+
+
+def fold_anchors(columns: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Stretches whose anchor stands in several of these; the first of each anchor goes on."""
+    key, doc, th, start, wide, shift = columns
+    order, head = first_of((key, doc, th, start))
+    group = np.cumsum(head) - 1
+    i = order[np.bincount(group)[group] > 1] if len(order) else order
+    settled = [doc[i], th[i], packed_place(start[i], shift[i], wide[i]), np.full(len(i), -1, np.int64)]
+    return settled, [c[order[head]] for c in columns]
+
+
+def find_anchors(docs: DataFrame, deal: Deal, hashed: bool) -> DataFrame:
+    """Steps 1 and 2: stretches that repeat in a buffer, and (stop -1) those to open, by their packed place."""
 
     def send(batches):
         for rows in blocks(batches):
             ids, ths = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-            held = [[] for _ in range(7)]
+            held, gone = [], []
             for buf, row, offset, bounds, valid in segments(rows):
                 sums = textnp.prefix(textnp.BYTES[buf])
                 lo, hi, a, key = stretches(buf, sums, valid)
                 if not len(lo):
                     continue
                 piece = np.searchsorted(bounds, lo, "right") - 1
-                whole = textnp.mix(textnp.stretch(sums, lo, hi + LENGTH) ^ U(1))
+                start, r = lo - bounds[piece] + offset[piece], row[piece]
+                place = (ids[r], ths[r], start)
                 shape = ((a - lo) * 256 + (hi - lo)).astype(U)
-                own = textnp.combine(whole, shape)
-                # merge-sort stretches that share an anchor and a shape in this buffer
-                g = textnp.combine(key, shape)
-                order = np.argsort(g, kind="stable")
-                gs = g[order]
-                tied = np.zeros(len(gs), bool)
-                tied[1:] = gs[1:] == gs[:-1]
-                tied[:-1] |= tied[1:].copy()
-                some = order[tied]
-                again = np.zeros(len(lo), bool)
-                if len(some):
-                    text = Suffixes(buf, sums)
-                    size = hi[some] + LENGTH - lo[some]
-                    ranked = text.merge_sort(lo[some], size, g[some])
-                    x, n, gg = lo[some][ranked], size[ranked], g[some][ranked]
-                    same = np.zeros(len(x), bool)
-                    same[1:] = (gg[1:] == gg[:-1]) & (text.common(x[1:], x[:-1], n[1:]) >= n[1:])
-                    p = np.flatnonzero(same)
-                    same[p] = text.same_bytes(x[p], x[p - 1], n[p])
-                    again[some[ranked]] = same  # stable: the first in text order leads
-                start = lo - bounds[piece] + offset[piece]
-                for out, c in zip(held, (key, own, row[piece], start, hi - lo, again, np.zeros(0))):
-                    out.append(c)
-            if not held[0]:
+                again, stands = repeats(Suffixes(buf, sums), lo, hi + LENGTH - lo, textnp.combine(key, shape), place)
+                gone.append([c[again] for c in (*place, start + hi - lo)])
+                held.append([c[stands] for c in (key, *place, (hi - lo).astype(np.uint8), (a - lo).astype(np.uint8))])
+            if not held:
                 continue
-            key, own, row, start, wide, again = (np.concatenate(x) for x in held[:6])
-            if again.any():
-                r = row[again]
-                yield _with_packed(_flat(REPEAT, ids[r], ths[r], start[again], start[again] + wide[again]), 0, False)
-            keep = ~again
-            key, own, row, start, wide = (x[keep] for x in (key, own, row, start, wide))
-            # the same over the buffers of this block, by hash; rows stand in document order
-            order, head = first_of((own, np.arange(len(own))))
-            i = order[~head]
-            lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))][~head]
-            real = (ids[row[i]] != ids[row[lead]]) | (ths[row[i]] != ths[row[lead]]) | (start[i] != start[lead])
-            i = i[real]
-            yield _with_packed(_flat(REPEAT, ids[row[i]], ths[row[i]], start[i], start[i] + wide[i]), 0, False)
-            key, own, row, start, wide = (x[np.sort(order[head])] for x in (key, own, row, start, wide))
-            # anchors with many different stretches here: opened at once, MANY of them stand for all
-            order, head = first_of((key, np.arange(len(key))))
-            rank = np.arange(len(order)) - np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
-            late = order[rank >= MANY]
-            yield _with_packed(_flat(OPEN, ids[row[late]], ths[row[late]], start[late], start[late] + wide[late]), 0, False)
-            rest = order[rank < MANY]
-            key, own, row, start, wide = (x[rest] for x in (key, own, row, start, wide))
-            yield _with_packed(split(key, parts, [key, own, ids[row], ths[row], start.astype(np.int64), wide.astype(np.uint8)]), 6, True)
-
-    def meet(table):
-        if table.column("kind")[0].as_py():
-            return table.select(["kind", "_doc", "_th", "start", "stop"])
-        key, own, doc, th, start, wide = gathered(table, 6)
-        order = np.lexsort((start, th, doc, own, key))
-        k, o = key[order], own[order]
-        head = np.ones(len(order), bool)
-        head[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
-        lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-        differs = (doc[order] != doc[lead]) | (th[order] != th[lead]) | (start[order] != start[lead])
-        again = order[~head & differs]
-        new_key = np.ones(len(order), bool)
-        new_key[1:] = k[1:] != k[:-1]
-        group = np.cumsum(new_key) - 1
-        opened = order[head & (np.bincount(group, head)[group] > 1)]
-        # an anchor whose block holds MANY stretches has others that were opened at once; it has several here, too
-        out = [_flat(kind, doc[i], th[i], start[i], start[i] + wide[i]) for kind, i in ((REPEAT, again), (OPEN, opened))]
-        return pa.Table.from_batches(out)
-
-    sent = keyed_texts(docs, hashed).mapInArrow(send, SENT)
-    deal = F.when(F.col("kind") > 0, F.pmod(F.xxhash64("_doc"), F.lit(parts)).cast("int")).otherwise(F.col("part"))
-    return sent.withColumn("_deal", deal).withColumn("_flat", F.col("kind") > 0).groupBy("_deal", "_flat").applyInArrow(meet, ROWS)
-
-
-def find_windows(docs: DataFrame, opened: DataFrame, parts: int, hashed: bool = True) -> DataFrame:
-    """Step 4: windows of opened stretches that repeat, as REPEAT rows."""
-    spark = docs.sparkSession
-    by_doc = opened.groupBy(F.col("_doc").alias("_d"), F.col("_th").alias("_t")).agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("_s"))
-    keyed = keyed_texts(docs, hashed)
-    rows = keyed.join(by_doc, (F.col("_doc") == F.col("_d")) & (F.col("_th") == F.col("_t"))).select("_doc", "_th", "text", F.col("_s.start").alias("a"), F.col("_s.stop").alias("b"))
+            yield ANCHORS.rows(runs_of(*(np.concatenate(c) for c in zip(*gone))))
+            opened, left = fold_anchors([np.concatenate(c) for c in zip(*held)])
+            yield ANCHORS.rows(opened)
+            yield ANCHORS.split(left, deal.parts[0])
+
+    return exchanged(keyed_texts(docs, hashed).mapInArrow(send, ANCHORS.schema), ANCHORS, deal, fold_anchors)
+
+
+def in_chunks(columns: list[np.ndarray]):
+    """The entries in runs of whole anchors of about SEGMENT bytes, with the offsets of their bytes."""
+    key, size, data = columns[0], columns[4].astype(np.int64), columns[6]
+    order = np.argsort(key, kind="stable")
+    at = np.cumsum(size) - size
+    new = np.ones(len(order), bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    firsts = np.flatnonzero(new)
+    sums = np.add.reduceat(size[order], firsts) if len(firsts) else firsts
+    for lo, hi in textnp.groups(sums.tolist(), SEGMENT):
+        i = order[firsts[lo] : firsts[hi] if hi < len(firsts) else len(order)]
+        n = size[i]
+        yield i, [c[i] for c in columns[:6]], ragged(data, at[i], n), np.cumsum(n) - n
+
+
+def equal_stretches(chunk: list[np.ndarray], text: Suffixes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    key, doc, th, start, size, shift = chunk
+    shape = shift.astype(U) * U(256) + size.astype(U)
+    return repeats(text, at, size.astype(np.int64), textnp.combine(key, shape), (doc, th, start))
+
+
+def equal_windows(chunk: list[np.ndarray], text: Suffixes, at: np.ndarray, stands: np.ndarray) -> list[np.ndarray]:
+    """Step 4 for the stretches that stand: places of windows that repeat an earlier one."""
+    key, doc, th, start, size, shift = chunk
+    h = np.flatnonzero(stands)
+    k = key[h]
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    group = np.cumsum(new) - 1
+    h = h[np.bincount(group)[group] > 1]
+    n = size[h].astype(np.int64) - LENGTH + 1
+    of = np.repeat(h, n)
+    step = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    w = at[of] + step
+    side = textnp.combine(key[of], (shift[of].astype(np.int64) - step).astype(U))
+    hashed = textnp.combine(side, textnp.stretch(text.sums, w, w + LENGTH))
+    order = np.argsort(hashed, kind="stable")
+    tied = np.zeros(len(order), bool)
+    tied[1:] = hashed[order][1:] == hashed[order][:-1]
+    tied[:-1] |= tied[1:].copy()
+    i = order[tied]
+    of, w, p, side = of[i], w[i], (start[of] + step)[i] if len(of) else step, side[i]
+    again, _ = repeats(text, w, np.full(len(w), LENGTH), side, (doc[of], th[of], p))
+    return [doc[of][again], th[of][again], p[again], p[again]]
+
+
+def fold_stretches(columns: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Whole stretches that repeat an earlier one; those that stand go on."""
+    gone, kept = [], []
+    for i, chunk, data, at in in_chunks(columns):
+        again, stands = equal_stretches(chunk, Suffixes(data, textnp.prefix(textnp.BYTES[data])), at)
+        _, doc, th, start, size, _ = chunk
+        gone.append([doc[again], th[again], start[again], (start + size - LENGTH)[again]])
+        kept.append([*(c[stands] for c in chunk), ragged(data, at[stands], chunk[4][stands].astype(np.int64))])
+    if not gone:
+        return [np.zeros(0, np.int64)] * 4, columns
+    return runs_of(*(np.concatenate(c) for c in zip(*gone))), [np.concatenate(c) for c in zip(*kept)]
+
+
+def last_stretches(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Whole stretches, then single windows, that repeat an earlier one."""
+    gone = []
+    for _, chunk, data, at in in_chunks(columns):
+        text = Suffixes(data, textnp.prefix(textnp.BYTES[data]))
+        again, stands = equal_stretches(chunk, text, at)
+        _, doc, th, start, size, _ = chunk
+        gone.append([doc[again], th[again], start[again], (start + size - LENGTH)[again]])
+        gone.append(equal_windows(chunk, text, at, stands))
+    return runs_of(*(np.concatenate(c) for c in zip(*gone)))
+
+
+def find_repeats(docs: DataFrame, opened: DataFrame, deal: Deal, hashed: bool) -> DataFrame:
+    """Steps 3 and 4: runs of window starts in the opened stretches that repeat."""
+    by_doc = opened.groupBy(F.col("_doc").alias("_d"), F.col("_th").alias("_t")).agg(F.collect_set("start").alias("_s"))
+    rows = keyed_texts(docs, hashed).join(by_doc, (F.col("_doc") == F.col("_d")) & (F.col("_th") == F.col("_t"))).select("_doc", "_th", "text", "_s")
 
     def send(batches):
         for block in blocks(batches):
-            ids, ths = np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], np.int64)
-            held = []
-            for buf, row, offset, bounds, valid in segments(block):
-                sums, checks = textnp.prefix(textnp.BYTES[buf]), textnp.prefix(CHECK[buf])
-                open_ = np.zeros(len(buf) + 1, np.int32)
-                for j, r in enumerate(row):
-                    a, b = np.array(block[r][3], np.int64) - offset[j], np.array(block[r][4], np.int64) - offset[j]
-                    use = (b >= 0) & (a < bounds[j + 1] - bounds[j])
-                    np.add.at(open_, bounds[j] + np.maximum(a[use], 0), 1)
-                    np.add.at(open_, bounds[j] + np.minimum(b[use] + 1, bounds[j + 1] - bounds[j]), -1)
-                p = np.flatnonzero((np.cumsum(open_[:-1]) > 0) & valid)
-                if not len(p):
-                    continue
-                key = textnp.mix(textnp.stretch(sums, p, p + LENGTH))
-                check = textnp.mix(textnp.stretch(checks, p, p + LENGTH)).astype(np.uint32)
-                order, head = first_of((key, p))
-                lead = np.maximum.accumulate(np.where(head, np.arange(len(p)), 0))
-                i = np.flatnonzero(~head)
-                text = Suffixes(buf, sums)
-                real = text.same_bytes(p[order[i]], p[order[lead[i]]], np.full(len(i), LENGTH)) if len(i) else np.zeros(0, bool)
-                again = np.zeros(len(p), bool)
-                again[order[i[real]]] = True
-                piece = np.searchsorted(bounds, p, "right") - 1
-                held.append((key, check, row[piece], p - bounds[piece] + offset[piece], again))
-            if not held:
-                continue
-            key, check, row, at, again = (np.concatenate(x) for x in zip(*held))
-            order, head = first_of((key, again, np.arange(len(key))))
-            lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-            same = ~head & (check[order] == check[lead])
-            same &= (ids[row[order]] != ids[row[lead]]) | (ths[row[order]] != ths[row[lead]]) | (at[order] != at[lead])
-            again[order[same]] = True
-            r, a = row[again], at[again]
-            yield _with_packed(_flat(REPEAT, ids[r], ths[r], a, a), 0, False)
-            first = np.sort(order[~same & ~again[order]])
-            yield _with_packed(split(key[first], parts, [key[first], check[first], ids[row[first]], ths[row[first]], at[first]]), 5, True)
-
-    def meet(table):
-        if table.column("kind")[0].as_py():
-            return table.select(["kind", "_doc", "_th", "start", "stop"])
-        key, check, doc, th, at = gathered(table, 5)
-        order = np.lexsort((at, th, doc, check, key))
-        head = np.ones(len(order), bool)
-        head[1:] = (key[order][1:] != key[order][:-1]) | (check[order][1:] != check[order][:-1])
-        lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-        i = order[~head & ((doc[order] != doc[lead]) | (th[order] != th[lead]) | (at[order] != at[lead]))]
-        return pa.Table.from_batches([_flat(REPEAT, doc[i], th[i], at[i], at[i])])
-
+            found = []
+            for doc, th, text, places in block:
+                data = np.frombuffer(text, np.uint8)
+                place = np.sort(np.array(places, np.int64))
+                start, shift, size = place >> 14, place >> 7 & 127, (place & 127) + LENGTH
+                gram = data[(start + shift)[:, None] + np.arange(GRAM)]
+                sums = np.zeros((len(start), GRAM + 1), U)
+                np.cumsum(textnp.BYTES[gram] * textnp.POWERS.get(GRAM)[0], axis=1, out=sums[:, 1:])
+                m = np.full(len(start), 0)
+                found.append([textnp.mix(textnp.mix(sums[:, -1])), m + doc, m + th, start, size.astype(np.uint8), shift.astype(np.uint8), ragged(data, start, size)])
+            settled, left = fold_stretches([np.concatenate(c) for c in zip(*found)])
+            yield STRETCHES.rows(settled)
+            yield STRETCHES.split(left, deal.parts[0])
+
+    return exchanged(rows.mapInArrow(send, STRETCHES.schema), STRETCHES, deal, fold_stretches, last_stretches)
 
-    deal = F.when(F.col("kind") > 0, F.pmod(F.xxhash64("_doc"), F.lit(parts)).cast("int")).otherwise(F.col("part"))
-    return rows.mapInArrow(send, SENT).withColumn("_deal", deal).withColumn("_flat", F.col("kind") > 0).groupBy("_deal", "_flat").applyInArrow(meet, ROWS)
 
-
-OUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+def repeated_windows(docs: DataFrame, hashed: bool = True) -> DataFrame:
+    """``_doc, _th, start, stop``: stretches of window starts whose 100 bytes also start earlier."""
+    deal = deal_for(docs)
+    found = stage(find_anchors(docs, deal, hashed), "suffix-anchors")
+    more = stage(find_repeats(docs, found.where("stop < 0"), deal, hashed), "suffix-repeats")
+    return found.where("stop >= 0").unionByName(more)
 
 
 def _cut(text: bytes, starts, stops) -> tuple[list[tuple[int, int]], bytes]:
@@ -371,15 +384,6 @@ def _cut(text: bytes, starts, stops) -> tuple[list[tuple[int, int]], bytes]:
     return runs, b"".join(kept)
 
 
-def repeated_windows(docs: DataFrame, hashed: bool = True) -> DataFrame:
-    """``_doc, _th, start, stop``: stretches of window starts whose 100 bytes also start earlier."""
-
-    parts = text_parts(docs)
-    found = stage(find_stretches(docs, parts, hashed), "suffix-stretches")
-    more = stage(find_windows(docs, found.where(f"kind = {OPEN}"), parts, hashed), "suffix-windows")
-    return found.where(f"kind = {REPEAT}").unionByName(more).drop("kind")
-
-
 def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """Documents without repeated strings: all columns but ``text`` as they are, plus n_bytes, n_removed, n_spans, kept_sha256.
 
