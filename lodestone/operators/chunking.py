@@ -1,7 +1,8 @@
-"""All files to chunks and index entries: dispatch, one parse for both, errors as rows."""
+"""All files to chunks and index entries: dispatch, parse, errors as rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -56,17 +57,19 @@ def _lean_terms(files: DataFrame, entries: DataFrame, terms: list[str]) -> DataF
     return rows.select("source_path", "file_name", F.explode(found).alias("e")).select("e.concept", "file_name", F.col("source_path").alias("file_path"), "e.start_line", "e.end_line", "e.entry_type")
 
 
-def chunk_files(files: DataFrame, config: ProjectConfig | None = None, strategies: dict[str, str] | None = None) -> Chunked:
+def chunk_files(files: DataFrame, config: ProjectConfig | None = None, strategies: dict[str, str] | None = None, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> Chunked:
     """Chunks, pointer-index entries and errors of ``files`` (source_path, file_name, ext, content[, error]).
 
     Order within a file is by start line. Only Markdown and Lean files are
-    searched for key terms. Code is parsed once for chunks and entries.
+    searched for key terms. ``keep`` writes a frame and reads it back: with it code
+    is parsed once for chunks, entries and errors, without it once for each that is asked for.
     """
     config = config or ProjectConfig()
     routed = dispatch(files if "error" in files.columns else files.withColumn("error", F.lit(None).cast("string")), strategies)
     good = routed.where("error is null")
     of = lambda *names: good.where(F.col("strategy").isin(*names))
     parsed = parsed_files(of(*PARSERS), PARSERS, config.code_chunk_min_lines, config.code_chunk_max_lines)
+    parsed = keep(parsed, "parsed") if keep else parsed
     plain = plaintext_chunks(of("plaintext"), config.min_chunk_lines, config.max_chunk_lines)
     plain = plain.withColumn("chunk_id", X.chunk_id(F.col("source_path"), F.col("chunk_type"), F.col("start_line"), F.col("end_line"), F.lit(None)))
     chunks = complete(markdown_chunks(of("markdown"), config.min_chunk_lines, config.max_chunk_lines)).unionByName(complete(plain)).unionByName(complete(_code_chunks(parsed)))

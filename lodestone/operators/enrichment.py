@@ -19,19 +19,22 @@ INSTRUCTIONS = (
 )
 CHUNK_MARK = "--- CHUNK "
 Model = Callable[[list[dict]], str]
+LEAST_GROUPS, CHUNKS_A_GROUP = 64, 100_000
 
 
 def eligible(chunks: DataFrame) -> DataFrame:
     return chunks.where(F.col("end_line") - F.col("start_line") + 1 >= S.ENRICH_LEAST_LINES)
 
 
-def batched(chunks: DataFrame, order: list[str], size: int = S.ENRICH_BATCH, spread: int = 64) -> DataFrame:
+def batched(chunks: DataFrame, order: list[str], size: int = S.ENRICH_BATCH, spread: int | None = None) -> DataFrame:
     """``chunks`` with batch (text) and id (1 to ``size``).
 
-    Files are dealt over ``spread`` groups by their path, and batches are cut in
-    order inside a group, so no task numbers the whole corpus.
+    Files are dealt over ``spread`` groups by the MD5 of their path, and batches
+    are cut in order inside a group, so no task numbers the whole corpus. By
+    default there is a group for every CHUNKS_A_GROUP chunks, LEAST_GROUPS at least.
     """
-    group = F.pmod(F.xxhash64(F.coalesce("source_path", "file_name")), F.lit(spread)).cast("int") if spread > 1 else F.lit(0)
+    spread = spread or max(LEAST_GROUPS, -(-chunks.count() // CHUNKS_A_GROUP))
+    group = F.pmod(F.conv(F.substring(F.md5(F.coalesce("source_path", "file_name").cast("binary")), 1, 12), 16, 10).cast("long"), F.lit(spread))
     n = F.row_number().over(Window.partitionBy("_g").orderBy(*order)) - 1
     rows = chunks.withColumn("_g", group).withColumn("_n", n)
     batch = F.concat_ws("-", F.col("_g").cast("string"), F.floor(F.col("_n") / size).cast("string"))

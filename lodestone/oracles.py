@@ -88,6 +88,21 @@ cut as (
 """
 
 
+def plaintext(most: int, least: int) -> str:
+    """Relation grp of the plain-text chunks of f, by way of relations of paragraphs."""
+    return rf"""
+b as (select *, i - row_number() over (partition by path order by i) as g from l where regexp_matches(x, '\S')),
+pa as (select path, any_value(name) as name, min(i) as start_line, max(i) as end_line, {STRIP.format('string_agg(x, chr(10) order by i)')} as text, any_value(name) as title from b group by path, g),
+pk as (select *, row_number() over (partition by path order by start_line) as k from pa),
+fill as (
+  select path, k, 1 as g, start_line as lo from pk where k = 1
+  union all
+  select p.path, p.k, case when p.end_line - f.lo + 1 > {most} then f.g + 1 else f.g end, case when p.end_line - f.lo + 1 > {most} then p.start_line else f.lo end from fill f join pk p on p.path = f.path and p.k = f.k + 1),
+sec as (select path, any_value(name) as name, g as k, min(start_line) as start_line, max(end_line) as end_line, string_agg(text, chr(10) || chr(10) order by k) as text, any_value(title) as title from fill join pk using (path, k) group by path, g),
+{merged(least, False)}
+"""
+
+
 POINTS = """
 p as (select vec_id, embedding, label, vec_id % 10 / 10.0 as math_density, source, n_chars from embeddings left join documents on vec_id = doc_id),
 q as (select embedding::double[] as v from embeddings where vec_id = 0)
@@ -111,7 +126,7 @@ hit as (
 """
 
 EVAL = rf"""
-f as (select source || '/' || doc_id || '.txt' as path, doc_id || '.txt' as name, doc_id, text as content from documents where doc_id < 400),
+f as (select source || '/' || doc_id || '.txt' as path, doc_id || '.txt' as name, doc_id, text as content from documents),
 {LINES},
 ids as (select path, doc_id from f),
 gold as (select 'q' || doc_id % 20 as query_id, 2 as grade, doc_id as span_id, path as file, doc_id % 4 + 1 as s_lo, doc_id % 4 + 1 + doc_id % 3 as s_hi from ids),
@@ -152,11 +167,12 @@ ENRICH = rf"""
 {FILES},
 {LINES},
 {windows(4)},
-el as (select *, row_number() over (order by path, start_line) - 1 as z from win where end_line - start_line + 1 >= 3)
+gr as (select *, ('0x' || substr(md5(path), 1, 12))::ubigint % 64 as g from win where end_line - start_line + 1 >= 3),
+el as (select *, row_number() over (partition by g order by path, start_line) - 1 as z from gr)
 """
 
 ANSWERS = r"""
-a0 as (select conv_id, turn, regexp_replace(left(text, 30), '[^A-Za-z ]', 'x', 'g') as t, (conv_id + turn) % 7 as c from conversations where text is not null)
+a0 as (select conv_id, turn, regexp_replace(text, '[^A-Za-z ]', 'x', 'g') as t, (conv_id + turn) % 7 as c from conversations where text is not null)
 """
 
 
@@ -200,7 +216,7 @@ ORACLES = {
     "vector_topk_label": topk("label = 3"),
     "vector_topk_density": topk("label = 4 and math_density >= 0.5"),
     "multi_query_topk": """
-with s as (select q.vec_id as query_id, e.vec_id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) as score from embeddings e, embeddings q where q.vec_id < 20),
+with s as (select q.vec_id as query_id, e.vec_id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) as score from embeddings e, embeddings q where q.vec_id % 20 = 0),
 r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 5""",
     "line_windows": f"with {FILES}, {LINES}, {windows(40)} select path as source_path, name || ':' || start_line as section_title, cast(start_line as int) as start_line, cast(end_line as int) as end_line, md5(text) as text_md5 from win",
@@ -234,16 +250,7 @@ select term as concept, k.name as file_name, k.path as file_path, cast(greatest(
 from k join n on n.path = k.path where not exists (select 1 from l where l.path = k.path and {HEADER} and lower({STRIP.format(TITLE)}) = lower(term))""",
     "paragraphs": rf"""with {MD}, {LINES}, b as (select *, i - row_number() over (partition by path order by i) as g from l where regexp_matches(x, '\S'))
 select path as source_path, cast(min(i) as int) as start_line, cast(max(i) as int) as end_line, md5({STRIP.format('string_agg(x, chr(10) order by i)')}) as text_md5 from b group by path, g""",
-    "plaintext_chunks": rf"""with recursive {MD}, {LINES}, b as (select *, i - row_number() over (partition by path order by i) as g from l where regexp_matches(x, '\S')),
-pa as (select path, any_value(name) as name, min(i) as start_line, max(i) as end_line, {STRIP.format('string_agg(x, chr(10) order by i)')} as text, any_value(name) as title from b group by path, g),
-pk as (select *, row_number() over (partition by path order by start_line) as k from pa),
-fill as (
-  select path, k, 1 as g, start_line as lo from pk where k = 1
-  union all
-  select p.path, p.k, case when p.end_line - f.lo + 1 > 12 then f.g + 1 else f.g end, case when p.end_line - f.lo + 1 > 12 then p.start_line else f.lo end from fill f join pk p on p.path = f.path and p.k = f.k + 1),
-sec as (select path, any_value(name) as name, g as k, min(start_line) as start_line, max(end_line) as end_line, string_agg(text, chr(10) || chr(10) order by k) as text, any_value(title) as title from fill join pk using (path, k) group by path, g),
-{merged(6, False)}
-select path as source_path, cast(start_line as int) as start_line, cast(end_line as int) as end_line, md5(text) as text_md5 from grp""",
+    "plaintext_chunks": f"with recursive {MD}, {LINES}, {plaintext(12, 6)} select path as source_path, cast(start_line as int) as start_line, cast(end_line as int) as end_line, md5(text) as text_md5 from grp",
     "concept_lookup": f"with {PART} select concept, entry_type, start_line, exact, priority from hit",
     "lookup_top": f"with {PART}, r as (select *, cast(row_number() over (order by exact desc, priority, file_path, start_line, concept) as int) as rank from hit) select rank, concept, entry_type, start_line from r where rank <= 10",
     "parent_context": """
@@ -281,13 +288,17 @@ select ext, count(*) as files, cast(sum(n) as bigint) as lines from c group by 1
 with x as (select doc_id, (['.md', '.py', '.js', '.rs', '.lean', '.frag', '.txt', '.rst', '.hpp', ''])[doc_id % 10 + 1] as ext from documents),
 m as (select * from (values ('.md', 'markdown', null), ('.py', 'python', 'python'), ('.js', 'code', 'javascript'), ('.rs', 'code', 'rust'), ('.lean', 'lean', 'lean'), ('.frag', 'code', 'glsl'), ('.hpp', 'code', 'cpp')) as t(ext, strategy, language))
 select x.ext, coalesce(strategy, 'plaintext') as strategy, language, count(*) as files from x left join m on m.ext = x.ext group by all""",
-    "enrich_batches": f"with {ENRICH} select path as source_path, cast(start_line as int) as start_line, '0-' || z // 10 as batch, cast(z % 10 + 1 as int) as id from el",
+    "enrich_batches": f"with {ENRICH} select path as source_path, cast(start_line as int) as start_line, g || '-' || z // 10 as batch, cast(z % 10 + 1 as int) as id from el",
     "enrich_prompts": f"""with {ENRICH},
-p as (select z // 10 as b, z % 10 + 1 as id, '--- CHUNK ' || (z % 10 + 1) || ' ---' || chr(10) || 'Type: plaintext' || chr(10) || 'File: ' || name || case when start_line = 1 then ' (en)' else '' end || chr(10) || 'Lines: ' || start_line || '-' || end_line || chr(10) || chr(10) || left(text, 2000) as t from el)
-select '0-' || b as batch, cast(count(*) as int) as n, md5('Passages: ' || count(*) || chr(10) || chr(10) || string_agg(t, chr(10) || chr(10) order by id)) as prompt_md5 from p group by b""",
+p as (select g || '-' || z // 10 as b, z % 10 + 1 as id, '--- CHUNK ' || (z % 10 + 1) || ' ---' || chr(10) || 'Type: plaintext' || chr(10) || 'File: ' || name || case when start_line = 1 then ' (en)' else '' end || chr(10) || 'Lines: ' || start_line || '-' || end_line || chr(10) || chr(10) || left(text, 2000) as t from el)
+select b as batch, cast(count(*) as int) as n, md5('Passages: ' || count(*) || chr(10) || chr(10) || string_agg(t, chr(10) || chr(10) order by id)) as prompt_md5 from p group by b""",
     "enrich_parse": rf"""with {ANSWERS}
 select conv_id, turn, c in (0, 1) as ok, case when c in (0, 1) then '1:' || {STRIP.format("(' ' || t || ' 1 ')")} || ';2:' || {STRIP.format("(' ' || t || ' 2 ')")} end as items,
        case when c in (0, 1) then '' when c = 2 then 'Expected 2 chunks but got' [:24] when c = 3 then 'Chunk ids did not match 1..2' [:24] else 'Could not parse JSON fro' end as error from a0""",
+    "chunk_type_counts": f"""with recursive {MD}, {LINES}, {SECTIONS}, {merged(20, True)}, {split('grp', 100)},
+dk as (select path || ':' || start_line || ':' || end_line as key, text from cut), {density('dk')}
+select 'markdown' as chunk_type, count(*) as chunks, round(sum(density), 6) as density_sum from dens
+union all select 'plaintext', (with recursive {FILES}, {LINES}, {plaintext(100, 20)} select count(*) from grp), 0e0""",
     "hash_embedding": """
 with recursive s as (select item_id, 0 as pos, cast(('0x' || substr(md5(text), 25, 8))::ubigint & 2147483647 as bigint) as st, cast(null as double) as v from benchmark where text is not null
   union all select item_id, pos + 1, (st * 1103515245 + 12345) & 2147483647, ((st * 1103515245 + 12345) & 2147483647) / 2147483647.0::double - 0.5 from s where pos < 16),

@@ -13,16 +13,16 @@ from lodestone.operators.embedding import EmbeddingProvider, HashProvider, embed
 from lodestone.operators.enrichment import Model, embedding_text, enrich
 from lodestone.operators.search import search_ids
 from lodestone.sources.collection import Collection, latest
-from lodestone.sources.files import read_files
+from lodestone.sources.files import read_files, shared_folder
 from lodestone.sources.golden import save_index
 
 
 def keeper(spark: SparkSession):
     """Writes a frame to the shared folder and reads it back, so that what is behind it runs once and lost executors do no harm."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    base = shared_folder(spark)
 
     def keep(df: DataFrame, name: str) -> DataFrame:
-        path = f"{base.rstrip('/')}/ingest/{name}-{uuid.uuid4().hex}"
+        path = f"{base}/ingest/{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
@@ -38,7 +38,7 @@ def ingest_files(files: DataFrame, config: ProjectConfig, store: Collection, pro
     """
     spark = files.sparkSession
     keep = keeper(spark)
-    done = chunk_files(files, config, strategies)
+    done = chunk_files(files, config, strategies, keep)
     chunks = keep(latest(search_ids(done.chunks)), "chunks")
     if model is not None:
         chunks = keep(enrich(chunks, model, keep), "enriched")

@@ -7,6 +7,8 @@ and blank lines by a fixed rule of line numbers.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,7 +80,7 @@ def vector_topk_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multi_query_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return search.top_k_batch(table(spark, sf_dir, "embeddings"), asked, 5, "vec_id").select("query_id", "rank", "vec_id", "score")
 
 
@@ -240,7 +242,10 @@ def deleted_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _versions(spark, sf_dir)[1].where("source_path is not null").select("source_path").distinct()
+    """Sources of a stored collection."""
+    store = collection.Collection(spark, f"{files.shared_folder(spark)}/queries/paths-{uuid.uuid4().hex[:12]}", "c")
+    store.write(_versions(spark, sf_dir)[1])
+    return store.source_paths()
 
 
 def _evaluated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -248,7 +253,7 @@ def _evaluated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
 
     Configurations differ in window; an item's ranks follow from its place.
     """
-    rows = doc_files(spark, sf_dir).withColumn("_id", F.regexp_extract("file_name", r"^(\d+)", 1).cast("long")).where("_id < 400")
+    rows = doc_files(spark, sf_dir).withColumn("_id", F.regexp_extract("file_name", r"^(\d+)", 1).cast("long"))
     spans = rows.select(
         F.concat(F.lit("q"), (F.col("_id") % 20).cast("string")).alias("query_id"), F.lit(S.DECISIVE).alias("grade"), F.col("_id").alias("span_id"), F.col("source_path").alias("file"),
         (F.col("_id") % 4 + 1).cast("int").alias("start_line"), (F.col("_id") % 4 + 1 + F.col("_id") % 3).cast("int").alias("end_line"))
@@ -308,18 +313,18 @@ def ext_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def enrich_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = enrichment.eligible(windows.window_chunks(doc_files(spark, sf_dir), 4))
-    return enrichment.batched(chunks, ["source_path", "start_line"], 10, spread=1).select("source_path", "start_line", "batch", "id")
+    return enrichment.batched(chunks, ["source_path", "start_line"], 10).select("source_path", "start_line", "batch", "id")
 
 
 def enrich_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = windows.window_chunks(doc_files(spark, sf_dir), 4).withColumn("language", F.when(F.col("start_line") == 1, F.lit("en")))
-    dealt = enrichment.batched(enrichment.eligible(chunks), ["source_path", "start_line"], 10, spread=1)
+    dealt = enrichment.batched(enrichment.eligible(chunks), ["source_path", "start_line"], 10)
     return enrichment.prompts(dealt).select("batch", "n", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Made-up answers of a model, good and bad, of a conversation's turns."""
-    rows = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.regexp_replace(F.substring("text", 1, 30), r"[^A-Za-z ]", "x").alias("t"))
+    rows = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.regexp_replace("text", r"[^A-Za-z ]", "x").alias("t"))
     item = lambda i: F.concat(F.lit(f'{{"id":{i},"summary":" '), F.col("t"), F.lit(f' {i} ","hypothetical_questions":["q{i}"]}}'))
     case = (F.col("conv_id") + F.col("turn")) % 7
     both = F.concat(F.lit('{"chunks":['), item(2), F.lit(","), item(1), F.lit("]}"))

@@ -25,7 +25,8 @@ def replace_sources(files: DataFrame, config: ProjectConfig, store: Collection,
     keep = keeper(files.sparkSession)
     points = keep(embedded(latest(search_ids(chunk_files(files, config).chunks)), embedding_text(), provider), "batch")
     paths = files.select("source_path").distinct()
-    store.write(store.read().join(paths, "source_path", "left_anti").unionByName(points, allowMissingColumns=True))
+    store.ensure()
+    store.replace_sources(paths, points)
 
 
 def start(spark: SparkSession, folder: str, config: ProjectConfig, store: Collection, checkpoint: str, provider: EmbeddingProvider | None = None, once: bool = False) -> StreamingQuery:
