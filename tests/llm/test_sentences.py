@@ -1,6 +1,6 @@
 import string
 
-from lodestone.llm import sentences
+from lodestone.llm import sentences, textnp
 from lodestone.llm.exchange import NO_ID
 from tests.llm.helpers import clashing, corpus, frame, lower, vocabulary
 
@@ -42,22 +42,41 @@ def runs_of(text):
             j += 1
         full = j - i >= sentences.RUN and len(held) >= sentences.LEAST_WORDS
         if full or i == 0:
-            out.append((words[held[0]][0], words[held[-1]][1], tuple(map(bare, held))))
-    return out
+            out.append((held[0], held[-1] + 1, full))
+    # windows: from sentences, to their ends, and from anchors, where they hold no full run
+    runs = [(a, b) for a, b, full in out if full]
+    begins = {x[0] for x in found} | {x[-1] + 1 - sentences.PASSAGE for x in found} | anchors_of(text)
+    begins = [p for p in sorted(begins) if p >= 0 and p + sentences.PASSAGE <= len(words)]
+    windows = [(p, p + sentences.PASSAGE) for p in begins if not any(p <= a and b <= p + sentences.PASSAGE for a, b in runs)]
+    named = [(a, b, False) for a, b, _ in out] + [(a, b, True) for a, b in windows]
+    return [(words[a][0], words[b - 1][1], (window, *map(bare, range(a, b)))) for a, b, window in named]
+
+
+def anchors_of(text):
+    """Places of words whose pair hash is the smallest of GAP neighbouring ones; of equal ones the last."""
+    buf, _ = textnp.joined([text.encode()])
+    h = textnp.words(buf, bare=True)[1]
+    pair = [int(textnp.combine(h[i : i + 1], h[i + 1 : i + 2] if i + 1 < len(h) else h[:1] * textnp.U(0))[0]) for i in range(len(h))]
+    spans = (pair[i : i + sentences.GAP] for i in range(len(pair) - sentences.GAP + 1))
+    return {i + max(j for j, x in enumerate(some) if x == min(some)) for i, some in enumerate(spans)}
 
 
 def brute(rows):
     docs = sorted({(i is not None, i or 0, t or "") for i, t in rows}, key=lambda d: (d[0], d[1]))
-    seen, out = set(), {}
-    for known, i, text in docs:
+    first, out = {}, {}
+    for n, (known, i, text) in enumerate(docs):
         gone = []
-        for start, stop, key in runs_of(text):
-            if key in seen:
-                if gone and start < gone[-1][1]:
-                    gone[-1] = (gone[-1][0], max(gone[-1][1], stop))
-                else:
-                    gone.append((start, stop))
-            seen.add(key)
+        for start, stop, key in sorted(runs_of(text)):
+            if key not in first:
+                first[key] = (n, start, stop)
+                continue
+            m, a, b = first[key]
+            if m == n and (start < b if key[0] else start == a):
+                continue  # a window overlaps its first place
+            if gone and start < gone[-1][1]:
+                gone[-1] = (gone[-1][0], max(gone[-1][1], stop))
+            else:
+                gone.append((start, stop))
         if gone:
             out[i if known else NO_ID, text] = gone
     return out
@@ -142,3 +161,23 @@ def test_windows_that_overlap_their_first_place_stay(spark):
     text = "ha " * 60
     assert spans(spark, [(1, text)]) == {k[0]: v for k, v in brute([(1, text)]).items()}
     assert spans(spark, [(1, text), (2, "Other words. " + text)])[2]
+
+
+def test_levels_of_the_exchange_change_nothing(spark, monkeypatch):
+    """Blocks dealt over few partitions, folded and dealt again, give the same spans."""
+    from lodestone.llm import exchange
+
+    rows = [r for r in corpus(n=80) if r[0] is not None]
+    want = spans(spark, rows)
+    monkeypatch.setattr(exchange, "FAN", 4)
+    monkeypatch.setattr(exchange, "BLOCK", 3000)
+    assert len(exchange.deal_for(frame(spark, rows)).parts) > 1
+    assert spans(spark, rows) == want
+
+
+def test_thue_morse_words_are_told_apart(spark):
+    bits = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    other = bits.translate(str.maketrans("ab", "ba"))
+    rest = ". ".join(" ".join(f"w{i}{j}" for j in range(6)) for i in range(3)) + "."
+    rows = [(1, f"{bits} {rest}"), (2, f"{other} {rest}")]
+    assert all(start >= 4096 for v in spans(spark, rows).values() for start, _ in v)

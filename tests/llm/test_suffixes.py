@@ -90,3 +90,27 @@ def test_query(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.op5_query(spark, sf_dir).collect()}
     assert got == {k[0]: v for k, v in brute(rows).items()}
+
+
+def test_levels_of_the_exchange_change_nothing(spark, monkeypatch):
+    from lodestone.llm import exchange
+
+    monkeypatch.setattr(exchange, "FAN", 4)
+    monkeypatch.setattr(exchange, "BLOCK", 3000)
+    rows = [r for r in corpus() if r[0] is not None]
+    assert len(exchange.deal_for(frame(spark, rows)).parts) > 1
+    compare(spark, rows)
+
+
+def test_without_the_sort_repeats_are_lost(monkeypatch):
+    """What is removed follows from neighbours in sorted order."""
+    monkeypatch.setattr(suffixes.Suffixes, "merge_sort", lambda self, at, size, group: np.arange(len(at)))
+    gram = "".join(np.random.default_rng(9).choice(list("abcdefgh "), 400))
+    texts = [gram[:200] + x + gram[200:] for x in ("", "x" * 7, "", "x" * 7, "", "x" * 7)]
+    names = np.arange(6)
+    text = suffixes.Suffixes(*(lambda b: (b, textnp.prefix(textnp.BYTES[b])))(np.frombuffer("".join(t[150:320] for t in texts).encode(), np.uint8)))
+    again, _ = suffixes.repeats(text, names * 170, np.full(6, 170), np.zeros(6, textnp.U), (names, names, names))
+    assert not again.any()
+    monkeypatch.undo()
+    again, _ = suffixes.repeats(text, names * 170, np.full(6, 170), np.zeros(6, textnp.U), (names, names, names))
+    assert again.tolist() == [False, False, True, True, True, True]
