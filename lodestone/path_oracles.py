@@ -45,14 +45,15 @@ def preamble(language: str) -> str:
 
 UPSERT = rf"""{O.VERSIONS},
 o as (select path, md5(path || ':plaintext:' || start_line || '-' || end_line) as m5, md5(text) as t from win join num using (path) where m < 10),
-w as (select path, md5(path || ':plaintext:' || start_line || '-' || end_line) as m5, md5({O.STRIP.format('text')}) as t from w3 join num using (path) where m >= 5 and regexp_matches(text, '\S'))"""
+nw as (select path, md5(path || ':plaintext:' || start_line || '-' || end_line) as m5, md5({O.STRIP.format('text')}) as t from w3 join num using (path) where m >= 5 and regexp_matches(text, '\S'))"""
 INGEST = f"{O.MD}, {O.LINES}, {O.SECTIONS}, {O.merged(12, True)}, {O.split('grp', 16)}"
 
 ORACLES = {
     "file_scan": """
 with s as (select doc_id, source, text, right(source, 1) as g from documents where source is not null),
 r as (select source, case when g in ('0', '2', '4', '6', '8') then 'md' else 'txt' end as kind, doc_id % 3 = 0 and g in ('2', '3', '6') as bad, doc_id, coalesce(text, '') as text from s),
-f as (select source, kind, bool_or(bad) and kind = 'md' as hurt, string_agg(case when bad then chr(65533) else '' end || text || chr(10), '' order by doc_id) as content from r group by all)
+f0 as (select source, kind, bool_or(bad) as b, string_agg(case when bad then chr(65533) else '' end || text || chr(10), '' order by doc_id) as content from r group by source, kind),
+f as (select *, b and kind = 'md' as hurt from f0)
 select 'kind=' || kind || '/source=' || source || '/notes.' || kind as source_path, '.' || kind as ext, case when not hurt then md5(content) end as content_md5, case when hurt then 'not valid UTF-8' end as error from f""",
     "code_chunks": f"""with {CODE}
 {preamble('language')}
@@ -77,7 +78,7 @@ select {O._UUID.format('m5')} as point_id, path as source_path, cast(start_line
 select 'markdown_chunks' as name, n from md union all select 'total_chunks', md.n + pt.n from md, pt union all select unnest(['code_chunks', 'errors', 'pruned_points']), 0
 union all select 'index_entries', (select count(*) from ({O.ORACLES['section_index']})) + (select count(*) from ({O.ORACLES['formal_objects']}))""",
     "collection_upsert": f"""with {UPSERT}
-select {O._UUID.format('m5')} as point_id, path as source_path, 'new' as summary, t as text_md5 from w union all select {O._UUID.format('m5')}, path, 'old', t from o where m5 not in (select m5 from w)""",
+select {O._UUID.format('m5')} as point_id, path as source_path, 'new' as summary, t as text_md5 from nw union all select {O._UUID.format('m5')}, path, 'old', t from o where m5 not in (select m5 from nw)""",
     "collection_sync": O.ORACLES["deleted_counts"],
     "collection_delete": f"""with {UPSERT}, g as (select distinct path from o order by 1 limit 2)
 select {O._UUID.format('m5')} as point_id, path as source_path, 'old' as summary, t as text_md5, (select cast(count(*) as int) from o where path in (select path from g)) as gone from o where path not in (select path from g)""",

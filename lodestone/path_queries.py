@@ -239,7 +239,7 @@ def moody_model(messages: list[dict]) -> str:
 def enrich_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Enrichment by a model that fails: asked again with the error, and chunk by chunk where a batch is lost."""
     chunks = search.search_ids(windows.window_chunks(Q.doc_files(spark, sf_dir), 4))
-    chunks = chunks.withColumns({"summary": F.lit(None).cast("string"), "hypothetical_questions": F.lit(None).cast("array<string>")})
+    chunks = chunks.withColumns({"language": F.lit(None).cast("string"), "summary": F.lit(None).cast("string"), "hypothetical_questions": F.lit(None).cast("array<string>")})
     out = enrichment.enrich(chunks, moody_model, ingest.keeper(spark))
     return out.select("source_path", "start_line", "summary", F.array_join("hypothetical_questions", "|").alias("questions"))
 
