@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, beside_text, boxed, fields_of, n_words
+from lodestone.llm.common import WORD, beside_text, boxed, fields_of, n_words, stage
 
 #: Slices of the hash-key space in each source (three hex digits); a hot source is spread over all of them.
 SLICE_DIGITS = 3
@@ -22,7 +22,7 @@ SLICE_DIGITS = 3
 def source_targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most_epochs: int = 2) -> DataFrame:
     """Targets of each source: columns source, source_size, target.
 
-    ``sizes`` has columns source and size (a row for each document). Sources in
+    ``sizes`` has columns source and size (of documents, or of any parts of sources). Sources in
     code-point order, null last, get the weights in turn and share ``share``
     times all sizes; a target stops at ``most_epochs`` times its source's size
     and the excess is reshared by weight until none is above. That fixed point
@@ -61,8 +61,8 @@ def mix(docs: DataFrame, size: Column, id_column: str = "doc_id", seed: str = "m
     fields = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "taken")]
     own = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_column).cast("string"), F.lit("null"))).cast("binary"))
     keyed = boxed(docs, fields, source=F.col("source"), size=size, _id=F.col(id_column), _key=own, _slice=F.substring(own, 1, SLICE_DIGITS), _tie=F.xxhash64(*[F.col(f"`{c}`") for c in fields]))
-    slices = keyed.groupBy("source", part).agg(F.sum("size").alias("_slice_size"))
-    wanted = source_targets(keyed.select("source", "size"), **targets)
+    slices = stage(keyed.groupBy("source", part).agg(F.sum("size").alias("_slice_size")), "mix-slices")  # sizes are counted once for both
+    wanted = source_targets(slices.select("source", F.col("_slice_size").alias("size")), **targets)
     by_slice = Window.partitionBy("source").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     base = slices.withColumn(before, F.coalesce(F.sum("_slice_size").over(by_slice), F.lit(0)))
     w = wanted.select(F.col("source").alias(s), "source_size", "target")
@@ -99,7 +99,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 def op7_query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    return mix(sized, F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(stage(sized, "mix-sizes"), F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP7_SQL = r"""

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import boxed, drop_staged, fields_of, range_index, stage
+from lodestone.llm.common import boxed, fields_of, range_index, stage
 
 #: Rows that a fine range should hold, and bounds on the number of ranges.
 ROWS_PER_RANGE, LEAST_RANGES, MOST_RANGES = 200_000, 96, 4096
@@ -96,9 +96,10 @@ def shard_by_bytes(df: DataFrame, key: str, size: Column, n_shards: int = 24) ->
     byte_base = longs([base.get(i, (0, 0))[0] for i in range(len(cuts) + 1)])
     row_base = longs([base.get(i, (0, 0))[1] for i in range(len(cuts) + 1)])
 
+    # Only keys and sizes are sorted; the rows themselves are joined to their places.
     inside = Window.partitionBy("_r").orderBy(*order)
     placed = (
-        rows.withColumn("_r", range_index(at, types, cuts))
+        rows.select(*order, z).withColumn("_r", range_index(at, types, cuts))
         .withColumns({
             "_b": F.sum(z).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
             "_n": F.row_number().over(inside),
@@ -107,11 +108,11 @@ def shard_by_bytes(df: DataFrame, key: str, size: Column, n_shards: int = 24) ->
         .withColumn("_n", F.element_at(row_base, F.col("_r") + 1) + F.col("_n"))
         .withColumn("shard", F.least(F.lit(n_shards - 1), F.floor((F.col("_b") - F.col(z) / 2.0) * n_shards / F.lit(float(total)))).cast("int"))
     )
-    placed = stage(placed.select("_row", "size", "shard", "_n"), "shard-placed")
-    drop_staged(rows)
+    placed = stage(placed.select(F.col("_hash").alias("_h"), F.col("_salt").alias("_s"), "shard", "_n"), "shard-placed")
     starts = {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.min("_n").alias("n")).collect()}
     start = longs([starts.get(i, 0) for i in range(n_shards)])
-    return placed.select(*fields_of(fields), "size", "shard", (F.col("_n") - F.element_at(start, F.col("shard") + 1)).alias("slot"))
+    both = rows.join(placed, (F.col("_hash") == F.col("_h")) & (F.col("_salt") == F.col("_s")))
+    return both.select(*fields_of(fields), "size", "shard", (F.col("_n") - F.element_at(start, F.col("shard") + 1)).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 24) -> DataFrame:

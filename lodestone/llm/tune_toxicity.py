@@ -16,7 +16,7 @@ import pyarrow.dataset as ds
 
 from lodestone.llm import toxicity
 
-GRID = {"alpha": (0.3, 1.0, 3.0), "l1": (0.3, 1.0, 3.0), "l2": (0.3, 1.0), "epochs": (2, 4)}
+GRID = {"alpha": (0.3, 1.0, 3.0, 10.0), "l1": (1.0, 3.0, 6.0, 12.0), "l2": (0.3, 1.0), "epochs": (1, 2, 3)}
 
 
 def rows(tables: str) -> tuple[list[tuple], list[tuple]]:

@@ -40,18 +40,22 @@ def brute(docs, items):
         td = tokens(text)
         for item, itext in items:
             ti = tokens(itext)
-            if not ti:
+            if len(ti) < decontam.LEAST_ITEM:
                 continue
             size = min(len(ti), decontam.WINDOW)
-            win = {p: [x[0] for x in ti[p : p + size]] for p in range(len(ti) - size + 1)}
-            win = {p: w for p, w in win.items() if sum(x not in ("<n>", "<p>", "<u>") for x in w) >= min(decontam.LEAST_WORDS, size)}
+            places = [p for p in range(len(ti) - size + 1) if sum(x[0] not in ("<n>", "<p>", "<u>") for x in ti[p : p + size]) >= decontam.LEAST_WORDS]
+            form = 0 if places and len(ti) >= decontam.WINDOW else 1  # typed, or as it stands
+            places = places if form == 0 else range(len(ti) - size + 1)
+            win = {p: [x[form] for x in ti[p : p + size]] for p in places}
             best = None
             for shift in range(-len(ti), len(td)):
-                hit = [p for p, w in win.items() if p + shift >= 0 and [x[0] for x in td[p + shift : p + shift + size]] == w]
+                hit = [p for p, w in win.items() if p + shift >= 0 and [x[form] for x in td[p + shift : p + shift + size]] == w]
                 if not hit or not (len(hit) + size - 1 >= decontam.LEAST_TOKENS or len(hit) >= decontam.LEAST_SHARE * len(win)):
                     continue
                 slots = [(ti[p][1], td[p + shift][1]) for p in range(min(hit), max(hit) + size) if ti[p][0] in ("<n>", "<p>", "<u>") and 0 <= p + shift < len(td) and td[p + shift][0] == ti[p][0]]
-                if len(set(slots)) == len({a for a, _ in slots}) == len({b for _, b in slots}):
+                pairs = len(set(slots))
+                broken = 2 * pairs - len({a for a, _ in slots}) - len({b for _, b in slots})
+                if broken <= decontam.SLACK * pairs or sum(a == b for a, b in slots) >= decontam.SAME * len(slots):
                     got = (len(hit), len(win), len(slots), sum(a != b for a, b in slots))
                     best = max(best or got, got)
             if best:
@@ -126,4 +130,23 @@ def test_query(spark, sf_dir):
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
     holders = {(d, i) for d, t in docs for i, x in items if len(tokens(x)) >= 13 and x in t}
     got = {(r["doc_id"], r["item_id"]) for r in decontam.op4_query(spark, sf_dir).collect()}
-    assert holders <= got and len(got) <= len(holders) + 40
+    assert holders <= got and got == set(brute(docs, items))
+
+
+def test_short_items(spark):
+    docs = [(1, "Yes, the answer is here."), (2, "He asked: What is 12 times 7? Nobody knew."), (3, "What is 13 times 8?"), (4, "One two three four."), (5, "one Two three"), (6, "Read 1 2 3 4 5 6 7 8 9 10 aloud"), (7, "Read 1 2 3 4 5 6 7 8 9 11 aloud")]
+    words = "alpha beta gamma delta epsilon zeta eta".split()
+    items = [(1, "Yes"), (2, "What is 12 times 7?"), (3, "one two three"), (4, "1 2 3 4 5 6 7 8 9 10")] + [(10 + n, " ".join(words[:n])) for n in range(1, 8)]
+    docs += [(20 + n, "so " + " ".join(words[:n]) + " and on") for n in range(1, 8)]
+    got = found(spark, docs, items)
+    assert got == brute(docs, items)
+    assert {(2, 2), (6, 4)} <= set(got) and not {d for d, i in got if i in (1, 3)} and {(d, i) for d, i in got if i > 10} == {(20 + d, 10 + i) for i in range(4, 8) for d in range(i, 8)}
+
+
+def test_a_clash_of_few_slots_is_no_escape(spark):
+    item = "A shop sells 2 apples and 2 pears for 14 coins while Anna buys 6 plums and 9 figs from Berta and then 3 nuts for 8 coins in Rome."
+    uneven = item.replace("2 apples", "3 apples").replace("2 pears", "5 pears")
+    typo = item.replace("14 coins", "9 coins")
+    docs, items = [(1, uneven), (2, typo), (3, f"Once. {typo} Then.")], [(1, item)]
+    got = found(spark, docs, items)
+    assert got == brute(docs, items) and {d for d, _ in got} == {1, 2, 3}

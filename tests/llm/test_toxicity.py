@@ -1,9 +1,11 @@
+import math
 import zlib
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
-from lodestone.llm import toxicity
+from lodestone.llm import textnp, toxicity
 from tests.llm.helpers import clashing, corpus, frame
 
 
@@ -86,6 +88,43 @@ def test_edge_cases(spark):
     assert kept.count() == docs.count() and kept.exceptAll(docs).isEmpty()
 
 
+def plain_scores(rows, labels):
+    """The query restated: dictionaries of hashed features, one example after the other."""
+    def grams(text):
+        w = textnp.words(np.frombuffer((text or "").encode() + b"\n", np.uint8), bare=True)[1]
+        out = [int(x) for x in w]
+        for gap in (1, 2):
+            out += [int(textnp.combine(w[i : i + 1], w[i + gap : i + gap + 1] + textnp.U(gap))[0]) for i in range(len(w) - gap)]
+        return {x >> (64 - toxicity.BITS) for x in out}
+
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    z, n = {}, {}
+
+    def weight(i):
+        a = z.get(i, 0.0)
+        lam = 0.0 if i == "bias" else toxicity.L1
+        return 0.0 if abs(a) <= lam else -(a - math.copysign(lam, a)) / ((toxicity.BETA + n.get(i, 0.0) ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    features = {i: [*grams(t), "bias"] for i, t in rows}
+    order = sorted((i for i in labels if not held(i) and i in features), key=lambda i: (xxhash.xxh64(i.to_bytes(8, "little"), 42).intdigest() + (1 << 63)) % (1 << 64))
+    for _ in range(toxicity.EPOCHS):
+        for i in order:
+            w = {f: weight(f) for f in features[i]}
+            g = 1 / (1 + math.exp(-max(-35, min(35, sum(w.values()))))) - labels[i]
+            for f, v in w.items():
+                sigma = ((n.get(f, 0.0) + g * g) ** 0.5 - n.get(f, 0.0) ** 0.5) / toxicity.ALPHA
+                z[f], n[f] = z.get(f, 0.0) + g - sigma * v, n.get(f, 0.0) + g * g
+    return {i: 1 / (1 + math.exp(-max(-35, min(35, sum(map(weight, fs)))))) for i, fs in features.items()}
+
+
+def test_query_against_plain_scores(spark, sf_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    want = plain_scores(rows, labels)
+    for r in toxicity.op8_query(spark, sf_dir).collect():
+        assert abs(r["score"] - want[r["doc_id"]]) < 1e-4 and r["predicted"] == (r["score"] >= 0.3)
+
+
 def test_query_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     out = toxicity.op8_query(spark, sf)
