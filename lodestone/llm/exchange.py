@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a worker takes as one block; a longer text is a block of its own.
 BLOCK = 8 << 20
+#: Rows of a block at most, however short their texts are.
+MOST_ROWS = 1 << 20
 #: Partitions over which a block, or what is taken up again of a partition, is dealt.
 FAN = 512
 #: Packed bytes that are taken up again at once.
@@ -86,15 +88,16 @@ class Sent:
     keys; these rows bear the partition of their keys. ``flat``: names and types of
     the columns of what is settled already; these rows bear part -1. ``sized_by``:
     number of the column that gives the sizes of the stretches of bytes in the
-    last column of the entries.
+    last column of the entries. ``key``: gives the keys where no column holds them.
     """
 
-    def __init__(self, entries: int, flat: dict[str, str], sized_by: int | None = None):
+    def __init__(self, entries: int, flat: dict[str, str], sized_by: int | None = None, key: Callable | None = None):
         self.n, self.flat, self.sized_by = entries, flat, sized_by
+        self.key = key or (lambda columns: columns[0])
         self.columns = [f"c{i}" for i in range(max(entries, len(flat)))]
         self.schema = ", ".join(["part int", *[f"{c} binary" for c in self.columns]])
         self.found = ", ".join(f"{k} {t}" for k, t in flat.items())
-        self.types = [{"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[t] for t in flat.values()]
+        self.types = [{"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}[t] for t in flat.values()]
 
     def _batch(self, parts, packed: list[list[bytes]]) -> pa.RecordBatch:
         m = len(parts)
@@ -109,7 +112,7 @@ class Sent:
 
     def split(self, columns: list[np.ndarray], parts: int) -> pa.RecordBatch:
         """A packed row for each part of the keys (high bits decide) that has any."""
-        part = ((columns[0] >> U(32)) * U(parts) >> U(32)).astype(np.int32)
+        part = ((self.key(columns) >> U(32)) * U(parts) >> U(32)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         used, first = np.unique(part[order], return_index=True)
         cut = np.append(first, len(order))
@@ -143,8 +146,7 @@ def exchanged(sent: DataFrame, layout: Sent, deal: Deal, fold: Callable, last: C
     the entries that stand for all of them; ``last`` (what is settled only) takes
     its place at the last level.
     """
-    for parts, after in zip(deal.parts[:-1], deal.parts[1:]):
-        sent = _again(sent, layout, deal, parts, after, fold)
+    sent = dealt(sent, layout, deal, fold)
     finish = last or (lambda columns: fold(columns)[0])
 
     def meet(table):
@@ -155,6 +157,13 @@ def exchanged(sent: DataFrame, layout: Sent, deal: Deal, fold: Callable, last: C
     return sent.withColumn("_deal", own).groupBy("part", "_deal").applyInArrow(meet, layout.found)
 
 
+def dealt(sent: DataFrame, layout: Sent, deal: Deal, fold: Callable) -> DataFrame:
+    """``sent``, split at the first level, split at the last one."""
+    for parts, after in zip(deal.parts[:-1], deal.parts[1:]):
+        sent = _again(sent, layout, deal, parts, after, fold)
+    return sent
+
+
 def _again(sent: DataFrame, layout: Sent, deal: Deal, parts: int, after: int, fold: Callable) -> DataFrame:
     salts = max(1, math.ceil(deal.blocks / FAN))
 
@@ -182,9 +191,9 @@ def _again(sent: DataFrame, layout: Sent, deal: Deal, parts: int, after: int, fo
         if held:
             yield from flush()
 
-    dealt = sent.withColumn("_salt", F.pmod(F.xxhash64("c0"), F.lit(salts)).cast("int"))
-    dealt = dealt.repartition(parts * min(salts, 64), "part", "_salt").sortWithinPartitions("part", "_salt")
-    return dealt.mapInArrow(run, layout.schema)
+    salted = sent.withColumn("_salt", F.pmod(F.xxhash64("c0"), F.lit(salts)).cast("int"))
+    salted = salted.repartition(parts * min(salts, 64), "part", "_salt").sortWithinPartitions("part", "_salt")
+    return salted.mapInArrow(run, layout.schema)
 
 
 def blocks(batches, most: int = BLOCK):
@@ -198,7 +207,7 @@ def blocks(batches, most: int = BLOCK):
         for r in zip(*(c.to_pylist() for c in cols)):
             rows.append(r)
             held += len(r[2] or b"")
-            if held >= most:
+            if held >= most or len(rows) >= MOST_ROWS:
                 yield sorted(rows, key=lambda r: r[:2])
                 rows, held = [], 0
     if rows:

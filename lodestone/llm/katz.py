@@ -1,176 +1,131 @@
-"""Operator 9: Katz backoff language model over words, trained and evaluated in packed partitions.
-
-P(w | h) is a Good-Turing discounted bigram where (h, w) was seen in training,
-else alpha(h) * P(w), with alpha normalising exactly; P(w) is a Good-Turing
-discounted unigram whose left-over mass is the probability of an unseen word.
-A history h is the class of the word before (the top HISTORY_BITS of its hash),
-or the start of the text. So histories are bounded and their backoff weights can
-be sent to every worker, while words and bigrams are unbounded and stay in
-partitions by word hash.
-
-One pass tokenises: each block of texts becomes a body (which pair of history
-and word each token is) and, for every partition, its distinct pairs with their
-training counts. Partitions add up counts, keep the count tables, answer each
-block with the totals of its pairs, and report count-of-counts and sums by
-history. Backoff weights follow from those, and blocks are scored with them. A
-pair that many documents share is sent once for each block.
+"""Operator 9: Katz backoff language model of trigrams, its tables partitioned by the middle word.
+
+P(w | u v) is a Good-Turing discounted trigram where (u, v, w) was seen in
+training, else alpha(u, v) * P(w | v); P(w | v) is a discounted bigram or else
+alpha(v) * P(w); P(w) is a discounted unigram whose left-over mass is the
+probability of an unseen word. Every alpha normalises exactly. Histories are
+whole words (64-bit hashes, which the word tables give dense numbers).
+
+1. A block of texts becomes a body (which of its words each token is) and its
+   distinct words, dealt over word partitions. These add up counts, number the
+   words and answer each block with the numbers and counts of its words.
+2. Blocks send each token as (w, count of w, u, v, document) to the partition of
+   v, the last word of its history. So trigrams (., v, .), bigrams (v, .) and all
+   weights of histories that end in v meet in one partition, where each token is
+   evaluated recursively without asking elsewhere.
+3. A word v that stands often is salted by u over several partitions. These lack
+   the counts of whole bigrams: those of salted words only are summed by (v, w)
+   and given back, with the alpha of v.
+4. Partitions give the sum of log10 P for each document they hold tokens of.
+
+Discounts need counts of counts, which partitions report before they evaluate.
+Those (a few numbers for each order) are all that is sent to every worker.
 """
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textnp
-from lodestone.llm.common import is_held_out, stage
-from lodestone.llm.exchange import NO_ID, blocks, deal_for, pack, unpack
+from lodestone.llm.common import drop_staged, is_held_out, stage
+from lodestone.llm.exchange import NO_ID, Sent, blocks, deal_for, dealt, pack, unpack
 
-HISTORY_BITS = 16
-START = 1 << HISTORY_BITS
-HISTORIES = START + 1
 #: Counts up to CUT are discounted.
 CUT = 5
-BLOCK = 8 << 20
-#: Histories in a row of sums.
-CHUNK = 4096
+#: A word is salted for every so many times that it stands in training.
+SALT = 1 << 20
+#: Number of the start of a text; words have numbers from 1.
+START = 0
+#: Bits of a row's number for its place in a block.
+PLACE = 20
 U = textnp.U
 END = textnp.mix(np.array([0x656E64], U))[0]
-BODY, ASK, ANSWER, HISTOGRAM, SUMS, TABLE = range(6)
-COLUMNS = "kind int, block string, part int, c0 binary, c1 binary, c2 binary, c3 binary, v array<long>"
+BODY, ASK, ANSWER, WORDS, HISTOGRAM, TOKENS, HOT, DOCS = range(8)
+COLUMNS = "kind int, block long, part int, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary, c5 binary, v array<long>"
+DOC_ROWS = {"_row": "long", "_doc": "long", "held_out": "long", "n_tokens": "long", "n_known": "long", "base_score": "double"}
 
 
-def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes with an end token after each text, history of each token, tokens of each text."""
+def route(columns: list[np.ndarray]) -> np.ndarray:
+    """Key of a token (w, its count, u, v, salt, row): its last history word, and for a salted one u; after a start w."""
+    w, _, u, v, salt, _ = columns
+    side = np.where(v == START, w, u)
+    return textnp.combine(v, np.where(salt > 0, textnp.mix(side) & ((U(1) << salt.astype(U)) - U(1)), U(0)))
+
+
+LAYOUT = Sent(6, DOC_ROWS, key=route)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of (kind, block, part, packed columns, v)."""
+    full = [(k, b, p, *c, *[None] * (6 - len(c)), v) for k, b, p, c, v in rows]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 6, pa.list_(pa.int64())]
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*full), kinds)], [x.split()[0] for x in COLUMNS.split(", ")])
+
+
+def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes with an end token after each text, and tokens of each text."""
     buf, bounds = textnp.joined(texts)
     at, h = textnp.words(buf)
     doc = np.searchsorted(bounds, at, "right") - 1
     sizes = np.bincount(doc, minlength=len(texts)) + 1
     word = np.full(int(sizes.sum()), END, U)
     word[np.arange(len(h)) + doc] = h
-    history = np.full(len(word), START, np.uint32)
-    history[1:] = (word[:-1] >> U(64 - HISTORY_BITS)).astype(np.uint32)
-    history[np.cumsum(sizes) - sizes] = START
-    return word, history, sizes
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.string(), pa.int32(), *[pa.binary()] * 4, pa.list_(pa.int64())]
-    names = [x.split()[0] for x in COLUMNS.split(", ")]
-    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+    return word, sizes
 
 
 def tokenised(docs: DataFrame, held_out, parts: int) -> DataFrame:
     """Rows BODY and ASK of all blocks."""
 
     def send(batches):
-        for rows in blocks(batches, BLOCK):
-            name = uuid.uuid4().hex
+        first = TaskContext.get().partitionId() << 24
+        for n, rows in enumerate(blocks(batches)):
             found = [tokens([r[2] for r in rows[lo:hi]]) for lo, hi in textnp.groups([len(r[2] or b"") for r in rows], 1 << 21)]
-            word, history, sizes = (np.concatenate(x) for x in zip(*found))
+            word, sizes = (np.concatenate(x) for x in zip(*found))
             train = ~np.array([r[3] for r in rows], bool)
-            order = np.lexsort((history, word))
-            w, h = word[order], history[order]
-            new = np.ones(len(w), bool)
-            new[1:] = (w[1:] != w[:-1]) | (h[1:] != h[:-1])
-            pair = np.cumsum(new) - 1
-            index = np.empty(len(w), np.uint32)
-            index[order] = pair
-            w, h = w[new], h[new]
-            counts = np.bincount(index[np.repeat(train, sizes)], minlength=len(w)).astype(np.uint32)
-            part = ((w >> U(32)) * U(parts) >> U(32)).astype(np.int64)  # sorted as the words are
-            cut = np.searchsorted(part, np.arange(parts + 1))
+            known, index = np.unique(word, return_inverse=True)
+            counts = np.bincount(index[np.repeat(train, sizes)], minlength=len(known))
             ids = np.array([r[0] for r in rows], np.int64)
-            yield _batch([(BODY, name, -1, pack(index), pack(sizes), pack(ids), pack(train.astype(np.uint8)), None)])
-            asks = []
-            for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
-                if b > a:
-                    asks.append((ASK, name, p, *map(pack, _runs(w[a:b])), pack(h[a:b]), pack(counts[a:b]), None))
-            yield _batch(asks)
+            yield _batch([(BODY, first + n, -1, [pack(index.astype(np.uint32)), pack(sizes), pack(ids), pack(train.astype(np.uint8))], None)])
+            part = ((known >> U(32)) * U(parts) >> U(32)).astype(np.int64)  # sorted as the words are
+            used, at = np.unique(part, return_index=True)
+            cut = np.append(at, len(known))
+            yield _batch([(ASK, first + n, int(p), [pack(known[a:b]), pack(counts[a:b])], None) for p, a, b in zip(used, cut[:-1], cut[1:])])
 
     rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long"), F.xxhash64("text"), F.col("text"), held_out)
     return rows.mapInArrow(send, COLUMNS)
 
 
-def _runs(sorted_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each word once, and how many places it takes."""
-    head = np.ones(len(sorted_words), bool)
-    head[1:] = sorted_words[1:] != sorted_words[:-1]
-    at = np.flatnonzero(head)
-    return sorted_words[at], np.diff(np.append(at, len(sorted_words))).astype(np.uint32)
-
+def _few(counts: np.ndarray) -> list[int]:
+    """How many counts are 1, 2, ..., CUT + 1."""
+    return np.bincount(counts[counts <= CUT + 1], minlength=CUT + 2)[1:].tolist()
 
-def _classes(counts: np.ndarray) -> np.ndarray:
-    """0 for unseen, 1 to CUT, CUT + 1 for more."""
-    return np.minimum(counts, CUT + 1).astype(np.int64)
 
-
-def count(asks: DataFrame) -> DataFrame:
-    """Rows ANSWER, HISTOGRAM, SUMS and TABLE of all partitions."""
+def count_words(asks: DataFrame, parts: int) -> DataFrame:
+    """Rows ANSWER, WORDS (hashes, counts and numbers: the unigram table) and HISTOGRAM of all word partitions."""
 
     def meet(table):
-        part = table.column("part")[0].as_py()
-        names = table.column("block").to_pylist()
-        u, runs, h, c = ([unpack(x.as_buffer()) for x in table.column(f"c{i}")] for i in range(4))
-        ends, word_ends = (np.cumsum([len(x) for x in some])[:-1] for some in (h, u))
-        u, runs, h, c = (np.concatenate(x) for x in (u, runs, h, c))
-        w = np.repeat(u, runs)
-        first_pair = np.cumsum(runs) - runs
-        order = np.lexsort((h, w))
-        ws, hs = w[order], h[order]
-        new_word = np.ones(len(ws), bool)
-        new_word[1:] = ws[1:] != ws[:-1]
-        new = new_word.copy()
-        new[1:] |= hs[1:] != hs[:-1]
-        pair, word = np.cumsum(new) - 1, np.cumsum(new_word) - 1
-        pair_total = np.bincount(pair, c[order]).astype(np.int64)
-        word_total = np.bincount(word, c[order]).astype(np.int64)
-        answers = np.empty((2, len(w)), np.int64)
-        answers[0, order], answers[1, order] = pair_total[pair], word_total[word]
-        of_words = answers[1][first_pair]
-        rows = [(ANSWER, name, part, pack(a), pack(b), None, None, None) for name, a, b in zip(names, np.split(answers[0], ends), np.split(of_words, word_ends))]
-        one = np.bincount(word_total[word_total <= CUT + 1], minlength=CUT + 2)[1:]
-        two = np.bincount(pair_total[pair_total <= CUT + 1], minlength=CUT + 2)[1:]
-        rows.append((HISTOGRAM, None, part, None, None, None, None, [int(word_total.sum()), int((word_total > 0).sum()), *map(int, one), *map(int, two)]))
-        seen = pair_total > 0
-        ph, pc, pw = hs[new][seen].astype(np.int64), pair_total[seen], word_total[word[new]][seen]
-        sums = np.zeros((HISTORIES, 2 * (CUT + 1)), np.int64)
-        for at, values in ((0, pc), (CUT + 1, pw)):
-            kind = _classes(values) - 1
-            np.add.at(sums, (ph, at + kind), np.where(kind == CUT, values, 1))
-        for lo in range(0, HISTORIES, CHUNK):
-            some = sums[lo : lo + CHUNK]
-            if some.any():
-                rows.append((SUMS, None, lo // CHUNK, pack(some.reshape(-1)), None, None, None, [part]))
-        first = np.flatnonzero(new)[seen]  # a word's count is the sum of those of its pairs
-        rows.append((TABLE, None, part, *map(pack, _runs(ws[first])), pack(hs[first]), pack(pc), None))
+        part, names = table.column("part")[0].as_py(), table.column("block").to_pylist()
+        words, counts = ([unpack(x.as_buffer()) for x in table.column(f"c{i}")] for i in (0, 1))
+        ends = np.cumsum([len(x) for x in words])[:-1]
+        known, index = np.unique(np.concatenate(words), return_inverse=True)
+        total = np.zeros(len(known), np.int64)
+        np.add.at(total, index, np.concatenate(counts))
+        number = np.empty(len(known), U)
+        number[np.argsort(-total, kind="stable")] = np.arange(len(known), dtype=U) * U(parts) + U(part + 1)
+        rows = [(ANSWER, b, part, [pack(number[i]), pack(total[i])], None) for b, i in zip(names, np.split(index, ends))]
+        rows.append((WORDS, None, part, [pack(known), pack(total), pack(number)], None))
+        rows.append((HISTOGRAM, None, part, [], [int(total.sum()), int((total > 0).sum()), *_few(total)]))
         return pa.Table.from_batches([_batch(rows)])
 
     return asks.groupBy("part").applyInArrow(meet, COLUMNS)
 
 
-def history_sums(found: DataFrame) -> np.ndarray:
-    """Sums by history of all partitions: a table of fixed size, added up in two steps."""
-
-    def add(table):
-        total = sum(unpack(x.as_buffer()) for x in table.column("c0"))
-        return pa.table([table.column("part").slice(0, 1), table.column("deal").slice(0, 1), pa.array([pack(total)], pa.binary())], ["part", "deal", "c0"])
-
-    rows = found.where(f"kind = {SUMS}").select("part", F.pmod(F.col("v")[0], F.lit(32)).cast("int").alias("deal"), "c0")
-    schema = "part int, deal int, c0 binary"
-    rows = rows.groupBy("part", "deal").applyInArrow(add, schema)
-    rows = rows.withColumn("deal", F.lit(0)).groupBy("part").applyInArrow(add, schema)
-    out = np.zeros((HISTORIES, 2 * (CUT + 1)), np.int64)
-    for part, _, data in rows.collect():
-        got = unpack(data).reshape(-1, 2 * (CUT + 1))
-        out[part * CHUNK : part * CHUNK + len(got)] = got
-    return out
-
-
 def discounts(n: np.ndarray) -> np.ndarray:
     """Katz's Good-Turing factors for counts 0 to CUT + 1 from n_1 to n_(CUT+1).
 
@@ -187,46 +142,172 @@ def discounts(n: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class Model:
-    """What every worker needs beside the counts of its pairs; its size is fixed."""
+class Unigrams:
+    """Discounted probabilities of words; a few numbers."""
 
     total: int
     words: int
-    one: np.ndarray
-    two: np.ndarray
+    factors: np.ndarray
     whole: float
     unseen: float
-    seen_total: np.ndarray
-    alpha: np.ndarray
-    plain: np.ndarray
 
     @classmethod
-    def of(cls, total: int, words: int, n_one: np.ndarray, n_two: np.ndarray, sums: np.ndarray) -> Model:
-        one, two = discounts(n_one), discounts(n_two)
-        r = np.arange(1, CUT + 1)
-        lost = float(((1 - one[1:-1]) * r * n_one[:CUT]).sum())
+    def of(cls, total: int, words: int, n: np.ndarray) -> Unigrams:
+        d = discounts(n)
+        lost = float(((1 - d[1:-1]) * np.arange(1, CUT + 1) * n[:CUT]).sum())
+        if lost > 0:
+            return cls(total, words, d, float(total), lost / total)
         # no count small enough to discount: one more count is set aside for unseen words
-        whole, unseen = (float(total), lost / total) if lost > 0 else (float(total + 1), 1 / (total + 1))
-        if not lost:
-            one = np.concatenate([[0.0], np.ones(CUT + 1)])
-        pairs, lower = sums[:, : CUT + 1].astype(float), sums[:, CUT + 1 :].astype(float)
-        c = (pairs[:, :CUT] * r).sum(1) + pairs[:, CUT]
-        gone = (pairs[:, :CUT] * r * (1 - two[1:-1])).sum(1)
-        plain = (c > 0) & (gone <= 0)
-        seen_total = np.where(plain, c + 1, np.maximum(c, 1))
-        beta = np.where(c == 0, 1.0, np.where(plain, 1.0, gone) / seen_total)
-        below = ((lower[:, :CUT] * r * one[1:-1]).sum(1) + lower[:, CUT]) / whole
-        return cls(total, words, one, two, whole, unseen, seen_total, beta / (1 - below), plain)
-
-    def log_prob(self, history: np.ndarray, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """log10 P(w | h) from the training counts of pairs and words."""
-        lower = np.where(word > 0, self.one[_classes(word)] * word / self.whole, self.unseen)
-        factor = np.where(self.plain[history], 1.0, self.two[_classes(pair)])
-        return np.log10(np.where(pair > 0, factor * pair / self.seen_total[history], self.alpha[history] * lower))
-
-    def log_base(self, word: np.ndarray) -> np.ndarray:
+        return cls(total, words, np.concatenate([[0.0], np.ones(CUT + 1)]), float(total + 1), 1 / (total + 1))
+
+    def p(self, counts: np.ndarray) -> np.ndarray:
+        return np.where(counts > 0, self.factors[np.minimum(counts, CUT + 1)] * counts / self.whole, self.unseen)
+
+    def log_base(self, counts: np.ndarray) -> np.ndarray:
         """log10 of the add-one unigram probability."""
-        return np.log10((word + 1.0) / (self.total + self.words + 1))
+        return np.log10((counts + 1.0) / (self.total + self.words + 1))
+
+
+def weights(group: np.ndarray, groups: int, counts: np.ndarray, lower: np.ndarray, factors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(total, set aside, lower sum) of histories as an array of three rows, from their n-grams.
+
+    ``group``: history of each n-gram; ``lower``: the lower order's probability of its word.
+    """
+    gone = (1 - factors[np.minimum(counts, CUT + 1)]) * counts
+    return np.stack([np.bincount(group, x, groups) for x in (counts, gone, np.where(counts > 0, lower, 0.0))])
+
+
+def alphas(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Denominator, whether nothing can be discounted, and backoff weight of histories."""
+    total, gone, lower = sums
+    plain = (total > 0) & (gone <= 1e-12)
+    bottom = np.where(plain, total + 1, np.maximum(total, 1))
+    beta = np.where(total == 0, 1.0, np.where(plain, 1.0, gone) / bottom)
+    return bottom, plain, beta / np.maximum(1 - lower, 1e-300)
+
+
+def probability(counts, lower, group, factors, bottom, plain, alpha) -> np.ndarray:
+    """Of n-grams: discounted if seen, else backed off."""
+    d = np.where(plain[group], 1.0, factors[np.minimum(counts, CUT + 1)])
+    return np.where(counts > 0, d * counts / bottom[group], alpha[group] * lower)
+
+
+def assembled(sent: DataFrame, words: DataFrame, unigrams, texts: int, parts: int) -> DataFrame:
+    """Tokens of all blocks, dealt by ``route``, and documents' own figures (packed, part -1)."""
+
+    def join(table):
+        kinds, part, base = table.column("kind").to_numpy(), table.column("part").to_numpy(), unigrams.value
+        col = lambda c, i: unpack(table.column(c)[int(i)].as_buffer())
+        body = int(np.flatnonzero(kinds == BODY)[0])
+        answers = sorted(np.flatnonzero(kinds == ANSWER), key=lambda i: part[i])
+        number, total = (np.concatenate([col(c, i) for i in answers]) for c in ("c0", "c1"))
+        index, sizes, ids, train = (col(f"c{i}", body) for i in range(4))
+        w, c = number[index], total[index]
+        starts = np.cumsum(sizes) - sizes
+        v, u = np.zeros_like(w), np.zeros_like(w)
+        v[1:], u[2:] = w[:-1], w[:-2]
+        cv = np.zeros_like(c)
+        cv[1:] = c[:-1]
+        v[starts], u[starts], cv[starts] = START, START, texts
+        second = starts[sizes > 1] + 1
+        u[second] = START
+        salt = np.ceil(np.log2(np.maximum(cv / SALT, 1))).astype(np.uint8)
+        number_of = (table.column("block")[0].as_py() << PLACE) + np.arange(len(ids))
+        row = np.repeat(number_of * 2 + train, sizes).astype(U)
+        known = np.add.reduceat((c > 0).astype(np.int64), starts)
+        score = np.add.reduceat(base.log_base(c), starts)
+        order = np.lexsort((u, v, w))
+        out = [x[order] for x in (w, c, u, v, salt, row)]
+        made = [LAYOUT.rows([number_of, ids, 1 - train.astype(np.int64), sizes, known, score]), LAYOUT.split(out, parts)]
+        return pa.Table.from_batches(made)
+
+    body = sent.where(f"kind = {BODY}").select("kind", "block", "part", "c0", "c1", "c2", "c3")
+    answers = words.where(f"kind = {ANSWER}").select("kind", "block", "part", "c0", "c1", "c2", "c3")
+    return body.unionByName(answers).groupBy("block").applyInArrow(join, LAYOUT.schema)
+
+
+def _ties(*columns: np.ndarray) -> np.ndarray:
+    """For sorted columns the number of each row's group."""
+    new = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.cumsum(new)
+
+
+def _firsts(group: np.ndarray) -> np.ndarray:
+    new = np.ones(len(group), bool)
+    new[1:] = group[1:] != group[:-1]
+    return np.flatnonzero(new)
+
+
+class Part:
+    """Tokens of a partition, sorted by (v, u, w), and the groups in them."""
+
+    def __init__(self, v, u, w, row, words, counts):
+        self.v, self.row = v, row
+        train = (row & U(1)).astype(np.int64)
+        self.tri = _ties(v, u, w)
+        at = _firsts(self.tri)
+        self.tri_count = np.bincount(self.tri, train, len(at)).astype(np.int64)
+        self.history = _ties(v[at], u[at])
+        tv, tw = v[at], w[at]
+        order = np.lexsort((tw, tv))
+        group = _ties(tv[order], tw[order])
+        self.pair_of = np.empty(len(at), np.int64)  # bigram of each trigram
+        self.pair_of[order] = group
+        first = order[_firsts(group)]
+        self.pair_v, self.pair_w = tv[first], tw[first]
+        self.pair_count = np.bincount(self.pair_of, self.tri_count, len(first)).astype(np.int64)
+        self.last = _ties(self.pair_v)  # v of each bigram
+        self.unigram = counts[np.searchsorted(words, self.pair_w)] if len(first) else np.zeros(0, np.int64)
+        self.starts = tv == START
+
+
+def gathered(sent: DataFrame) -> DataFrame:
+    """Rows TOKENS, HISTOGRAM and HOT of all partitions, and DOCS."""
+
+    def meet(table):
+        part = table.column("part")[0].as_py()
+        if part < 0:
+            return pa.Table.from_batches([_batch([(DOCS, None, -1, [table.column(f"c{i}")[k].as_py() for i in range(6)], None) for k in range(table.num_rows)])])
+        w, c, u, v, salt, row = LAYOUT.gathered(table)
+        words, at = np.unique(w, return_index=True)
+        order = np.lexsort((row, w, u, v))
+        v, u, w, row, salted = v[order], u[order], w[order], row[order], salt[order] > 0
+        p = Part(v, u, w, row, words, c[at])
+        hot = np.zeros(len(p.pair_v), bool)
+        if salted.any():
+            hot = np.isin(p.pair_v, np.unique(v[salted]))
+        three = p.tri_count[~p.starts]  # after a start there is one history word only
+        seen = [int(x) for x in (*_few(three[three > 0]), *_few(p.pair_count[(p.pair_count > 0) & ~hot]))]
+        rows = [(TOKENS, None, part, [*map(pack, (v, u, w, row, words, c[at]))], None), (HISTOGRAM, None, part, [], seen)]
+        if hot.any():
+            rows.append((HOT, None, part, [*map(pack, (p.pair_v[hot], p.pair_w[hot], p.pair_count[hot], p.unigram[hot]))], None))
+        return pa.Table.from_batches([_batch(rows)])
+
+    own = F.when(F.col("part") < 0, F.pmod(F.xxhash64("c0"), F.lit(256))).otherwise(F.lit(0))
+    return sent.withColumn("_deal", own).groupBy("part", "_deal").applyInArrow(meet, COLUMNS)
+
+
+def hot_pairs(found: DataFrame) -> DataFrame:
+    """part, v, w, c (its own count), unigram: bigrams of salted words in each of their partitions."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                cols = [unpack(b.column(f"c{k}")[i].as_buffer()) for k in range(4)]
+                yield pa.record_batch([pa.array(np.full(len(cols[0]), b.column("part")[i].as_py(), np.int32)), *[pa.array(x.astype(np.int64)) for x in cols]], ["part", "v", "w", "c", "unigram"])
+
+    rows = found.where(f"kind = {HOT}").select("part", "c0", "c1", "c2", "c3")
+    return rows.mapInArrow(run, "part int, v long, w long, c long, unigram long")
+
+
+def histogram(found: DataFrame) -> np.ndarray:
+    rows = found.where(f"kind = {HISTOGRAM}").select(F.posexplode("v")).groupBy("pos").agg(F.sum("col")).collect()
+    out = np.zeros(2 * (CUT + 1) + 2, np.int64)
+    for i, n in rows:
+        out[i] = n
+    return out
 
 
 RESULT = "_doc long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -237,42 +318,97 @@ def score_texts(docs: DataFrame, held_out=None) -> DataFrame:
 
     Defined cases: null and empty texts consist of the end token; repeated rows
     count each; without training rows every token is unseen, base_score and
-    score are 0; null ids are kept as NO_ID. The count tables stay in the staged
-    table as TABLE rows, one for each partition: words, pairs of each word,
-    histories, counts.
+    score are 0; null ids are kept as NO_ID; very long texts are a block of their own.
     """
     spark = docs.sparkSession
-
     held_out = is_held_out(F.col("doc_id"), 7, 2) if held_out is None else held_out
-    parts = deal_for(docs, least=36).parts[-1]
-    sent = stage(tokenised(docs, held_out, parts), "lm-blocks")
-    found = stage(count(sent.where(f"kind = {ASK}")), "lm-counts")
-    hist = dict(found.where(f"kind = {HISTOGRAM}").select(F.posexplode("v")).groupBy("pos").agg(F.sum("col")).collect())
-    n = np.array([hist.get(i, 0) for i in range(2 + 2 * (CUT + 1))], np.int64)
-    model = Model.of(int(n[0]), int(n[1]), n[2 : 3 + CUT].astype(float), n[3 + CUT :].astype(float), history_sums(found))
-    ready = spark.sparkContext.broadcast(model)
-
-    def finish(table):
-        m = ready.value
-        kinds, part = table.column("kind").to_numpy(), table.column("part").to_numpy()
-        col = lambda c, i: unpack(table.column(c)[int(i)].as_buffer())
-        body = int(np.flatnonzero(kinds == BODY)[0])
-        by_part = lambda k: sorted(np.flatnonzero(kinds == k), key=lambda i: part[i])
-        history = np.concatenate([col("c2", i) for i in by_part(ASK)])
-        pair = np.concatenate([col("c0", i) for i in by_part(ANSWER)])
-        word = np.repeat(np.concatenate([col("c1", i) for i in by_part(ANSWER)]), np.concatenate([col("c1", i) for i in by_part(ASK)]))
-        index, sizes, ids, train = (col(f"c{i}", body) for i in range(4))
-        starts = np.cumsum(sizes) - sizes
-        score = np.add.reduceat(m.log_prob(history, pair, word)[index], starts)
-        base = np.add.reduceat(m.log_base(word)[index], starts)
-        known = np.add.reduceat((word > 0)[index].astype(np.int64), starts)
-        out = [ids, train == 0, sizes, known, np.full(len(ids), m.total, np.int64), base, score]
-        return pa.table([pa.array(x) for x in out], ["_doc", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    none = F.lit(None).cast("binary")
-    asked = sent.where(f"kind <= {ASK}").select("kind", "block", "part", F.when(F.col("kind") == BODY, F.col("c0")).otherwise(none).alias("c0"), "c1", "c2", F.when(F.col("kind") == BODY, F.col("c3")).otherwise(none).alias("c3"))
-    answers = found.where(f"kind = {ANSWER}").select("kind", "block", "part", "c0", "c1", "c2", "c3")
-    return asked.unionByName(answers).groupBy("block").applyInArrow(finish, RESULT)
+    deal = deal_for(docs, 8 << 20, 36)
+    word_parts = min(4096, deal.parts[-1])
+    sent = stage(tokenised(docs, held_out, word_parts), "lm-blocks")
+    words = stage(count_words(sent.where(f"kind = {ASK}"), word_parts), "lm-words")
+    n = histogram(words)
+    one = Unigrams.of(int(n[0]), int(n[1]), n[2 : 3 + CUT].astype(float))
+    texts = docs.where(~held_out).count()
+    cells = assembled(sent, words, spark.sparkContext.broadcast(one), texts, deal.parts[0])
+    found = stage(gathered(dealt(cells, LAYOUT, deal, lambda columns: ([np.zeros(0)] * 6, columns))), "lm-tokens")
+    drop_staged(sent, words)
+    out = _scored(spark, found, one)
+    out = stage(out, "lm-scores")
+    drop_staged(found)
+    return out
+
+
+def _scored(spark, found: DataFrame, one: Unigrams) -> DataFrame:
+    n = histogram(found)
+    n_three, n_two = n[: CUT + 1], n[CUT + 1 : 2 * (CUT + 1)].copy()
+    hot = stage(hot_pairs(found), "lm-hot")
+    totals = stage(hot.groupBy("v", "w").agg(F.sum("c").alias("c"), F.max("unigram").alias("unigram")), "lm-hot-totals")
+    for c, k in totals.where(f"c between 1 and {CUT + 1}").groupBy("c").count().collect():
+        n_two[c - 1] += k
+    two, three = discounts(n_two.astype(float)), discounts(n_three.astype(float))
+    # Sums of the salted words' histories, in the same terms as a partition's own.
+    small = F.least("c", F.lit(CUT + 1)).cast("int")
+    factor = F.element_at(F.array(*[F.lit(float(x)) for x in two]), small + 1)
+    u_factor = F.element_at(F.array(*[F.lit(float(x)) for x in one.factors]), F.least("unigram", F.lit(CUT + 1)).cast("int") + 1)
+    lower = F.when(F.col("c") > 0, F.when(F.col("unigram") > 0, u_factor * F.col("unigram") / F.lit(one.whole)).otherwise(F.lit(one.unseen))).otherwise(0.0)
+    sums = totals.groupBy(F.col("v").alias("_v")).agg(F.sum("c").cast("double").alias("t"), F.sum((1 - factor) * F.col("c")).alias("g"), F.sum(lower).alias("l"))
+    back = hot.select("part", "v", "w").join(totals.select(F.col("v").alias("_a"), F.col("w").alias("_b"), "c"), (F.col("v") == F.col("_a")) & (F.col("w") == F.col("_b")))
+    back = back.join(sums, F.col("v") == F.col("_v")).select("part", "v", "w", "c", "t", "g", "l")
+
+    def packed(table):
+        cols = [table.column(x).to_numpy() for x in ("v", "w", "c", "t", "g", "l")]
+        order = np.lexsort((cols[1], cols[0]))
+        return pa.table([table.column("part").slice(0, 1), *[pa.array([pack(x[order])], pa.binary()) for x in cols]], ["_part", *[f"h{i}" for i in range(6)]])
+
+    given = back.groupBy("part").applyInArrow(packed, "_part int, " + ", ".join(f"h{i} binary" for i in range(6)))
+    model = spark.sparkContext.broadcast((one, two, three))
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                cols = [unpack(b.column(f"c{k}")[i].as_buffer()) for k in range(6)]
+                know = [unpack(b.column(f"h{k}")[i].as_buffer()) for k in range(6)] if b.column("h0")[i].is_valid else None
+                rows, score = evaluated(Part(*cols), know, *model.value)
+                yield pa.record_batch([pa.array(rows), pa.array(score)], ["_row", "score"])
+
+    asked = found.where(f"kind = {TOKENS}").select("part", *[f"c{i}" for i in range(6)])
+    asked = asked.join(given, F.col("part") == F.col("_part"), "left").drop("part", "_part")
+    scores = asked.mapInArrow(run, "_row long, score double").groupBy(F.col("_row").alias("_r")).agg(F.sum("score").alias("score"))
+
+    def unpacked(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                yield from LAYOUT.table([unpack(b.column(f"c{k}")[i].as_buffer()) for k in range(6)]).to_batches()
+
+    figures = found.where(f"kind = {DOCS}").select(*[f"c{i}" for i in range(6)]).mapInArrow(unpacked, LAYOUT.found)
+    out = figures.join(scores, F.col("_row") == F.col("_r"))
+    total = F.lit(one.total).cast("long")
+    return out.select("_doc", (F.col("held_out") == 1).alias("held_out"), "n_tokens", "n_known", total.alias("train_tokens"), "base_score", "score")
+
+
+def evaluated(p: Part, know: list[np.ndarray] | None, one: Unigrams, two: np.ndarray, three: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the rows with tokens here, and their sums of log10 P: trigram, else bigram, else unigram."""
+    p1 = one.p(p.unigram)
+    count, groups = p.pair_count, int(p.last[-1]) + 1 if len(p.last) else 0
+    sums = weights(p.last, groups, count, p1, two)
+    if know is not None:  # bigrams of salted words: the counts and sums of all their partitions
+        v, w, c, *rest = know
+        wide = textnp.combine(v.astype(U), w.astype(U))
+        order = np.argsort(wide)
+        mine = textnp.combine(p.pair_v, p.pair_w)
+        at = np.minimum(np.searchsorted(wide[order], mine), len(wide) - 1)
+        hit = wide[order][at] == mine
+        count = np.where(hit, c[order][at], count)
+        for k, x in enumerate(rest):
+            sums[k, p.last[hit]] = x[order][at[hit]]
+    bottom, plain, alpha = alphas(sums)
+    p2 = probability(count, p1, p.last, two, bottom, plain, alpha)[p.pair_of]
+    histories = int(p.history[-1]) + 1 if len(p.history) else 0
+    bottom, plain, alpha = alphas(weights(p.history, histories, p.tri_count, p2, three))
+    p3 = probability(p.tri_count, p2, p.history, three, bottom, plain, alpha)
+    log = np.log10(np.where(p.starts, p2, p3))[p.tri]
+    rows, index = np.unique((p.row >> U(1)).astype(np.int64), return_inverse=True)
+    return rows, np.bincount(index, log, len(rows))
 
 
 def op9_query(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import textnp
-from lodestone.llm.common import beside_text, drop_staged, fields_of, stage
+from lodestone.llm.common import beside_text, fields_of, stage
 from lodestone.llm.exchange import NO_ID, Sent, blocks, deal_for, exchanged, first_of, keyed_texts
 
 RUN, LEAST_WORDS, LONGEST = 3, 12, 40
@@ -150,7 +150,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 
 def removed_spans(docs: DataFrame) -> DataFrame:
     """Maximal removed stretches: ``_doc, _th, start, stop, first_doc_id``, by bytes of the UTF-8 text."""
-    runs = repeated_runs(docs)
+    runs = stage(repeated_runs(docs), "sentence-runs")
     w = Window.partitionBy("_doc", "_th").orderBy("start", "stop")
     reach = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("start") < F.col("_reach"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -167,7 +167,7 @@ def remove_repeated_sentences(docs: DataFrame) -> DataFrame:
     piecewise; white space around a removed stretch stays.
     """
     t, h, r = "_t_doc", "_t_th", "_runs"
-    spans = stage(removed_spans(docs), "sentence-spans").groupBy(F.col("_doc").alias(t), F.col("_th").alias(h)).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(r))
+    spans = removed_spans(docs).groupBy(F.col("_doc").alias(t), F.col("_th").alias(h)).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(r))
     keyed = beside_text(docs, _k_doc=F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long"), _k_th=F.xxhash64("text"))
     out = keyed.join(spans, (F.col("_k_doc") == F.col(t)) & (F.col("_k_th") == F.col(h)), "left")
     raw = F.col("text").cast("binary")

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import scratch_path
+from lodestone.llm.common import scratch_path, settings, worker_batches
 
 ZSTD, GZIP, VERSION = b"\x28\xb5\x2f\xfd", b"\x1f\x8b\x08", b"WARC/1."
 #: A skippable zstd frame of one byte; that byte is the sink's line separator.
@@ -39,8 +39,6 @@ LEAST_REVISIT = 0
 #: Payload that an archive holds by default, before compression.
 ARCHIVE_BYTES = 128 << 20
 CUT = "ValueError: member is cut"
-#: A decompressed record may be so long at most; longer claims are taken for damage.
-MOST_RECORD = 1 << 31
 
 
 def base32_sha1(data: Column) -> Column:
@@ -113,7 +111,8 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT, reco
 
     rows = record_types(pages, least).select("page_id", "url", "payload", "digest", "first_id")
     packed = rows.mapInArrow(members, "value binary").select(F.col("value").cast("string").alias("value"))
-    packed.write.option("lineSep", "\n").option("maxRecordsPerFile", records_per_file).text(path)
+    with worker_batches(pages.sparkSession), settings(pages.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        packed.write.option("lineSep", "\n").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 class _Record:
@@ -128,7 +127,7 @@ class _Record:
         n = int(self.head["content-length"])
         self.block = raw[stop + 4 : stop + 4 + n]
         self.stop = stop + 4 + n + len(END)
-        if n < 0 or n > MOST_RECORD or len(self.block) != n or raw[self.stop - len(END) : self.stop] != END:
+        if n < 0 or len(self.block) != n or raw[self.stop - len(END) : self.stop] != END:
             raise ValueError("record is cut")
         named = self.head.get("warc-block-digest", "").removeprefix("sha1:")
         if named and base64.b32encode(hashlib.sha1(self.block).digest()).decode() != named:
@@ -283,7 +282,8 @@ def read_archives(spark, path: str, with_payload: bool = True) -> DataFrame:
 
     A revisit's payload_bytes and payload_digest are those of the full payload,
     from its HTTP header and its WARC header; its payload column is null. An
-    empty archive gives no rows.
+    empty archive gives no rows. An archive is read whole, by one task; Spark's
+    reader of binary files fails for archives of 2 GB and more.
     """
 
     def parse(batches):

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lodestone.llm import katz, textnp
+from lodestone.llm import exchange, katz
 from tests.llm.helpers import clashing, corpus, frame, lower, words
 
 
@@ -13,14 +13,10 @@ def is_held(i):
     return zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
 
 
-def history_of(word):
-    h = textnp.words(np.frombuffer(word.encode(), np.uint8))[1][0]
-    return int(h) >> (64 - katz.HISTORY_BITS)
-
-
 def sequence(text):
-    w = words(lower(text or ""))
-    return list(zip(["<s>", *map(history_of, w)], [*w, "</s>"]))
+    """(u, v, w) of every token; u is None after the start."""
+    w = [*words(lower(text or "")), "</s>"]
+    return list(zip([None, "<s>", *w][: len(w)], ["<s>", *w], w))
 
 
 def factors(counts):
@@ -43,33 +39,44 @@ class Plain:
 
     def __init__(self, rows):
         train = [sequence(t) for i, t in rows if not is_held(i)]
-        self.pairs = Counter(x for s in train for x in s)
-        self.one = Counter(w for s in train for _, w in s)
+        self.one = Counter(w for s in train for _, _, w in s)
         self.total, self.words = sum(self.one.values()), len(self.one)
-        self.d1, self.d2 = factors(self.one), factors(self.pairs)
+        two = Counter((v, w) for s in train for _, v, w in s)
+        three = Counter(((u, v), w) for s in train for u, v, w in s if u is not None)
+        self.d1 = factors(self.one)
         lost = sum((1 - self.d1[c]) * c for c in self.one.values() if c <= katz.CUT)
         self.whole = self.total if lost else self.total + 1
         self.d1 = self.d1 if lost else {}
         self.unseen = lost / self.total if lost else 1 / (self.total + 1) if self.total else 1.0
-        self.by = {}
-        for (h, w), c in self.pairs.items():
-            self.by.setdefault(h, {})[w] = c
-
-    def low(self, w):
+        self.levels = []
+        for counts in (two, three):
+            by = {}
+            for (h, w), c in counts.items():
+                by.setdefault(h, {})[w] = c
+            self.levels.append((by, factors(counts)))
+
+    def p1(self, w):
         c = self.one[w]
         return self.d1.get(c, 1) * c / self.whole if c else self.unseen
 
-    def p(self, h, w):
-        seen = self.by.get(h, {})
+    def backed(self, level, h, w, lower):
+        by, d = self.levels[level]
+        seen = by.get(h, {})
         total = sum(seen.values())
-        gone = sum((1 - self.d2.get(c, 1)) * c for c in seen.values())
         if not total:
-            return self.low(w)
-        plain = gone <= 0
+            return lower(w)
+        gone = sum((1 - d.get(c, 1)) * c for c in seen.values())
+        plain = gone <= 1e-12
         bottom = total + 1 if plain else total
         if w in seen:
-            return (1 if plain else self.d2.get(seen[w], 1)) * seen[w] / bottom
-        return ((1 if plain else gone) / bottom) / (1 - sum(map(self.low, seen))) * self.low(w)
+            return (1 if plain else d.get(seen[w], 1)) * seen[w] / bottom
+        return (1 if plain else gone) / bottom / (1 - sum(map(lower, seen))) * lower(w)
+
+    def p2(self, v, w):
+        return self.backed(0, v, w, self.p1)
+
+    def p(self, u, v, w):
+        return self.p2(v, w) if u is None else self.backed(1, (u, v), w, lambda x: self.p2(v, x))
 
 
 def compare(spark, rows):
@@ -78,8 +85,8 @@ def compare(spark, rows):
     want = []
     for i, t in rows:
         s = sequence(t)
-        base = sum(math.log10((model.one[w] + 1) / (model.total + model.words + 1)) for _, w in s)
-        want.append((katz.NO_ID if i is None else i, is_held(i), len(s), sum(model.one[w] > 0 for _, w in s), model.total, base, sum(math.log10(model.p(h, w)) for h, w in s)))
+        base = sum(math.log10((model.one[w] + 1) / (model.total + model.words + 1)) for *_, w in s)
+        want.append((katz.NO_ID if i is None else i, is_held(i), len(s), sum(model.one[w] > 0 for *_, w in s), model.total, base, sum(math.log10(model.p(*x)) for x in s)))
     key = lambda r: (r[0], r[2], round(r[5], 6))
     for a, b in zip(sorted((tuple(r) for r in got), key=key), sorted(want, key=key)):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], abs=1e-6) and a[6] == pytest.approx(b[6], abs=1e-6)
@@ -89,12 +96,29 @@ def compare(spark, rows):
 def test_mixed_corpus_against_dictionaries(spark):
     model = compare(spark, corpus(n=100))
     vocab = list(model.one)
-    for h in list(model.by)[:40]:  # every history's probabilities add up to one, the unseen word included
-        p = sum(model.p(h, w) for w in vocab)
-        seen = model.by[h]
-        rest = 1 - sum(map(model.low, seen))
-        alpha = model.p(h, "never seen word") / model.unseen if rest else 0
-        assert p + alpha * model.unseen == pytest.approx(1, abs=1e-9)
+    histories = [*[(None, v) for v in list(model.levels[0][0])[:10]], *list(model.levels[1][0])[:25], ("no", "history")]
+    for u, v in histories:  # every history's probabilities add up to one, the unseen word included
+        assert sum(model.p(u, v, w) for w in [*vocab, "never seen word"]) == pytest.approx(1, abs=1e-9)
+
+
+def test_salted_words_and_levels_of_the_exchange(spark, monkeypatch):
+    rows = corpus(n=100) + [(500 + i, " ".join(f"the w{j % 7} the v{(i + j) % 11}" for j in range(40))) for i in range(12)]
+    monkeypatch.setattr(katz, "SALT", 8)
+    compare(spark, rows)
+    monkeypatch.setattr(exchange, "FAN", 6)
+    monkeypatch.setattr(exchange, "BLOCK", 4000)
+    compare(spark, rows)
+
+
+def test_counts_above_32_bits(spark):
+    pack = lambda x, t: exchange.pack(np.array(x, t))
+    asks = spark.createDataFrame([(katz.ASK, b, 0, bytearray(pack([5, 9], np.uint64)), bytearray(pack([3_000_000_000, b], np.int64)), None, None, None, None, None) for b in (1, 2)], katz.COLUMNS)
+    got = katz.count_words(asks, 1)
+    assert katz.histogram(got)[0] == 6_000_000_003
+    answer = got.where(f"kind = {katz.ANSWER}").first()
+    assert exchange.unpack(answer["c1"]).tolist() == [6_000_000_000, 3]
+    one = katz.Unigrams.of(6_000_000_003, 2, np.array([0, 0, 1.0, 0, 0, 0]))
+    assert one.p(np.array([6_000_000_000]))[0] == pytest.approx(6_000_000_000 / one.whole)
 
 
 def test_few_texts(spark):

@@ -51,3 +51,13 @@ def test_stages_take_odd_tables(spark, sf_dir):
             docs = f(spark, docs, sf_dir)
         assert docs.count() > 0 if rows else docs.count() == 0
     assert neardup.SHINGLE == 5
+
+
+def test_operators_put_the_session_back(spark, sf_dir):
+    from lodestone.llm import queries
+
+    keys = [k for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.checkpoint.dir")]
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for query in queries.queries().values():
+        query(spark, sf_dir)
+    assert {k: spark.conf.get(k, None) for k in keys} == before

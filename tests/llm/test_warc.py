@@ -148,3 +148,11 @@ def test_damaged_members_give_no_record_twice_or_unproved():
     data = bytearray(gzip.compress(bare + records[0]))
     data[-6] ^= 0xFF
     assert tiles(bytes(data))[0] == ["0"]
+
+
+def test_a_damaged_record_in_the_middle_costs_one_record():
+    records = [record(i, b"body %d " % i * 200) for i in range(6)]
+    plain = bytearray(b"".join(records))
+    plain[len(records[0]) + len(records[1]) + len(records[2]) // 2] ^= 0xFF
+    ids, gaps = tiles(gzip.compress(bytes(plain)))
+    assert ids == ["0", "1", "3", "4", "5"] and len(gaps) == 1
