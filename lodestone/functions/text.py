@@ -19,6 +19,7 @@ MATH_MARKERS = [
     "\\\\", "\\frac", "\\sum", "\\prod", "\\int", "\\mathbb", "\\mathcal", "\\operatorname", "\\oplus", "\\odot", "\\oslash", "\\otimes",
     "\\in", "\\to", "\\mapsto", "\\coloneqq", "\\leq", "\\geq", "\\neq", "\\subseteq", "^{", "_{",
 ]
+# Fixed value: one dollar sign, text, one dollar sign.
 INLINE_MATH = r"(?s)(?<!\$)\$(?!\$).+?\$(?!\$)"
 
 

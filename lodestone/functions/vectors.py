@@ -31,16 +31,21 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise(dot(doubles(a), doubles(b)) / n)
 
 
+# Fixed values of the generator: multiplier, increment, and 2^31 - 1.
+MULTIPLIER, INCREMENT, MASK = 1103515245, 12345, 0x7FFFFFFF
+
+
 def hash_vector(text: Column, size: int) -> Column:
     """Unit vector seeded by the md5 of a text through a linear congruential generator modulo 2^31.
 
-    Only the seed's low 31 bits count, so the state fits a long.
+    Its i-th state is a linear function of the seed, so the states are computed
+    side by side. Only the seed's low 31 bits count, so products fit a long.
     """
-    seed = F.conv(F.substring(F.md5(text.cast("binary")), 25, 8), 16, 10).cast("long").bitwiseAND(F.lit(0x7FFFFFFF))
-
-    def step(acc: Column, _: Column) -> Column:
-        state = (acc["state"] * 1103515245 + 12345).bitwiseAND(F.lit(0x7FFFFFFF))
-        return F.struct(state.alias("state"), F.concat(acc["v"], F.array(state / F.lit(2147483647.0) - 0.5)).alias("v"))
-
-    start = F.struct(seed.alias("state"), F.array().cast("array<double>").alias("v"))
-    return unit(F.aggregate(F.sequence(F.lit(1), F.lit(size)), start, step, lambda a: a["v"]))
+    seed = F.conv(F.substring(F.md5(text.cast("binary")), 25, 8), 16, 10).cast("long").bitwiseAND(F.lit(MASK))
+    factor, add, factors, adds = 1, 0, [], []
+    for _ in range(size):
+        factor, add = factor * MULTIPLIER & MASK, (add * MULTIPLIER + INCREMENT) & MASK
+        factors.append(factor)
+        adds.append(add)
+    states = F.zip_with(F.lit(factors).cast("array<long>"), F.lit(adds).cast("array<long>"), lambda a, c: F.struct(a.alias("a"), c.alias("c")))
+    return unit(F.transform(states, lambda x: (x["a"] * seed + x["c"]).bitwiseAND(F.lit(MASK)) / F.lit(float(MASK)) - 0.5))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone import schemas as S
-from lodestone.functions.vectors import hash_vector
+from lodestone.functions.vectors import INCREMENT, MASK, MULTIPLIER, hash_vector
 
 
 class EmbeddingProvider(Protocol):
@@ -29,11 +29,11 @@ class HashProvider:
     def embed(self, texts: list[str]) -> list[list[float]]:
         out = []
         for t in texts:
-            state = int(hashlib.md5(t.encode()).hexdigest()[-8:], 16) & 0x7FFFFFFF
+            state = int(hashlib.md5(t.encode()).hexdigest()[-8:], 16) & MASK
             v = []
             for _ in range(self.dimension):
-                state = (state * 1103515245 + 12345) & 0x7FFFFFFF
-                v.append(state / 0x7FFFFFFF - 0.5)
+                state = (state * MULTIPLIER + INCREMENT) & MASK
+                v.append(state / MASK - 0.5)
             size = math.sqrt(sum(x * x for x in v)) or 1.0
             out.append([x / size for x in v])
         return out

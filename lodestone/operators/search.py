@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql import types as T
 
 from lodestone import schemas as S
@@ -42,8 +43,8 @@ def top_k_batch(points: DataFrame, queries: DataFrame, k: int, id_column: str =
     """The ``k`` nearest points of every query (query_id, vector): query_id, rank, score, point columns.
 
     The queries are a stated set of at most ``most_queries``, sent to every
-    task. A block of points is multiplied with all of them at once and gives its
-    best k for each query, so only those are shuffled and ranked, and the
+    task. A block of points is multiplied with all of them at once; a partition
+    keeps its best k for each query, so only those are shuffled and ranked, and the
     payload is joined to the final hits alone.
     """
     asked = [(r["query_id"], r["vector"]) for r in queries.limit(most_queries + 1).collect()]
@@ -54,22 +55,30 @@ def top_k_batch(points: DataFrame, queries: DataFrame, k: int, id_column: str =
     size = np.linalg.norm(q, axis=1, keepdims=True)
     q = q / np.where(size == 0, 1, size)
     kind = {f.name: f.dataType.simpleString() for f in points.schema}[id_column]
+    points_id = to_arrow_type(points.schema[id_column].dataType)
+
+    def best(c: np.ndarray, ids: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The first k of each query's hits, ties by id."""
+        order = np.lexsort((np.unique(ids, return_inverse=True)[1], -score, c))
+        c, ids, score = c[order], ids[order], score[order]
+        first = np.searchsorted(c, c)
+        kept = np.arange(len(c)) - first < k
+        return c[kept], ids[kept], score[kept]
 
     def run(batches):
+        held = None  # the partition's best so far
         for b in batches:
-            ids = b.column(0)
-            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float)
-            v = flat.reshape(len(ids), -1) if len(ids) else np.zeros((0, q.shape[1]))
+            if not b.num_rows or not len(q) or k < 1:
+                continue
+            v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
             n = np.linalg.norm(v, axis=1, keepdims=True)
-            scores = np.round((v / np.where(n == 0, 1, n)) @ q.T, 6) if len(v) and len(q) else np.zeros((len(v), len(q)))
-            place = np.argsort(np.argsort(np.array(ids.to_pylist()))) if len(v) else np.zeros(0, int)
-            rows, cols = [np.zeros(0, int)], [np.zeros(0, int)]
-            for c in range(len(names) if len(v) else 0):
-                best = np.lexsort((place, -scores[:, c]))[:k]
-                rows.append(best)
-                cols.append(np.full(len(best), c))
-            r, c = np.concatenate(rows), np.concatenate(cols)
-            yield pa.record_batch([pa.array(c, pa.int32()), ids.take(pa.array(r)), pa.array(scores[r, c] if len(r) else np.zeros(0))], ["_q", "_id", "score"])
+            scores = np.round((v / np.where(n == 0, 1, n)) @ q.T, 6)
+            least = np.partition(scores, -k, axis=0)[-k] if len(scores) > k else scores.min(0)
+            r, c = np.nonzero(scores >= least)
+            new = (c, np.array(b.column(0).to_pylist())[r], scores[r, c])
+            held = best(*(new if held is None else map(np.concatenate, zip(held, new))))
+        if held is not None:
+            yield pa.record_batch([pa.array(held[0], pa.int32()), pa.array(held[1].tolist(), points_id), pa.array(held[2])], ["_q", "_id", "score"])
 
     ready = points.where(F.col("embedding").isNotNull()).select(id_column, F.col("embedding").cast("array<double>"))
     found = ready.mapInArrow(run, f"_q int, _id {kind}, score double")
@@ -109,6 +118,9 @@ def lookup_order() -> list[Column]:
     return [F.desc("exact"), F.asc("priority"), F.split("file_path", "/").asc(), F.asc("start_line"), F.asc("concept"), F.asc("end_line")]
 
 
+# The wording and layout of hits, parents, lookups and empty answers below is what callers of the tools read.
+
+
 def fixed(value: Column, digits: int) -> Column:
     """A number below 1e9 with so many decimals, rounded by its exact binary value; true halves go to the even digit.
 

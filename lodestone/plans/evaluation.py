@@ -125,7 +125,10 @@ def retrieve(points: DataFrame, queries: DataFrame, entries: DataFrame | None, k
     cols = ["file_name", "source_path", "start_line", "end_line"]
     found = top_k_batch(points, queries.where("tool <> 'lookup_index'").select("query_id", "vector"), k).select("query_id", "rank", *cols)
     if entries is not None:
-        asked = F.broadcast(queries.where("tool = 'lookup_index'").select("query_id", F.lower("query").alias("_q")))
+        asked = queries.where("tool = 'lookup_index'").select("query_id", F.lower("query").alias("_q"))
+        if asked.limit(S.MOST_LOOKUPS + 1).count() > S.MOST_LOOKUPS:
+            raise ValueError(f"more than {S.MOST_LOOKUPS} lookups; evaluate in several calls")
+        asked = F.broadcast(asked)  # at most MOST_LOOKUPS rows
         c = F.lower("concept")
         hits = entries.join(asked, F.contains(c, F.col("_q")) | F.contains(F.col("_q"), c)).withColumns({"exact": (c == F.col("_q")).cast("int"), "priority": priority(F.col("entry_type"))})
         hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*lookup_order()))).where(F.col("rank") <= k)

@@ -52,10 +52,9 @@ def md_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors with the payload of the document of the same number, where there is one."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    """Vectors with a density and a language by their number and label."""
     density = (F.col("vec_id") % 10) / 10.0
-    return table(spark, sf_dir, "embeddings").join(docs, F.col("vec_id") == F.col("doc_id"), "left").drop("doc_id").withColumns({"math_density": density, "language": F.concat(F.lit("l"), F.col("label").cast("string"))})
+    return table(spark, sf_dir, "embeddings").withColumns({"math_density": density, "language": F.concat(F.lit("l"), F.col("label").cast("string"))})
 
 
 def _query_vector(spark: SparkSession, sf_dir: str, number: int = 0) -> list[float]:
@@ -63,8 +62,10 @@ def _query_vector(spark: SparkSession, sf_dir: str, number: int = 0) -> list[flo
 
 
 def _topk(spark: SparkSession, sf_dir: str, **filters) -> DataFrame:
+    """The nearest vectors, and then what is known of the documents of the same numbers."""
     hits = search.top_k(points(spark, sf_dir), _query_vector(spark, sf_dir), 10, "vec_id", **filters)
-    return hits.select("rank", "vec_id", "score", "source", "n_chars")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return docs.join(F.broadcast(hits), F.col("vec_id") == F.col("doc_id"), "right").select("rank", "vec_id", "score", "source", "n_chars")
 
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

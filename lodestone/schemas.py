@@ -36,3 +36,6 @@ EVAL_K = (3, 5, 7, 10)
 DECISIVE, SUPPORTIVE = 2, 1
 VECTOR_SIZE = 4096
 CANARY = "whole-file (canary)"
+
+#: Concept lookups of one evaluation at most; they are sent to every task.
+MOST_LOOKUPS = 10_000

@@ -1,6 +1,7 @@
 """Text expressions against plain Python, on hand-made and random strings."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -54,14 +55,13 @@ def test_headers(spark):
 
 
 def plain_density(text):
-    inside, n, lines = False, 0, text.split("\n")
-    for line in lines:
-        s = line.strip()
-        if s.startswith("$$"):
-            inside, n = not inside, n + 1
-        else:
-            n += inside or bool(re.search(r"(?<!\$)\$(?!\$).+?\$(?!\$)", s)) or any(m in s for m in X.MATH_MARKERS)
-    return n / len(lines)
+    """Share of the lines that begin with $$, stand after an odd number of such lines, hold $...$, or a marker."""
+    lines = text.split("\n")
+    marks = [i for i, x in enumerate(lines) if x.strip().startswith("$$")]
+    spans = {j for a, b in itertools.zip_longest(marks[::2], marks[1::2], fillvalue=len(lines)) for j in range(a, b)} | set(marks)
+    own = {i for i, x in enumerate(lines) if re.search(r"(?<!\$)\$(?!\$).+?\$(?!\$)", x.strip())}
+    named = {i for i, x in enumerate(lines) for m in X.MATH_MARKERS if m in x.strip()}
+    return len(spans | own | named) / len(lines)
 
 
 def test_math_density(spark):
