@@ -353,7 +353,9 @@ def near_dedup(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Dat
     """``docs`` with one document of each near-duplicate component: that of the smallest id.
 
     Rows of one id are one document; of several the one with the smallest text
-    hash stays. Only ids that repeat are sorted for that.
+    hash stays. Only ids that repeat are sorted for that. Rows without an id are
+    one document, too, below all others; null and empty texts are alike to nothing
+    and stay; columns of any name are kept; no rows give no rows.
     """
     labels = label_documents(docs, k, percent).where("_id = root").groupBy("_id").agg(F.count("*").alias("_copies"))
     keyed = boxed(docs, _doc=F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long"), _th=F.xxhash64("text"))

@@ -149,7 +149,12 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
-    """Maximal removed stretches: ``_doc, _th, start, stop, first_doc_id``, by bytes of the UTF-8 text."""
+    """Maximal removed stretches: ``_doc, _th, start, stop, first_doc_id``, by bytes of the UTF-8 text.
+
+    Defined cases: null, empty and word-less texts have none; a row's copies (equal
+    id and text) are one document; null ids are NO_ID and come first; of equal
+    runs that of the smallest document and offset stays; no rows give no rows.
+    """
     runs = stage(repeated_runs(docs), "sentence-runs")
     w = Window.partitionBy("_doc", "_th").orderBy("start", "stop")
     reach = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -180,6 +185,7 @@ def remove_repeated_sentences(docs: DataFrame) -> DataFrame:
 
 
 def op2_query(spark, sf_dir: str) -> DataFrame:
+    """Removed stretches of all documents; the cases are those of ``removed_spans``, a null id is given as null."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return removed_spans(docs).select(
         F.when(F.col("_doc") != NO_ID, F.col("_doc")).alias("doc_id"), F.when(F.col("first_doc_id") != NO_ID, F.col("first_doc_id")).alias("first_doc_id"),
