@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 Parquet and read again as the next stage's ``docs``. All but the last return the
 columns of ``documents``.
+
+Defined cases, for every stage: null and empty texts are documents like others
+(no shingles, no words: they are kept but by mixing, which takes a document
+without words zero times); null ids are kept, and near-dedup takes the rows of
+one id, or of none, as one document; repeated rows are judged alike, and
+near-dedup keeps one of them; very long texts are taken whole; other columns stay
+as they are, whatever their names, and so does an empty table. Of equal documents
+the one with the smallest id stays, of equal ids that with the smallest text hash.
 """
 
 from __future__ import annotations
