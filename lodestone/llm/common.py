@@ -55,18 +55,20 @@ def worker_batches(spark: SparkSession, rows: int = 2000, size: int = 4 << 20):
     return settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(rows), spark__sql__execution__arrow__maxBytesPerBatch=str(size))
 
 
-def stage(df: DataFrame, name: str, rows: int = 2000) -> DataFrame:
+def stage(df: DataFrame, name: str, rows: int = 2000, by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
     Cuts the lineage in a way that survives lost executors: the files are in the
     shared store. Spark deletes the shuffle files of the write when it ends.
     ``rows``: most rows of an Arrow batch that a Python worker gets meanwhile; the
-    session's own settings are put back.
+    session's own settings are put back. ``by``: a column of few values that get a
+    folder each, so that they can be read and dropped apart.
     """
     spark, schema = df.sparkSession, df.schema
     path = scratch_path(spark, name)
     with worker_batches(spark, rows), settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
-        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+        writer = df.write.option("parquet.block.size", ROW_GROUP)
+        (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -78,7 +80,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def drop_staged(*tables: DataFrame) -> None:
-    """Delete the files of tables returned by ``stage`` that no later plan reads."""
+    """Delete the folders that hold files of these tables returned by ``stage``; no later plan may read them."""
     for df in tables:
         for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
             if "/lodestone/" in f:

@@ -60,10 +60,10 @@ def deal_for(docs: DataFrame, per: int = 16 << 20, least: int = 48) -> Deal:
     return Deal.of(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, per, least)
 
 
-def pack(a: np.ndarray) -> bytes:
+def pack(a: np.ndarray, level: int = 1) -> bytes:
     """Bytes of an array, transposed so that equal high bytes stand together, and compressed."""
     raw = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b""
-    return zstandard.ZstdCompressor(level=1).compress(np.dtype(a.dtype).char.encode() + raw)
+    return zstandard.ZstdCompressor(level=level).compress(np.dtype(a.dtype).char.encode() + raw)
 
 
 def unpack(b: bytes) -> np.ndarray:

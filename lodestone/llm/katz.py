@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textnp
-from lodestone.llm.common import drop_staged, is_held_out, stage
+from lodestone.llm.common import drop_path, drop_staged, is_held_out, stage
 from lodestone.llm.exchange import NO_ID, Sent, blocks, deal_for, dealt, pack, unpack
 
 #: Counts up to CUT are discounted.
@@ -46,7 +46,7 @@ START = 0
 PLACE = 20
 U = textnp.U
 END = textnp.mix(np.array([0x656E64], U))[0]
-BODY, ASK, ANSWER, WORDS, HISTOGRAM, TOKENS, HOT, DOCS = range(8)
+BODY, ASK, ANSWER, HISTOGRAM, TOKENS, HOT, DOCS = range(7)
 COLUMNS = "kind int, block long, part int, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary, c5 binary, v array<long>"
 DOC_ROWS = {"_row": "long", "_doc": "long", "held_out": "long", "n_tokens": "long", "n_known": "long", "base_score": "double"}
 
@@ -107,7 +107,7 @@ def _few(counts: np.ndarray) -> list[int]:
 
 
 def count_words(asks: DataFrame, parts: int) -> DataFrame:
-    """Rows ANSWER, WORDS (hashes, counts and numbers: the unigram table) and HISTOGRAM of all word partitions."""
+    """Rows ANSWER and HISTOGRAM of all word partitions."""
 
     def meet(table):
         part, names = table.column("part")[0].as_py(), table.column("block").to_pylist()
@@ -119,7 +119,6 @@ def count_words(asks: DataFrame, parts: int) -> DataFrame:
         number = np.empty(len(known), U)
         number[np.argsort(-total, kind="stable")] = np.arange(len(known), dtype=U) * U(parts) + U(part + 1)
         rows = [(ANSWER, b, part, [pack(number[i]), pack(total[i])], None) for b, i in zip(names, np.split(index, ends))]
-        rows.append((WORDS, None, part, [pack(known), pack(total), pack(number)], None))
         rows.append((HISTOGRAM, None, part, [], [int(total.sum()), int((total > 0).sum()), *_few(total)]))
         return pa.Table.from_batches([_batch(rows)])
 
@@ -280,7 +279,7 @@ def gathered(sent: DataFrame) -> DataFrame:
             hot = np.isin(p.pair_v, np.unique(v[salted]))
         three = p.tri_count[~p.starts]  # after a start there is one history word only
         seen = [int(x) for x in (*_few(three[three > 0]), *_few(p.pair_count[(p.pair_count > 0) & ~hot]))]
-        rows = [(TOKENS, None, part, [*map(pack, (v, u, w, row, words, c[at]))], None), (HISTOGRAM, None, part, [], seen)]
+        rows = [(TOKENS, None, part, [pack(x, 3) for x in (v, u, w, row, words, c[at])], None), (HISTOGRAM, None, part, [], seen)]
         if hot.any():
             rows.append((HOT, None, part, [*map(pack, (p.pair_v[hot], p.pair_w[hot], p.pair_count[hot], p.unigram[hot]))], None))
         return pa.Table.from_batches([_batch(rows)])
@@ -324,8 +323,10 @@ def score_texts(docs: DataFrame, held_out=None) -> DataFrame:
     held_out = is_held_out(F.col("doc_id"), 7, 2) if held_out is None else held_out
     deal = deal_for(docs, 8 << 20, 36)
     word_parts = min(4096, deal.parts[-1])
-    sent = stage(tokenised(docs, held_out, word_parts), "lm-blocks")
+    sent = stage(tokenised(docs, held_out, word_parts), "lm-blocks", by="kind")
     words = stage(count_words(sent.where(f"kind = {ASK}"), word_parts), "lm-words")
+    for folder in {f.rpartition("/kind=")[0] for f in sent.inputFiles()}:
+        drop_path(spark, f"{folder}/kind={ASK}")  # the bodies are still needed
     n = histogram(words)
     one = Unigrams.of(int(n[0]), int(n[1]), n[2 : 3 + CUT].astype(float))
     texts = docs.where(~held_out).count()
