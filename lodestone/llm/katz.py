@@ -40,6 +40,8 @@ from lodestone.llm.exchange import NO_ID, Sent, blocks, deal_for, dealt, pack, u
 CUT = 5
 #: A word is salted for every so many times that it stands in training.
 SALT = 1 << 20
+#: Bytes of text in a block; its tokens are held with some ten numbers each.
+BLOCK = 5 << 20
 #: Number of the start of a text; words have numbers from 1.
 START = 0
 #: Bits of a row's number for its place in a block.
@@ -84,7 +86,7 @@ def tokenised(docs: DataFrame, held_out, parts: int) -> DataFrame:
 
     def send(batches):
         first = TaskContext.get().partitionId() << 24
-        for n, rows in enumerate(blocks(batches)):
+        for n, rows in enumerate(blocks(batches, BLOCK)):
             found = [tokens([r[2] for r in rows[lo:hi]]) for lo, hi in textnp.groups([len(r[2] or b"") for r in rows], 1 << 21)]
             word, sizes = (np.concatenate(x) for x in zip(*found))
             train = ~np.array([r[3] for r in rows], bool)
@@ -279,7 +281,7 @@ def gathered(sent: DataFrame) -> DataFrame:
             hot = np.isin(p.pair_v, np.unique(v[salted]))
         three = p.tri_count[~p.starts]  # after a start there is one history word only
         seen = [int(x) for x in (*_few(three[three > 0]), *_few(p.pair_count[(p.pair_count > 0) & ~hot]))]
-        rows = [(TOKENS, None, part, [pack(x, 3) for x in (v, u, w, row, words, c[at])], None), (HISTOGRAM, None, part, [], seen)]
+        rows = [(TOKENS, None, part, [pack(x, 3) for x in (v, u, w, row, words, c[at])], [int(hot.any())]), (HISTOGRAM, None, part, [], seen)]
         if hot.any():
             rows.append((HOT, None, part, [*map(pack, (p.pair_v[hot], p.pair_w[hot], p.pair_count[hot], p.unigram[hot]))], None))
         return pa.Table.from_batches([_batch(rows)])
@@ -372,8 +374,11 @@ def _scored(spark, found: DataFrame, one: Unigrams) -> DataFrame:
                 rows, score = evaluated(Part(*cols), know, *model.value)
                 yield pa.record_batch([pa.array(rows), pa.array(score)], ["_row", "score"])
 
-    asked = found.where(f"kind = {TOKENS}").select("part", *[f"c{i}" for i in range(6)])
-    asked = asked.join(given, F.col("part") == F.col("_part"), "left").drop("part", "_part")
+    # Only partitions with salted words need what others know of these: the rest is evaluated where it lies.
+    asked = found.where(f"kind = {TOKENS}").select("part", F.col("v")[0].alias("_hot"), *[f"c{i}" for i in range(6)])
+    alone = asked.where("_hot = 0").drop("part", "_hot").withColumns({f"h{i}": F.lit(None).cast("binary") for i in range(6)})
+    joined = asked.where("_hot = 1").join(given, F.col("part") == F.col("_part")).drop("part", "_hot", "_part")
+    asked = alone.unionByName(joined)
     scores = asked.mapInArrow(run, "_row long, score double").groupBy(F.col("_row").alias("_r")).agg(F.sum("score").alias("score"))
 
     def unpacked(batches):
