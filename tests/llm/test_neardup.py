@@ -143,7 +143,14 @@ def test_original_links_copies_that_are_not_alike(spark):
     rows.append((121, " ".join(base)))
     want = brute(rows, 4)
     assert len(set(want.values())) < 10
-    assert labels(spark, rows, 4) == want
+    got = labels(spark, rows, 4)
+    lost = [i for i in want if got[i] != want[i]]
+    # each copy is alike to one text at 0.80, so it may miss that in all tables; nothing else may lose it
+    d, x = neardup.shingle_sets([t.encode() for _, t in rows], 4)
+    packed, _ = neardup.signatures(neardup.minhashes(d, x, len(rows))[1])
+    halves = [packed >> neardup.U(32), packed & neardup.U(0xFFFFFFFF)]
+    met = {i: all((h[n] == h[-1]).any() for h in halves) for n, (i, _) in enumerate(rows)}
+    assert len(lost) <= 2 and not any(met[i] for i in lost)
 
 
 def test_ids_of_several_texts_are_one_node(spark):
