@@ -18,6 +18,9 @@ whole words (64-bit hashes, which the word tables give dense numbers).
    and given back, with the alpha of v.
 4. Partitions give the sum of log10 P for each document they hold tokens of.
 
+Dealt tokens are staged, and gathered one slice of the partitions after the other:
+what is dealt goes with its slice, so disk never holds all of it twice.
+
 Discounts need counts of counts, which partitions report before they evaluate.
 Those (a few numbers for each order) are all that is sent to every worker.
 """
@@ -25,6 +28,7 @@ Those (a few numbers for each order) are all that is sent to every worker.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,13 +46,15 @@ CUT = 5
 SALT = 1 << 20
 #: Bytes of text in a block; its tokens are held with some ten numbers each.
 BLOCK = 5 << 20
+#: Slices of the partitions, gathered one after the other.
+SLICES = 4
 #: Number of the start of a text; words have numbers from 1.
 START = 0
 #: Bits of a row's number for its place in a block.
 PLACE = 20
 U = textnp.U
 END = textnp.mix(np.array([0x656E64], U))[0]
-BODY, ASK, ANSWER, HISTOGRAM, TOKENS, HOT, DOCS = range(7)
+BODY, ASK, ANSWER, HISTOGRAM, TOKENS, HOT = range(6)
 COLUMNS = "kind int, block long, part int, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary, c5 binary, v array<long>"
 DOC_ROWS = {"_row": "long", "_doc": "long", "held_out": "long", "n_tokens": "long", "n_known": "long", "base_score": "double"}
 
@@ -56,13 +62,18 @@ DOC_ROWS = {"_row": "long", "_doc": "long", "held_out": "long", "n_tokens": "lon
 def route(columns: list[np.ndarray]) -> np.ndarray:
     """Key of a token (w, its count, u, v, salt, row): its last history word, and for a salted one u; after a start w."""
     w, _, u, v, salt, _ = columns
-    side = np.where(v == START, w, u)
+    side = np.where(v == START, w, u).astype(U)
     return textnp.combine(v, np.where(salt > 0, textnp.mix(side) & ((U(1) << salt.astype(U)) - U(1)), U(0)))
 
 
 LAYOUT = Sent(6, DOC_ROWS, key=route)
 
 
+def narrow(a: np.ndarray) -> np.ndarray:
+    """Numbers or counts in 32 bits, where these hold all of them."""
+    return a.astype(np.uint32) if not len(a) or int(a.max()) < 1 << 32 else a
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     """Rows of (kind, block, part, packed columns, v)."""
     full = [(k, b, p, *c, *[None] * (6 - len(c)), v) for k, b, p, c, v in rows]
@@ -201,24 +212,28 @@ def assembled(sent: DataFrame, words: DataFrame, unigrams, texts: int, parts: in
         col = lambda c, i: unpack(table.column(c)[int(i)].as_buffer())
         body = int(np.flatnonzero(kinds == BODY)[0])
         answers = sorted(np.flatnonzero(kinds == ANSWER), key=lambda i: part[i])
-        number, total = (np.concatenate([col(c, i) for i in answers]) for c in ("c0", "c1"))
+        number, total = (narrow(np.concatenate([col(c, i) for i in answers])) for c in ("c0", "c1"))
         index, sizes, ids, train = (col(f"c{i}", body) for i in range(4))
-        w, c = number[index], total[index]
         starts = np.cumsum(sizes) - sizes
+        # what depends on the word only is found for each word once
+        known = np.add.reduceat((total > 0)[index], starts, dtype=np.int64)
+        score = np.add.reduceat(base.log_base(total)[index], starts)
+        salts = salt_bits(total)
+        salt = np.zeros(len(index), np.uint8)
+        salt[1:] = salts[index[:-1]]
+        w, c = number[index], total[index]
+        del index
         v, u = np.zeros_like(w), np.zeros_like(w)
         v[1:], u[2:] = w[:-1], w[:-2]
-        cv = np.zeros_like(c)
-        cv[1:] = c[:-1]
-        v[starts], u[starts], cv[starts] = START, START, texts
+        v[starts], u[starts], salt[starts] = START, START, salt_bits(np.array([texts]))
         second = starts[sizes > 1] + 1
         u[second] = START
-        salt = np.ceil(np.log2(np.maximum(cv / SALT, 1))).astype(np.uint8)
         number_of = (table.column("block")[0].as_py() << PLACE) + np.arange(len(ids))
-        row = np.repeat(number_of * 2 + train, sizes).astype(U)
-        known = np.add.reduceat((c > 0).astype(np.int64), starts)
-        score = np.add.reduceat(base.log_base(c), starts)
         order = np.lexsort((u, v, w))
-        out = [x[order] for x in (w, c, u, v, salt, row)]
+        out = [w, c, u, v, salt, np.repeat((number_of * 2 + train).astype(U), sizes)]
+        del w, c, u, v, salt
+        _reorder(out, order)
+        del order
         made = [LAYOUT.rows([number_of, ids, 1 - train.astype(np.int64), sizes, known, score]), LAYOUT.split(out, parts)]
         return pa.Table.from_batches(made)
 
@@ -227,12 +242,23 @@ def assembled(sent: DataFrame, words: DataFrame, unigrams, texts: int, parts: in
     return body.unionByName(answers).groupBy("block").applyInArrow(join, LAYOUT.schema)
 
 
+def salt_bits(counts: np.ndarray) -> np.ndarray:
+    """Over how many partitions words of these counts are salted, as bits."""
+    return np.ceil(np.log2(np.maximum(counts / SALT, 1))).astype(np.uint8)
+
+
+def _reorder(columns: list[np.ndarray], order: np.ndarray) -> None:
+    """In this order, in place of the old columns, which are let go one by one."""
+    for i in range(len(columns)):
+        columns[i] = columns[i][order]
+
+
 def _ties(*columns: np.ndarray) -> np.ndarray:
     """For sorted columns the number of each row's group."""
     new = np.zeros(len(columns[0]), bool)
     for c in columns:
         new[1:] |= c[1:] != c[:-1]
-    return np.cumsum(new)
+    return np.cumsum(new, dtype=np.int32 if len(new) < 1 << 31 else np.int64)
 
 
 def _firsts(group: np.ndarray) -> np.ndarray:
@@ -242,52 +268,59 @@ def _firsts(group: np.ndarray) -> np.ndarray:
 
 
 class Part:
-    """Tokens of a partition, sorted by (v, u, w), and the groups in them."""
+    """Tokens of a partition, sorted by (v, u, w), and the groups in them.
+
+    ``columns``: v, u, w, row, words, counts. They are taken out of the list, so that
+    those of all tokens can be let go once their groups are known.
+    """
 
-    def __init__(self, v, u, w, row, words, counts):
-        self.v, self.row = v, row
-        train = (row & U(1)).astype(np.int64)
+    def __init__(self, columns: list[np.ndarray]):
+        v, u, w, self.row, words, counts = columns
+        columns.clear()
         self.tri = _ties(v, u, w)
         at = _firsts(self.tri)
-        self.tri_count = np.bincount(self.tri, train, len(at)).astype(np.int64)
-        self.history = _ties(v[at], u[at])
-        tv, tw = v[at], w[at]
-        order = np.lexsort((tw, tv))
-        group = _ties(tv[order], tw[order])
-        self.pair_of = np.empty(len(at), np.int64)  # bigram of each trigram
+        v, u, w = v[at], u[at], w[at]
+        del at
+        self.tri_count = np.bincount(self.tri[(self.row & U(1)).astype(bool)], minlength=len(v))
+        self.history = _ties(v, u)
+        self.starts = v == START
+        del u
+        order = np.lexsort((w, v))
+        group = _ties(v[order], w[order])
+        self.pair_of = np.empty_like(group)  # bigram of each trigram
         self.pair_of[order] = group
         first = order[_firsts(group)]
-        self.pair_v, self.pair_w = tv[first], tw[first]
+        del order, group
+        self.pair_v, self.pair_w = v[first], w[first]
         self.pair_count = np.bincount(self.pair_of, self.tri_count, len(first)).astype(np.int64)
         self.last = _ties(self.pair_v)  # v of each bigram
         self.unigram = counts[np.searchsorted(words, self.pair_w)] if len(first) else np.zeros(0, np.int64)
-        self.starts = tv == START
 
 
 def gathered(sent: DataFrame) -> DataFrame:
-    """Rows TOKENS, HISTOGRAM and HOT of all partitions, and DOCS."""
+    """Rows TOKENS, HISTOGRAM and HOT of the partitions in ``sent``."""
 
     def meet(table):
         part = table.column("part")[0].as_py()
-        if part < 0:
-            return pa.Table.from_batches([_batch([(DOCS, None, -1, [table.column(f"c{i}")[k].as_py() for i in range(6)], None) for k in range(table.num_rows)])])
         w, c, u, v, salt, row = LAYOUT.gathered(table)
         words, at = np.unique(w, return_index=True)
-        order = np.lexsort((row, w, u, v))
-        v, u, w, row, salted = v[order], u[order], w[order], row[order], salt[order] > 0
-        p = Part(v, u, w, row, words, c[at])
-        hot = np.zeros(len(p.pair_v), bool)
-        if salted.any():
-            hot = np.isin(p.pair_v, np.unique(v[salted]))
+        counts, salted = c[at], np.unique(v[salt > 0])
+        del c, salt, at
+        columns = [v, u, w, row]
+        del v, u, w, row
+        _reorder(columns, np.lexsort([columns[i] for i in (3, 2, 1, 0)]))
+        columns += [words, counts]
+        packed = [pack(x, 3) for x in columns]
+        p = Part(columns)
+        hot = np.isin(p.pair_v, salted)
         three = p.tri_count[~p.starts]  # after a start there is one history word only
         seen = [int(x) for x in (*_few(three[three > 0]), *_few(p.pair_count[(p.pair_count > 0) & ~hot]))]
-        rows = [(TOKENS, None, part, [pack(x, 3) for x in (v, u, w, row, words, c[at])], [int(hot.any())]), (HISTOGRAM, None, part, [], seen)]
+        rows = [(TOKENS, None, part, packed, [int(hot.any())]), (HISTOGRAM, None, part, [], seen)]
         if hot.any():
             rows.append((HOT, None, part, [*map(pack, (p.pair_v[hot], p.pair_w[hot], p.pair_count[hot], p.unigram[hot]))], None))
         return pa.Table.from_batches([_batch(rows)])
 
-    own = F.when(F.col("part") < 0, F.pmod(F.xxhash64("c0"), F.lit(256))).otherwise(F.lit(0))
-    return sent.withColumn("_deal", own).groupBy("part", "_deal").applyInArrow(meet, COLUMNS)
+    return sent.groupBy("part").applyInArrow(meet, COLUMNS)
 
 
 def hot_pairs(found: DataFrame) -> DataFrame:
@@ -327,21 +360,34 @@ def score_texts(docs: DataFrame, held_out=None) -> DataFrame:
     word_parts = min(4096, deal.parts[-1])
     sent = stage(tokenised(docs, held_out, word_parts), "lm-blocks", by="kind")
     words = stage(count_words(sent.where(f"kind = {ASK}"), word_parts), "lm-words")
-    for folder in {f.rpartition("/kind=")[0] for f in sent.inputFiles()}:
-        drop_path(spark, f"{folder}/kind={ASK}")  # the bodies are still needed
+    _drop_some(sent, "kind", ASK)  # the bodies are still needed
     n = histogram(words)
     one = Unigrams.of(int(n[0]), int(n[1]), n[2 : 3 + CUT].astype(float))
     texts = docs.where(~held_out).count()
     cells = assembled(sent, words, spark.sparkContext.broadcast(one), texts, deal.parts[0])
-    found = stage(gathered(dealt(cells, LAYOUT, deal, lambda columns: ([np.zeros(0)] * 6, columns))), "lm-tokens")
+    own = F.when(F.col("part") < 0, F.lit(-1)).otherwise(F.col("part") % SLICES)
+    cells = stage(cells.withColumn("slice", own), "lm-cells", by="slice")
     drop_staged(sent, words)
-    out = _scored(spark, found, one)
-    out = stage(out, "lm-scores")
-    drop_staged(found)
+    slices = []
+    for k in range(SLICES):
+        some = cells.where(f"slice = {k}").drop("slice")
+        slices.append(stage(gathered(dealt(some, LAYOUT, deal, lambda columns: ([np.zeros(0)] * 6, columns))), "lm-tokens"))
+        _drop_some(cells, "slice", k)
+    found = reduce(DataFrame.unionByName, slices)
+    own_figures = cells.where("slice = -1").select(*LAYOUT.columns)
+    out = stage(_scored(spark, found, own_figures, one), "lm-scores")
+    drop_staged(found, cells)
     return out
 
 
-def _scored(spark, found: DataFrame, one: Unigrams) -> DataFrame:
+def _drop_some(staged: DataFrame, by: str, value: int) -> None:
+    """Delete the rows of one value of the column by which a table is staged; no later plan may read them."""
+    for folder in {f.rpartition(f"/{by}=")[0] for f in staged.inputFiles()}:
+        drop_path(staged.sparkSession, f"{folder}/{by}={value}")
+
+
+def _scored(spark, found: DataFrame, own_figures: DataFrame, one: Unigrams) -> DataFrame:
+    """``found``: what was gathered; ``own_figures``: packed DOC_ROWS."""
     n = histogram(found)
     n_three, n_two = n[: CUT + 1], n[CUT + 1 : 2 * (CUT + 1)].copy()
     hot = stage(hot_pairs(found), "lm-hot")
@@ -371,7 +417,7 @@ def _scored(spark, found: DataFrame, one: Unigrams) -> DataFrame:
             for i in range(b.num_rows):
                 cols = [unpack(b.column(f"c{k}")[i].as_buffer()) for k in range(6)]
                 know = [unpack(b.column(f"h{k}")[i].as_buffer()) for k in range(6)] if b.column("h0")[i].is_valid else None
-                rows, score = evaluated(Part(*cols), know, *model.value)
+                rows, score = evaluated(Part(cols), know, *model.value)
                 yield pa.record_batch([pa.array(rows), pa.array(score)], ["_row", "score"])
 
     # Only partitions with salted words need what others know of these: the rest is evaluated where it lies.
@@ -386,8 +432,7 @@ def _scored(spark, found: DataFrame, one: Unigrams) -> DataFrame:
             for i in range(b.num_rows):
                 yield from LAYOUT.table([unpack(b.column(f"c{k}")[i].as_buffer()) for k in range(6)]).to_batches()
 
-    figures = found.where(f"kind = {DOCS}").select(*[f"c{i}" for i in range(6)]).mapInArrow(unpacked, LAYOUT.found)
-    out = figures.join(scores, F.col("_row") == F.col("_r"))
+    out = own_figures.mapInArrow(unpacked, LAYOUT.found).join(scores, F.col("_row") == F.col("_r"))
     total = F.lit(one.total).cast("long")
     return out.select("_doc", (F.col("held_out") == 1).alias("held_out"), "n_tokens", "n_known", total.alias("train_tokens"), "base_score", "score")
 
@@ -412,9 +457,13 @@ def evaluated(p: Part, know: list[np.ndarray] | None, one: Unigrams, two: np.nda
     histories = int(p.history[-1]) + 1 if len(p.history) else 0
     bottom, plain, alpha = alphas(weights(p.history, histories, p.tri_count, p2, three))
     p3 = probability(p.tri_count, p2, p.history, three, bottom, plain, alpha)
-    log = np.log10(np.where(p.starts, p2, p3))[p.tri]
-    rows, index = np.unique((p.row >> U(1)).astype(np.int64), return_inverse=True)
-    return rows, np.bincount(index, log, len(rows))
+    log = np.log10(np.where(p.starts, p2, p3))
+    tri, row = p.tri, (p.row >> U(1)).view(np.int64)
+    del p, p2, p3
+    order = np.argsort(row, kind="stable")
+    row = row[order]
+    at = _firsts(row)
+    return row[at], np.add.reduceat(log[tri[order]], at) if len(at) else np.zeros(0)
 
 
 def op9_query(spark, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import os
 import zlib
 from collections import Counter
 
@@ -110,6 +111,35 @@ def test_salted_words_and_levels_of_the_exchange(spark, monkeypatch):
     compare(spark, rows)
 
 
+def test_dealt_tokens_are_gathered_in_slices(spark, monkeypatch):
+    """Disk holds a slice of the dealt tokens twice and never all of them, and no token is left out."""
+    rows, given, standing, real = corpus(n=100), [], [], katz.gathered
+
+    def gathered(sent):
+        given.append(sum(len(exchange.unpack(r["c0"])) for r in sent.where("part >= 0").select("c0").collect()))
+        files = [f.removeprefix("file:") for f in sent.inputFiles()]
+        standing.append({int(f.rpartition("/slice=")[2].split("/")[0]) for f in files if os.path.exists(f)})
+        return real(sent)
+
+    monkeypatch.setattr(katz, "gathered", gathered)
+    katz.score_texts(frame(spark, rows)).collect()
+    assert sum(given) == sum(len(sequence(t)) for _, t in rows)
+    assert len(given) == katz.SLICES and max(given) < sum(given) / 2
+    assert standing == [{-1, *range(k, katz.SLICES)} for k in range(katz.SLICES)]
+
+
+def test_narrow_columns_go_where_wide_ones_go():
+    rng = np.random.default_rng(3)
+    wide = [rng.integers(0, 1 << 20, 500).astype(np.uint64), np.ones(500, np.int64), rng.integers(0, 50, 500).astype(np.uint64), rng.integers(0, 9, 500).astype(np.uint64), np.full(500, 2, np.uint8), np.arange(500, dtype=np.uint64)]
+    small = [katz.narrow(x) if x.itemsize == 8 else x for x in wide]
+    assert [x.dtype.itemsize for x in small] == [4, 4, 4, 4, 1, 4]
+    assert (katz.route(small) == katz.route(wide)).all()
+    for top, kind in ((2**32 - 1, np.uint32), (2**32, np.int64)):
+        got = katz.narrow(np.array([1, top]))
+        assert got.dtype == kind and got.tolist() == [1, top]
+    assert katz.salt_bits(np.array([0, katz.SALT, katz.SALT + 1, 5 << 32])).tolist() == [0, 0, 1, 15]
+
+
 def test_counts_above_32_bits(spark):
     pack = lambda x, t: exchange.pack(np.array(x, t))
     asks = spark.createDataFrame([(katz.ASK, b, 0, bytearray(pack([5, 9], np.uint64)), bytearray(pack([3_000_000_000, b], np.int64)), None, None, None, None, None) for b in (1, 2)], katz.COLUMNS)
