@@ -42,6 +42,12 @@ def line_weights(files: DataFrame) -> DataFrame:
     return rows.select(F.col("file_name").alias("basename"), (F.col("at") + 1).alias("line_no"), X.n_tokens(F.col("line")).alias("tokens"))
 
 
+def line_counts(files: DataFrame) -> DataFrame:
+    """basename, counts: tokens of a file's lines in one array; of files with one basename the last by path counts. Only counts are shuffled."""
+    rows = files.select("file_name", F.split("source_path", "/").alias("_path"), F.transform(_split_lines(F.col("content")), X.n_tokens).alias("counts"))
+    return rows.groupBy(F.col("file_name").alias("basename")).agg(F.max_by("counts", "_path").alias("counts"))
+
+
 def _split_lines(text):
     """Lines at every boundary that Python's ``splitlines`` knows."""
     return X.file_lines(F.regexp_replace(X.unified(text), r"[\x0B\x0C\x1C-\x1E\x85  ]", "\n"))
