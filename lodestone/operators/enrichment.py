@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +20,8 @@ INSTRUCTIONS = (
 CHUNK_MARK = "--- CHUNK "
 Model = Callable[[list[dict]], str]
 LEAST_GROUPS, CHUNKS_A_GROUP = 64, 100_000
+#: Prompts that a worker holds as Python values.
+PROMPTS_AT_ONCE = 100
 
 
 def eligible(chunks: DataFrame) -> DataFrame:
@@ -86,21 +88,24 @@ def parsed(content: Column, n: Column) -> Column:
 def ask(questions: DataFrame, model: Model, feedback: bool = False) -> DataFrame:
     """batch, n, prompt, content: the model's answers. A failed call gives a null content, and the batch isn't asked again."""
 
-    def run(frames):
-        for f in frames:
-            out = []
-            for i, p in enumerate(f["prompt"]):
-                messages = [{"role": "system", "content": INSTRUCTIONS}, {"role": "user", "content": p}]
-                if feedback:
-                    again = f"Your last answer could not be used. Error: {f['error'][i]}\nAnswer again with the JSON object only."
-                    messages += [{"role": "assistant", "content": f["content"][i]}, {"role": "user", "content": again}]
-                try:
-                    out.append(model(messages))
-                except Exception:  # any failure of the provider
-                    out.append(None)
-            yield pd.DataFrame({"batch": f["batch"], "n": f["n"], "prompt": f["prompt"], "content": out})
-
-    return questions.mapInPandas(run, "batch string, n int, prompt string, content string")
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, PROMPTS_AT_ONCE):
+                b = whole.slice(at, PROMPTS_AT_ONCE)
+                out = []
+                for f in b.to_pylist():
+                    messages = [{"role": "system", "content": INSTRUCTIONS}, {"role": "user", "content": f["prompt"]}]
+                    if feedback:
+                        again = f"Your last answer could not be used. Error: {f['error']}\nAnswer again with the JSON object only."
+                        messages += [{"role": "assistant", "content": f["content"]}, {"role": "user", "content": again}]
+                    try:
+                        out.append(model(messages))
+                    except Exception:  # any failure of the provider
+                        out.append(None)
+                # the prompts go back as they came, without a copy
+                yield pa.record_batch([b.column("batch"), b.column("n"), b.column("prompt"), pa.array(out, pa.string())], ["batch", "n", "prompt", "content"])
+
+    return questions.mapInArrow(run, "batch string, n int, prompt string, content string")
 
 
 def answers(questions: DataFrame, model: Model, retries: int, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:

@@ -13,7 +13,7 @@ from lodestone.operators.embedding import EmbeddingProvider, HashProvider, embed
 from lodestone.operators.enrichment import Model, embedding_text, enrich
 from lodestone.operators.search import search_ids
 from lodestone.sources.collection import Collection, latest
-from lodestone.sources.files import read_files, shared_folder
+from lodestone.sources.files import read_files, shared_folder, small_batches
 from lodestone.sources.golden import save_index
 
 
@@ -23,7 +23,8 @@ def keeper(spark: SparkSession):
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         path = f"{base}/ingest/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        with small_batches(spark):
+            df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
     return keep

@@ -1,9 +1,11 @@
 """Steps whose memory and work must not grow faster than their input."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lodestone.operators import search
+from lodestone.operators import enrichment, search
+from lodestone.plans import ingest
 
 
 def test_search_of_any_number_of_queries_is_dealt_in_cells(spark, monkeypatch):
@@ -35,3 +37,29 @@ def test_search_without_points_or_queries(spark):
     asked = points.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     for p, q, n in ((points, asked, 1), (points.limit(0), asked, 0), (points, asked.limit(0), 0)):
         assert search.top_k_grid(p, q, 5, "vec_id").count() == search.top_k_batch(p, q, 5, "vec_id").count() == n
+
+
+def test_workers_behind_a_kept_frame_get_small_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows])], ["n"])
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    got = ingest.keeper(spark)(spark.range(0, 3500, 1, 1).mapInArrow(sizes, "n long"), "sizes").agg(F.max("n"), F.sum("n")).first()
+    assert got[0] <= 1000 and got[1] == 3500 and spark.conf.get(name) == before
+    wide = spark.range(0, 900, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("t"))
+    assert ingest.keeper(spark)(wide.mapInArrow(sizes, "n long"), "sizes").agg(F.max("n")).first()[0] < 100
+
+
+def test_prompts_are_asked_in_parts(spark):
+    def model(messages):
+        if messages[-1]["content"] == "p7":
+            raise ConnectionError("gone")
+        return "answer to " + messages[1]["content"]
+
+    asked = spark.range(0, 250, 1, 1).select(F.col("id").cast("string").alias("batch"), F.lit(1).alias("n"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("prompt"))
+    got = {r["batch"]: (r["n"], r["prompt"], r["content"]) for r in enrichment.ask(asked, model).collect()}
+    assert got == {str(i): (1, f"p{i}", None if i == 7 else f"answer to p{i}") for i in range(250)}
+    again = asked.withColumns({"content": F.lit("bad"), "error": F.lit("no JSON")})
+    assert enrichment.ask(again, lambda m: str(len(m)) + m[3]["content"][:45], True).first()["content"] == "4Your last answer could not be used. Error: no"
