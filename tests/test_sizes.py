@@ -80,3 +80,11 @@ def test_concentration_counts_lines_of_files(spark):
     results, spans, corpus = labelled(spark)
     for weights in (corpus, golden.line_weights(corpus.where("content is not null"))):
         assert [r["concentration"] for r in evaluation.concentration(results, spans, weights, (1, 3)).orderBy("k").collect()] == [2 / 3, 2 / 6]
+
+
+def test_canary_reads_files_as_weights(spark):
+    results, spans, corpus = labelled(spark)
+    both = results.unionByName(results.withColumns({"label": F.lit(evaluation.S.CANARY), "start_line": F.lit(2), "end_line": F.lit(2)}))
+    cover, dense = evaluation.coverage(both, spans, corpus, (1,)), evaluation.concentration(both, spans, corpus, (1,))
+    assert sorted((r["label"], r["n_spans"], r["coverage"]) for r in cover.collect()) == [("l", 2, 1.0), (evaluation.S.CANARY, 2, 1.0)]
+    assert evaluation.canary(cover, dense).count() == 0
