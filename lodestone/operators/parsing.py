@@ -28,6 +28,9 @@ class Unit:
     parent: tuple[int, int, str] | None = None
 
 
+#: Files, and about so many bytes of them, that a worker holds as Python values, with all units parsed from them.
+FILES_AT_ONCE, BYTES_AT_ONCE = 256, 4 << 20
+
 Parser = Callable[[str, str, str, int, int], Iterable[Unit]]
 
 PARSED = (
@@ -49,19 +52,27 @@ def _only_lf(text: str) -> list[str]:
     return [x + "\n" for x in parts[:-1]] + ([parts[-1]] if parts[-1] else [])
 
 
+def parts(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
+    """Slices of a batch of files: some hundred files of usual size, fewer of large ones."""
+    rows = max(1, min(FILES_AT_ONCE, batch.num_rows * BYTES_AT_ONCE // max(batch.nbytes, 1)))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def parsed_files(files: DataFrame, parsers: dict[str, Parser], least: int, most: int) -> DataFrame:
     """Units of ``files`` (source_path, file_name, strategy, ext, content) whose strategy names a parser."""
     rows = files.select("source_path", "file_name", "strategy", "ext", "content")
 
     def run(batches):
-        for batch in batches:
-            out = []
-            for path, name, strategy, ext, content in zip(*(c.to_pylist() for c in batch.columns)):
-                try:
-                    units = list(parsers[strategy](content or "", name, ext, least, most))
-                    out += [(path, name, u.text, u.title or u.name, u.start, u.end, u.language, u.kind, u.name, *(u.parent or (None, None, None)), None) for u in units]
-                except Exception as e:  # one bad file must not end the batch
-                    out.append((path, name, None, None, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:500]))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * len(_NAMES), _TYPES)], _NAMES)
+        for whole in batches:
+            for batch in parts(whole):
+                out = []
+                for path, name, strategy, ext, content in zip(*(c.to_pylist() for c in batch.columns)):
+                    try:
+                        units = list(parsers[strategy](content or "", name, ext, least, most))
+                        out += [(path, name, u.text, u.title or u.name, u.start, u.end, u.language, u.kind, u.name, *(u.parent or (None, None, None)), None) for u in units]
+                    except Exception as e:  # one bad file must not end the batch
+                        out.append((path, name, None, None, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:500]))
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * len(_NAMES), _TYPES)], _NAMES)
 
     return rows.mapInArrow(run, PARSED)

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lodestone.operators import enrichment, search
+from lodestone.operators import enrichment, parsing, search
 from lodestone.plans import evaluation, ingest
 from lodestone.sources import files, golden
 
@@ -88,3 +88,14 @@ def test_canary_reads_files_as_weights(spark):
     cover, dense = evaluation.coverage(both, spans, corpus, (1,)), evaluation.concentration(both, spans, corpus, (1,))
     assert sorted((r["label"], r["n_spans"], r["coverage"]) for r in cover.collect()) == [("l", 2, 1.0), (evaluation.S.CANARY, 2, 1.0)]
     assert evaluation.canary(cover, dense).count() == 0
+
+
+def test_files_are_parsed_in_parts(spark):
+    """A batch of files gives records in several parts, all files in order; large files stand in small parts."""
+    rows = spark.range(0, 1000, 1, 1).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("source_path"), F.lit("f").alias("file_name"), F.lit("py").alias("strategy"), F.lit(".py").alias("ext"), F.lit("x").alias("content"))
+    done = parsing.parsed_files(rows, {"py": lambda text, name, *_: [parsing.Unit(1, 1, "k", text)]}, 1, 9)
+    assert [r["source_path"] for r in done.collect()] == [f"f{i}" for i in range(1000)]
+    big = pa.record_batch([pa.array(["x" * (1 << 20)] * 20)], ["content"])
+    got = [b.num_rows for b in parsing.parts(big)]
+    assert sum(got) == 20 and max(got) <= 4
+    assert [b.num_rows for b in parsing.parts(pa.record_batch([pa.array(range(1000))], ["n"]))] == [256, 256, 256, 232]
