@@ -18,7 +18,7 @@ from lodestone.operators.plaintext import plaintext_chunks
 from lodestone.operators.python_code import parse_python
 from lodestone.operators.structural import parse_code
 from lodestone.operators.windows import window_chunks
-from lodestone.sources.files import dispatch
+from lodestone.sources.files import STRATEGIES, dispatch
 
 PARSERS = {"python": parse_python, "lean": parse_lean, "code": parse_code}
 
@@ -73,7 +73,9 @@ def chunk_files(files: DataFrame, config: ProjectConfig | None = None, strategie
     plain = plaintext_chunks(of("plaintext"), config.min_chunk_lines, config.max_chunk_lines)
     plain = plain.withColumn("chunk_id", X.chunk_id(F.col("source_path"), F.col("chunk_type"), F.col("start_line"), F.col("end_line"), F.lit(None)))
     chunks = complete(markdown_chunks(of("markdown"), config.min_chunk_lines, config.max_chunk_lines)).unionByName(complete(plain)).unionByName(complete(_code_chunks(parsed)))
-    chunks = chunks.unionByName(complete(window_chunks(of("line-based")))).unionByName(complete(window_chunks(of("whole-file"), S.WHOLE_FILE, S.WHOLE_FILE_CHARS)))
+    listed = (strategies or STRATEGIES).values()  # a strategy that no extension has needs no pass over the files
+    for name, *cut in (("line-based",), ("whole-file", S.WHOLE_FILE, S.WHOLE_FILE_CHARS)):
+        chunks = chunks.unionByName(complete(window_chunks(of(name), *cut))) if name in listed else chunks
     code = parsed.where("text is null and error is null").select(
         F.col("name").alias("concept"), "file_name", F.col("source_path").alias("file_path"), "start_line", "end_line", F.col("kind").alias("entry_type"))
     entries = markdown_entries(of("markdown"), config.key_terms).unionByName(code)

@@ -15,18 +15,21 @@ from lodestone.operators.structural import LANGUAGES
 STRATEGIES = {".md": "markdown", ".lean": "lean", **{e: "code" for some in LANGUAGES.values() for e in some}, ".py": "python"}
 
 
-def registry(spark: SparkSession, strategies: dict[str, str] | None = None) -> DataFrame:
-    """Dimension table ext, strategy, language; one row for each extension, so it is always small."""
+def registry(strategies: dict[str, str] | None = None) -> tuple[Column, Column]:
+    """Strategy and language of ``ext``, null where it isn't listed.
+
+    Expressions and not a table to join with, so a filter by strategy is applied before a file's content is made.
+    """
     language = {e: name for name, some in LANGUAGES.items() for e in some} | {".lean": "lean"}
-    rows = [(e, s, language.get(e)) for e, s in (strategies or STRATEGIES).items()]
-    return spark.createDataFrame(rows, "ext string, strategy string, language string")
+    listed = strategies or STRATEGIES
+    of = lambda table: F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), F.col("ext"))
+    return of(listed), F.when(of(listed).isNotNull(), of(language))
 
 
 def dispatch(files: DataFrame, strategies: dict[str, str] | None = None, fallback: str | None = "plaintext") -> DataFrame:
     """``files`` with strategy and language by ``ext``; without a fallback other files are left out."""
-    dim = F.broadcast(registry(files.sparkSession, strategies)).withColumnRenamed("ext", "_ext")  # one row for each extension
-    out = files.join(dim, F.col("ext") == F.col("_ext"), "left").drop("_ext")
-    out = out.withColumn("strategy", F.coalesce("strategy", F.lit(fallback)))
+    strategy, language = registry(strategies)
+    out = files.withColumns({"strategy": F.coalesce(strategy, F.lit(fallback)), "language": language})
     return out if fallback else out.where("strategy is not null")
 
 

@@ -99,3 +99,12 @@ def test_files_are_parsed_in_parts(spark):
     got = [b.num_rows for b in parsing.parts(big)]
     assert sum(got) == 20 and max(got) <= 4
     assert [b.num_rows for b in parsing.parts(pa.record_batch([pa.array(range(1000))], ["n"]))] == [256, 256, 256, 232]
+
+
+def test_dispatch_is_no_join(spark):
+    """A strategy is an expression of the extension, so a filter by it goes below what makes the content; a listed strategy alone is looked for."""
+    rows = files.of_columns(spark.createDataFrame([("a.md", "# x"), ("b.py", "x = 1"), ("c", None), ("d.zz", "t")], "p string, t string"), F.col("p"), F.col("t"))
+    got = files.dispatch(rows)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in got.select("file_name", "strategy", "language").collect()) == [("a.md", "markdown", None), ("b.py", "python", "python"), ("c", "plaintext", None), ("d.zz", "plaintext", None)]
+    assert [r["file_name"] for r in files.dispatch(rows, {".zz": "line-based"}, None).collect()] == ["d.zz"]
